@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bisection import cell_values, combine, from_summary, percentiles, summaries
+from .common import table
 from .profiles import cell_profiles
+from .topn import top_results
 from .varied import sparse_points, varied_subset
 
 #: Production parameters.
 SUBSET_SIZE = 200
 NEAR = 16.0
 FEW = 4
+PCTS = [50, 75, 90]
+HIGH = 3.0
+TOP = 5
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +30,30 @@ def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied_subset(cell_profiles(spark, sf_dir), SUBSET_SIZE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_subset": p1_subset}
-ORACLES: dict[str, str] = {}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = percentiles(cell_values(spark, sf_dir, ["ext"]), ["annotation", "feature"], PCTS)
+    return found.where(F.col("value") >= HIGH).select("annotation", "feature", "pct")
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles(cell_values(spark, sf_dir, ["core", "ext"]), ["annotation", "feature"], PCTS)
+
+
+def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["annotation", "feature"]
+    days = summaries(cell_values(spark, sf_dir, ["core", "ext"]), [*keys, "day"])
+    return from_summary(combine(days, keys), keys, PCTS)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_results(table(spark, sf_dir, "activity"), TOP).select("sample", "feature", "run_id")
+
+
+def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_results(table(spark, sf_dir, "activity"), TOP).select("sample", "rank_no", "feature", "run_id", "zscore", "pvalue")
+
+
+_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p4_found, p4_top]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _MODULE_QUERIES}
+
+from .oracles import ORACLES  # noqa: E402, F401
