@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bisection import cell_values, combine, from_summary, percentiles, summaries
+from .bytebpe import encode
 from .common import table
 from .profiles import cell_profiles
 from .topn import top_results
@@ -22,6 +24,11 @@ HIGH = 3.0
 TOP = 5
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file: ``LUMENACT_TOKENIZERS`` names another folder than /opt/tokenizers."""
+    return os.path.join(os.environ.get("LUMENACT_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_points(cell_profiles(spark, sf_dir), NEAR, FEW)
 
@@ -53,7 +60,11 @@ def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_results(table(spark, sf_dir, "activity"), TOP).select("sample", "rank_no", "feature", "run_id", "zscore", "pvalue")
 
 
-_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p4_found, p4_top]
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p4_found, p4_top, p6_ids]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _MODULE_QUERIES}
 
 from .oracles import ORACLES  # noqa: E402, F401
