@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bisection import cell_values, combine, from_summary, percentiles, summaries
-from .bytebpe import encode
+from .bytebpe import encode, token_counts
 from .common import table
+from .packing import fill, pack
 from .profiles import cell_profiles
+from .splitting import plan_pieces, split
 from .topn import top_results
 from .varied import sparse_points, varied_subset
 
@@ -22,6 +24,9 @@ FEW = 4
 PCTS = [50, 75, 90]
 HIGH = 3.0
 TOP = 5
+CAPACITY = 4096
+PIECE = 1024
+OVERLAP = 64
 
 
 def vocabulary_path() -> str:
@@ -64,7 +69,31 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p4_found, p4_top, p6_ids]
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents"), vocabulary_path()), CAPACITY)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).where("pieces > 1 and piece = 0").select("doc_id")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(_packed(spark, sf_dir), CAPACITY)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_pieces(table(spark, sf_dir, "documents"), vocabulary_path(), PIECE, OVERLAP).where("piece = 0 and part = 0").select("doc_id")
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split(table(spark, sf_dir, "documents"), vocabulary_path(), PIECE, OVERLAP)
+
+
+_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p4_found, p4_top, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_pieces]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _MODULE_QUERIES}
 
 from .oracles import ORACLES  # noqa: E402, F401
