@@ -131,3 +131,120 @@ def lonely(points: DataFrame, pivots: np.ndarray, t: float, most: int) -> DataFr
 
     found = compare(asks, assigned.select("sample", "vec", "leaf"), n, asked, count, "sample string, n long")
     return found.groupBy("sample").agg(F.sum("n").alias("n")).where(F.col("n") <= need).select("sample")  # it is within t of itself
+
+
+def _roots(vec: np.ndarray, t: float) -> np.ndarray:
+    """The smallest pivot that a chain of links between the innermost members reaches from each pivot."""
+    root = np.arange(len(vec))
+    for at in range(0, len(vec), 512):
+        for i, j in zip(*np.nonzero(distances(vec[at : at + 512], vec) <= t - EPS), strict=True):
+            a, b = at + i, j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+    while (root != root[root]).any():
+        root = root[root]
+    return root
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node of the component of every node of ``edges(a, b)``.
+
+    Alternating large and small stars; each round is written, and the rounds grow with the logarithm of the nodes.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    now = written(both.where("a > b").distinct())
+    seen = None
+    while True:
+        around = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        mark = tuple(now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        if mark == seen:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        seen = mark
+
+
+def chains(points: DataFrame, pivots: np.ndarray, t: float) -> DataFrame:
+    """``sample, first``: the smallest sample of the component of each of ``points(sample, vec)``, rows at most ``t``
+    apart being linked; exact for any pivots.
+
+    A row near enough to the innermost member of its pivot is linked to it and belongs to the pivot's node. Other rows
+    are nodes of their own. Only pairs of nodes not yet joined, and not kept apart by the bounds, are compared.
+    """
+    spark = points.sparkSession
+    assigned = written(assign(points.select("sample", "vec"), pivots))
+    k = len(pivots)
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy("rho", "sample"))
+    first = assigned.withColumn("k", rank).where("k = 1").select("leaf", "rho", "vec").collect()
+    inner, middle = np.full(k, np.inf), pivots.copy()
+    for r in first:
+        inner[r["leaf"]], middle[r["leaf"]] = r["rho"], np.array(r["vec"])
+    root = np.arange(k)
+    real = np.flatnonzero(np.isfinite(inner))
+    root[real] = real[_roots(middle[real], t)]
+    n, cover = np.zeros(k), np.full(k, -np.inf)
+    sure_cover = np.full(k, -np.inf)
+    limits = spark.createDataFrame([(int(i), float(t - EPS - inner[i])) for i in real] or [(-1, 0.0)], "leaf int, most double")
+    per = assigned.join(F.broadcast(limits), "leaf").groupBy("leaf").agg(F.count("*").alias("n"), F.max("rho").alias("r"), F.max(F.when(F.col("rho") <= F.col("most"), F.col("rho"))).alias("s"))
+    for r in per.collect():
+        n[r["leaf"]], cover[r["leaf"]] = r["n"], r["r"]
+        if r["s"] is not None:
+            sure_cover[r["leaf"]] = r["s"]
+    sent = spark.sparkContext.broadcast((inner, root, cover, sure_cover))
+
+    def nodes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        inner, root, _, _ = sent.value
+        leaf, rho = batch.column("leaf").to_numpy(), batch.column("rho").to_numpy()
+        sure = rho <= t - EPS - inner[leaf]
+        return sure, np.where(sure, [f"r{root[i]}" for i in leaf], [f"p{s}" for s in batch.column("sample").to_pylist()]).astype(object)
+
+    def asks(batch: pa.RecordBatch, d: np.ndarray) -> pa.RecordBatch:
+        inner, root, cover, sure_cover = sent.value
+        leaf = batch.column("leaf").to_numpy()
+        sure, node = nodes(batch)
+        apart = root[leaf][:, None] != root[None]
+        reached = np.where(sure[:, None], apart & (d <= t + EPS + sure_cover[None]), d <= t + EPS + cover[None])
+        direct = (d + inner[None] <= t - EPS) & (apart | ~sure[:, None])
+        i, j = np.nonzero(reached & ~(direct & sure[:, None]))
+        di, dj = np.nonzero(direct)
+        rows = batch.take(pa.array(np.append(i, di)))
+        leaves = np.append(j, np.full(len(di), -1)).astype(np.int32)
+        other = [None] * len(i) + [f"r{root[x]}" for x in dj]
+        return pa.RecordBatch.from_arrays([rows.column("sample"), rows.column("vec"), pa.array(leaves), pa.array(node[np.append(i, di)], pa.string()), pa.array(other, pa.string())], ["sample", "vec", "leaf", "node", "other"])
+
+    asked = written(reach(assigned, pivots, asks, "sample string, vec array<double>, leaf int, node string, other string"))
+    per_leaf = np.zeros(k)
+    for r in asked.where("leaf >= 0").groupBy("leaf").count().collect():
+        per_leaf[r["leaf"]] = r["count"]
+
+    def with_node(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes(b)[1], pa.string())], [*b.schema.names, "node"])
+
+    placed = assigned.mapInArrow(with_node, "sample string, vec array<double>, leaf int, rho double, node string")
+
+    def links(q, m):
+        out: set[tuple[str, str]] = set()
+        if q.num_rows and m.num_rows:
+            x, y = vectors(q.column("vec")), vectors(m.column("vec"))
+            a, b = np.array(q.column("node").to_pylist(), object), np.array(m.column("node").to_pylist(), object)
+            for at in range(0, len(x), 512):
+                i, j = np.nonzero(within(x[at : at + 512], y, t))
+                out.update((u, v) for u, v in zip(a[at + i], b[j], strict=True) if u != v)
+        return pa.table([pa.array([u for u, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], names=["a", "b"])
+
+    direct = asked.where("leaf < 0").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    queries = asked.where("leaf >= 0").select("sample", "vec", "leaf", "node")
+    found = compare(queries, placed.select("sample", "vec", "leaf", "node"), n, per_leaf, links, "a string, b string")
+    edges = written(direct.unionByName(found).where("a <> b").distinct())
+    mine = placed.groupBy("node").agg(F.min("sample").alias("least"))
+    if not edges.isEmpty():
+        joined = mine.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mine = joined.select("node", F.min("least").over(Window.partitionBy("label")).alias("least"))
+    return placed.select("sample", "node").join(mine, "node").select("sample", F.col("least").alias("first"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bisection import cell_values, combine, from_summary, percentiles, summaries
 from .bytebpe import encode, token_counts
 from .common import table
+from .mixture import clusters, linked
 from .packing import fill, pack
 from .profiles import cell_profiles
 from .splitting import plan_pieces, split
@@ -57,6 +58,15 @@ def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_summary(combine(days, keys), keys, PCTS)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chained = linked(cell_profiles(spark, sf_dir), NEAR)
+    return chained.where("sample <> first").select(F.col("first").alias("sample_a"), F.col("sample").alias("sample_b"))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(cell_profiles(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_results(table(spark, sf_dir, "activity"), TOP).select("sample", "feature", "run_id")
 
@@ -93,7 +103,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(table(spark, sf_dir, "documents"), vocabulary_path(), PIECE, OVERLAP)
 
 
-_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p4_found, p4_top, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_pieces]
+_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p3_found, p3_clusters, p4_found, p4_top, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_pieces]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _MODULE_QUERIES}
 
 from .oracles import ORACLES  # noqa: E402, F401

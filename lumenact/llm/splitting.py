@@ -85,7 +85,7 @@ def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, ove
     """``(first, last, kind of the cut)`` of the pieces of a text, as indices into its boundaries.
 
     ``at[0]`` is the text's start and ``at[-1]`` its end; ``tokens`` counts the tokens before a boundary. A piece ends at
-    the last cue it can reach, else line end, else word end, else anywhere; the next begins at the first boundary of the
+    the last cue it can reach, else line end, else word end, else between tokens; the next begins at the first boundary of the
     best kind within ``overlap`` tokens before that end.
     """
     n = len(at)
@@ -112,7 +112,7 @@ def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, ove
     return out
 
 
-def _boundaries(numbers, cues, chars, weights, wide, head, tail, breaks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _boundaries(numbers, cues, chars, weights, wide, head, tail, breaks, limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, tokens before and kinds of the boundaries of one range, without its end."""
     size = chars[numbers]
     begin = np.cumsum(size) - size
@@ -135,6 +135,10 @@ def _boundaries(numbers, cues, chars, weights, wide, head, tail, breaks) -> tupl
         kind[spot[ok]] = CUE
     keep = kind > 0
     keep[0] = True
+    kept = np.append(np.flatnonzero(keep), len(numbers))
+    upto = np.append(before, before[-1] + weight[-1])
+    for k in np.flatnonzero(np.diff(upto[kept]) > limit).tolist():  # no natural place within a piece's length: any word
+        keep[kept[k] : kept[k + 1]] = True
     if wide[numbers].any():  # words without an inner boundary
         extra_at, extra_before = [], []
         for w in np.flatnonzero(wide[numbers]).tolist():
@@ -179,7 +183,7 @@ def plan_pieces(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64
             own = numbers[offsets[i] : offsets[i + 1]]
             if not len(own) or (of == 1 and weights[own].sum() <= limit):
                 continue
-            at, tok, kind = _boundaries(own, np.frombuffer(cues, "<i4"), facts["chars"], weights, wide, facts["head"], facts["tail"], facts["breaks"])
+            at, tok, kind = _boundaries(own, np.frombuffer(cues, "<i4"), facts["chars"], weights, wide, facts["head"], facts["tail"], facts["breaks"], limit)
             size, total = int(facts["chars"][own].sum()), int(weights[own].sum())
             if of == 1:
                 out += _rows(doc, np.append(at, size), np.append(tok, total), np.append(kind, LINE), np.array([0, size]), limit, overlap)
@@ -238,7 +242,8 @@ def split(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64) -> D
 
     Pieces are numbered from 0; ``text`` is the characters ``start`` to ``end`` of the document's text, and each piece
     after the first begins at most ``overlap`` tokens before the end of the one before. Null, empty and short texts have
-    no row. ``doc_id`` is unique. A word that alone exceeds the limit is cut inside.
+    no row. ``n_tokens`` counts the tokens of the piece as they are in the whole text; encoded alone a piece has at most
+    as many, since white space at its end may join. ``doc_id`` is unique. A word that alone exceeds the limit is cut inside.
     """
     parts = plan_pieces(docs, path, limit, overlap)
     body = ranges(docs, limit).select("doc_id", "range", "text")
