@@ -14,6 +14,7 @@ from .common import table
 from .mixture import clusters, linked
 from .packing import fill, pack
 from .profiles import cell_profiles
+from .similar import nearest, similar_pairs
 from .splitting import plan_pieces, split
 from .topn import top_results
 from .varied import sparse_points, varied_subset
@@ -22,6 +23,8 @@ from .varied import sparse_points, varied_subset
 SUBSET_SIZE = 200
 NEAR = 16.0
 FEW = 4
+CLOSE = 0.997
+NEIGHBOURS = 10
 PCTS = [50, 75, 90]
 HIGH = 3.0
 TOP = 5
@@ -75,6 +78,14 @@ def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_results(table(spark, sf_dir, "activity"), TOP).select("sample", "rank_no", "feature", "run_id", "zscore", "pvalue")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(cell_profiles(spark, sf_dir, "beta"), CLOSE)
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(cell_profiles(spark, sf_dir, "beta"), NEIGHBOURS)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -103,7 +114,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(table(spark, sf_dir, "documents"), vocabulary_path(), PIECE, OVERLAP)
 
 
-_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p3_found, p3_clusters, p4_found, p4_top, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_pieces]
+_MODULE_QUERIES = [p1_found, p1_subset, p2_found, p2_percentiles, p2_combined, p3_found, p3_clusters, p4_found, p4_top, p5_found, p5_neighbours, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_pieces]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _MODULE_QUERIES}
 
 from .oracles import ORACLES  # noqa: E402, F401
