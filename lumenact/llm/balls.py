@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import vectors, written
+from .common import kept, vectors, written
 
 #: Rows of one block of a comparison, on either side.
 BLOCK = 8192
@@ -116,7 +116,7 @@ def lonely(points: DataFrame, pivots: np.ndarray, t: float, most: int) -> DataFr
         part = batch.take(pa.array(i))
         return pa.RecordBatch.from_arrays([part.column("sample"), part.column("vec"), pa.array(j.astype(np.int32))], ["sample", "vec", "leaf"])
 
-    asks = written(reach(assigned, pivots, doubtful, "sample string, vec array<double>, leaf int"))
+    asks = kept(reach(assigned, pivots, doubtful, "sample string, vec array<double>, leaf int"))
     asked = np.zeros(len(pivots))
     for r in asks.groupBy("leaf").count().collect():
         asked[r["leaf"]] = r["count"]
@@ -218,7 +218,7 @@ def chains(points: DataFrame, pivots: np.ndarray, t: float) -> DataFrame:
         other = [None] * len(i) + [f"r{root[x]}" for x in dj]
         return pa.RecordBatch.from_arrays([rows.column("sample"), rows.column("vec"), pa.array(leaves), pa.array(node[np.append(i, di)], pa.string()), pa.array(other, pa.string())], ["sample", "vec", "leaf", "node", "other"])
 
-    asked = written(reach(assigned, pivots, asks, "sample string, vec array<double>, leaf int, node string, other string"))
+    asked = kept(reach(assigned, pivots, asks, "sample string, vec array<double>, leaf int, node string, other string"))
     per_leaf = np.zeros(k)
     for r in asked.where("leaf >= 0").groupBy("leaf").count().collect():
         per_leaf[r["leaf"]] = r["count"]

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, vectors, written
+from .common import kept, lists, vectors
 
 FAN_IN = 32
 _ENTRY = "part long, n double, ls array<double>, ss double, key string"
@@ -108,7 +108,7 @@ def leaf_entries(points: DataFrame, radius: float, reach: float, most: int = 204
         return tree.frame(key[0].as_py(), key[1].as_py())
 
     level = points.select(*keys, "vec").mapInArrow(condense, _ENTRY)
-    level = written(level)
+    level = kept(level)
     parts = level.agg(F.max("part")).first()[0]
     while parts is not None:
         level = level.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "key").applyInArrow(merge, _ENTRY)

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Small intermediate rows of a short lineage, kept on the executors' disks; what is lost with one is made again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def vectors(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
     """An Arrow list column of equal lengths as a matrix; nulls inside are 0."""
     if isinstance(column, pa.ChunkedArray):

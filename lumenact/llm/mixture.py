@@ -214,7 +214,7 @@ def linked(points: DataFrame, distance: float) -> DataFrame:
     model = fit(points)
     if model is None:
         return points.sparkSession.createDataFrame([], "sample string, first string")
-    own = written(memberships(points.select("sample", "vec"), model).select("cluster", "vec"))
+    own = memberships(points.select("vec"), model).select("cluster", "vec")
 
     def centres(batches):
         total: dict[int, np.ndarray] = {}

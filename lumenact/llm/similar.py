@@ -1,7 +1,7 @@
 """Problem 5: the most similar vectors of every vector, by score-aware quantisation.
 
-Vectors are scaled to length 1 and put into lists by their nearest coarse centre. What is left of a vector after its
-centre is quantised to four bits for every two dimensions. The codes are chosen for inner products: an error along the
+Vectors are scaled to length 1 and put into lists by their nearest coarse centre. What is left of a vector after the
+nearest of a finer set of centres is quantised to four bits for every two dimensions. The codes are chosen for inner products: an error along the
 vector costs ``ETA`` times what an error across it costs, as it is the former that moves the scores of close vectors.
 A scan scores codes through a table of 16 entries for each pair of dimensions, and the best are scored again exactly.
 
@@ -22,6 +22,8 @@ from .topn import top_n
 ETA = 4.0
 #: The index (centres and code books) is fitted on so many vectors at most, those of the smallest hashes; every vector is indexed.
 FIT_ROWS = 20000
+#: Fine centres.
+FINE = 512
 #: Vectors aimed at in a list, and rows of one block of a scan.
 LIST_ROWS = 1000
 BLOCK = 4096
@@ -46,12 +48,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheri
 
 
 class Index:
-    """Coarse centres and code books. ``books[m]`` holds the 16 entries of the ``m``-th pair of dimensions."""
+    """Coarse centres (of the lists), fine centres (of the codes) and code books; ``books[m]`` holds the 16 entries of
+    the ``m``-th pair of dimensions."""
 
     def __init__(self, sample: np.ndarray, n_lists: int, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.centres = _kmeans(sample, min(n_lists, len(sample)), 8, rng, spherical=True)
-        left = self._pad(sample - self.centres[self.nearest(sample)])
+        self.fine = _kmeans(sample, max(1, min(FINE, len(sample) // 12)), 6, rng, spherical=False)
+        left = self._pad(sample - self.fine[self.base(sample)])
         pairs = left.shape[1] // 2
         self.books = np.zeros((pairs, 16, 2))
         fit = left[:8192]
@@ -63,7 +67,7 @@ class Index:
             self.books[m, len(own) :] = own[0]
         for _ in range(2):  # refit the entries to what the score-aware codes put on them
             x = sample[: len(fit)]
-            codes = self.encode(x, self.nearest(x))[0]
+            codes = self.encode(x)[0]
             for m in range(pairs):
                 n = np.bincount(codes[:, m], minlength=16)
                 total = np.zeros((16, 2))
@@ -77,13 +81,17 @@ class Index:
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.centres.T).argmax(1) if len(x) else np.zeros(0, int)
 
-    def encode(self, x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, the parallel errors ``<x, x - decoded>`` and the lengths of the errors.
+    def base(self, x: np.ndarray) -> np.ndarray:
+        return ((self.fine**2).sum(1)[None] - 2 * x @ self.fine.T).argmin(1) if len(x) else np.zeros(0, int)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, fine centres, the parallel errors ``<x, x - decoded>`` and the lengths of the errors.
 
         Starting from the nearest entries, each code in turn moves to the entry of the least score-aware loss
         ``|r|^2 + (ETA - 1) <x, r>^2``.
         """
-        left, along = self._pad(x - self.centres[of]), self._pad(x)
+        of = self.base(x)
+        left, along = self._pad(x - self.fine[of]), self._pad(x)
         pairs = len(self.books)
         parts = left.reshape(len(x), pairs, 2)
         directions = along.reshape(len(x), pairs, 2)
@@ -101,12 +109,12 @@ class Index:
             best = ((option**2).sum(2) + (ETA - 1) * moved**2).argmin(1)
             codes[:, m], errors[:, m] = best, option[np.arange(len(x)), best]
             parallel = moved[np.arange(len(x)), best]
-        return codes, parallel, np.sqrt((errors**2).sum((1, 2)))
+        return codes, of, parallel, np.sqrt((errors**2).sum((1, 2)))
 
-    def decode(self, codes: np.ndarray, of: int, dim: int) -> np.ndarray:
+    def decode(self, codes: np.ndarray, of: np.ndarray, dim: int) -> np.ndarray:
         """What the tables of all queries hold together: centre plus entries, so that a scan is one product."""
         left = np.stack([self.books[m][codes[:, m]] for m in range(len(self.books))], 1).reshape(len(codes), -1)
-        return self.centres[of] + left[:, :dim]
+        return (self.fine[of] + left[:, :dim]).astype(np.float32)
 
 
 def _packed(codes: np.ndarray) -> pa.Array:
@@ -133,7 +141,7 @@ def build(points: DataFrame) -> tuple[Index | None, int]:
     return Index(x, int(np.clip(n // LIST_ROWS, 1, 4096))), n
 
 
-_MEMBER = "sample string, x array<float>, leaf int, code binary, parallel double, error double"
+_MEMBER = "sample string, x array<float>, leaf int, base int, code binary, parallel double, error double"
 
 
 def members(points: DataFrame, index: Index) -> DataFrame:
@@ -147,10 +155,10 @@ def members(points: DataFrame, index: Index) -> DataFrame:
                 part = b.slice(at, 2048)
                 x = unit(vectors(part.column("vec"))).astype(np.float32).astype(float)
                 of = index.nearest(x)
-                codes, parallel, error = index.encode(x, of)
+                codes, base, parallel, error = index.encode(x)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("sample"), lists(x.astype(np.float32)), pa.array(of.astype(np.int32)), _packed(codes), pa.array(parallel), pa.array(error)],
-                    ["sample", "x", "leaf", "code", "parallel", "error"],
+                    [part.column("sample"), lists(x.astype(np.float32)), pa.array(of.astype(np.int32)), pa.array(base.astype(np.int32)), _packed(codes), pa.array(parallel), pa.array(error)],
+                    ["sample", "x", "leaf", "base", "code", "parallel", "error"],
                 )
 
     return points.select("sample", "vec").mapInArrow(run, _MEMBER)
@@ -172,7 +180,7 @@ def _asks(own: DataFrame, index: Index, pick) -> DataFrame:
 
 
 def _scan(asks: DataFrame, own: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(list, queries, members)`` over blocks of the queries and members of every list."""
+    """``fn(queries, members)`` over blocks of the queries and members of every list."""
     spark = own.sparkSession
     size = {r["leaf"]: r["count"] for r in own.groupBy("leaf").count().collect()}
     asked = {r["ask"]: r["count"] for r in asks.groupBy("ask").count().collect()}
@@ -183,10 +191,7 @@ def _scan(asks: DataFrame, own: DataFrame, fn, schema: str) -> DataFrame:
     m = own.join(F.broadcast(splits), "leaf")
     m = m.withColumn("b", F.pmod(F.xxhash64("sample"), F.col("nb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq").cast("int") - 1))).drop("nb", "nq")
 
-    def block(key, left, right):
-        return fn(key[0].as_py(), left, right)
-
-    return q.groupBy("ask", "b", "q").cogroup(m.groupBy("leaf", "b", "q")).applyInArrow(block, schema)
+    return q.groupBy("ask", "b", "q").cogroup(m.groupBy("leaf", "b", "q")).applyInArrow(fn, schema)
 
 
 def similar_pairs(points: DataFrame, cosine: float) -> DataFrame:
@@ -215,12 +220,12 @@ def similar_pairs(points: DataFrame, cosine: float) -> DataFrame:
 
     sent = spark.sparkContext.broadcast(index)
 
-    def block(leaf, left, right):
+    def block(left, right):
         out_a, out_b = [], []
         if left.num_rows and right.num_rows:
             index = sent.value
             q, x = vectors(left.column("x")), vectors(right.column("x"))
-            coded = index.decode(_unpacked(right.column("code"), len(index.books)), leaf, x.shape[1]).astype(np.float32)
+            coded = index.decode(_unpacked(right.column("code"), len(index.books)), right.column("base").to_numpy(), x.shape[1])
             floor = cosine - reach * right.column("error").to_numpy() - right.column("parallel").to_numpy() - 1e-5
             qs, xs = np.array(left.column("sample").to_pylist(), object), np.array(right.column("sample").to_pylist(), object)
             q32 = q.astype(np.float32)
@@ -248,7 +253,7 @@ def similar_pairs(points: DataFrame, cosine: float) -> DataFrame:
     return both.select(F.least("sa", "sb").alias("sample_a"), F.greatest("sa", "sb").alias("sample_b"))
 
 
-def nearest(points: DataFrame, k: int, probes: int = 8, again: int = 4) -> DataFrame:
+def nearest(points: DataFrame, k: int, probes: int = 16, again: int = 8) -> DataFrame:
     """``sample, rank_no, other, cosine``: for every row of ``points(sample, vec)`` the ``k`` others of the highest
     cosine found, ties to the smaller sample.
 
@@ -269,12 +274,12 @@ def nearest(points: DataFrame, k: int, probes: int = 8, again: int = 4) -> DataF
 
     sent = spark.sparkContext.broadcast(index)
 
-    def block(leaf, left, right):
+    def block(left, right):
         parts = []
         if left.num_rows and right.num_rows:
             index = sent.value
             q, x = vectors(left.column("x"), np.float32), vectors(right.column("x"), np.float32)
-            coded = index.decode(_unpacked(right.column("code"), len(index.books)), leaf, x.shape[1]).astype(np.float32)
+            coded = index.decode(_unpacked(right.column("code"), len(index.books)), right.column("base").to_numpy(), x.shape[1])
             mend = right.column("parallel").to_numpy().astype(np.float32)
             xs, qs = np.array(right.column("sample").to_pylist(), object), np.array(left.column("sample").to_pylist(), object)
             top = min(again * k + 1, len(x))
