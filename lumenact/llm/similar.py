@@ -20,7 +20,7 @@ from .common import lists, vectors, written
 from .topn import top_n
 
 ETA = 4.0
-#: The index (centres and code books) is fitted on so many vectors at most, those of the smallest hashes; every vector is indexed.
+#: The index (centres and code books) is fitted on about so many vectors, those of the smallest hashes; every vector is indexed.
 FIT_ROWS = 20000
 #: Fine centres.
 FINE = 512
@@ -134,7 +134,10 @@ def _unpacked(column, pairs: int) -> np.ndarray:
 def build(points: DataFrame) -> tuple[Index | None, int]:
     """An index fitted to a bounded sample of ``points(sample, vec)``, and the number of all rows."""
     n = points.count()
-    rows = points.orderBy(F.xxhash64("sample"), "sample").limit(FIT_ROWS).select("vec").toPandas()
+    share = F.pmod(F.xxhash64("sample"), F.lit(1 << 30)) < int(min(1.0, FIT_ROWS / max(n, 1)) * (1 << 30))
+    rows = points.where(share).select("vec").toPandas()
+    if n and not len(rows):  # very few rows
+        rows = points.limit(FIT_ROWS).select("vec").toPandas()
     if not len(rows):
         return None, 0
     x = unit(np.stack(rows["vec"].to_numpy()))
