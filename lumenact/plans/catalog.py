@@ -343,6 +343,12 @@ def ridge_sparse_rowcenter_2f(spark, d):
     return _sparse_ridge(spark, d, centre=True, scale=True, centre_rows=True)
 
 
+@query()
+def ridge_full_64f(spark, d):
+    """All 64 features with the production number of permutations and the production lambda."""
+    return pipelines.activity(logged(spark, d), adapter.signature(spark, d, 64), centre_rows=True)
+
+
 # --- signatures ---------------------------------------------------------------------------------------------------------
 
 
