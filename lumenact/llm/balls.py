@@ -150,7 +150,7 @@ def _roots(vec: np.ndarray, t: float) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node of the component of every node of ``edges(a, b)``.
+    """``node, label``: the smallest node of the component of every node of ``edges(a, b)`` that is not that one itself.
 
     Alternating large and small stars; each round is written, and the rounds grow with the logarithm of the nodes.
     """

@@ -67,7 +67,9 @@ def percentiles(rows: DataFrame, keys: list[str], pcts: list[int], value: str =
             kept = written(spanned.select("r.*"))
             met = kept.alias("r").join(state.alias("s"), same).where("r.v between s.lo and s.hi")
         # halves keep the difference of huge values finite; the part number never falls as v grows
-        part = F.least(F.floor((F.col("r.v") / 2 - F.col("s.lo") / 2) / (F.col("s.hi") / 2 - F.col("s.lo") / 2) * WAYS), F.lit(WAYS - 1))
+        width = F.col("s.hi") / 2 - F.col("s.lo") / 2
+        share = F.least(F.floor((F.col("r.v") / 2 - F.col("s.lo") / 2) / width * WAYS), F.lit(WAYS - 1))
+        part = F.when(width > 0, share).when(F.col("r.v") > F.col("s.lo"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
         parts = met.groupBy(*[F.col(f"s.{c}").alias(c) for c in (*own, "pct", "n", "r", "below")], part.alias("part")).agg(
             F.count("*").alias("c"), F.min("r.v").alias("lo"), F.max("r.v").alias("hi")
         )

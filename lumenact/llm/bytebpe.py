@@ -324,7 +324,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     A null and an empty text have an empty list; blank texts, strings that look like special tokens and control
     characters are ordinary text. Rows of equal keys stay separate rows; other columns may have any name.
     """
-    index, words = index_words(docs, [key], text)
+    index, words = index_words(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), ["_key"], "_text")
 
     def ids(rows, parts):
         numbers, at = _numbers(rows.column("idx"))
@@ -334,7 +334,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         starts = (np.cumsum(lens) - lens)[numbers] if len(numbers) else own
         ends = np.append(0, np.cumsum(own))[at]
         out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_gather(flat, starts, own).astype(np.int32)))
-        return pa.table([rows.column(key).combine_chunks(), out], names=[key, "ids"])
+        return pa.table([rows.column("_key").combine_chunks(), out], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return _resolve(index, words, path, F.col("ids"), ids, f"`{key}` {kind}, ids array<int>")
@@ -342,13 +342,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens``: the length of what ``encode`` gives, without moving the ids."""
-    index, words = index_words(docs, [key], text)
+    index, words = index_words(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), ["_key"], "_text")
 
     def count(rows, parts):
         numbers, at = _numbers(rows.column("idx"))
         lens = parts.to_numpy(zero_copy_only=False).astype(np.int64)
         upto = np.append(0, np.cumsum(lens[numbers] if len(numbers) else np.zeros(0, np.int64)))
-        return pa.table([rows.column(key).combine_chunks(), pa.array(upto[at[1:]] - upto[at[:-1]])], names=[key, "n_tokens"])
+        return pa.table([rows.column("_key").combine_chunks(), pa.array(upto[at[1:]] - upto[at[:-1]])], names=[key, "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
     return _resolve(index, words, path, F.size("ids"), count, f"`{key}` {kind}, n_tokens long")
@@ -361,5 +361,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> Column:
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
-    literal = spark.createDataFrame(pa.table({"pieces": pa.array([[p.hex() for p in pieces]])})).scalar()
+    from pyspark.sql.classic.column import Column as ClassicColumn
+
+    jvm = spark.sparkContext._jvm
+    values = jvm.java.util.regex.Pattern.compile(",").split(",".join(p.hex() for p in pieces) + ",")
+    literal = ClassicColumn(getattr(jvm, "org.apache.spark.sql.functions").lit(values))
     return F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(literal, i)), ""))

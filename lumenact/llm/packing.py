@@ -133,8 +133,8 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     * Rows with equal keys are items of their own; an empty table gives no rows. Containers are numbered from 0.
     """
     spark = items.sparkSession
-    kind = items.schema[key].dataType.simpleString()
-    items = items.select(key, F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    kind, name, key = items.schema[key].dataType.simpleString(), key, "_key"
+    items = items.select(F.col(name).alias(key), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     pieces = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int")
     items = items.select(key, "n", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     items = written(items.withColumn("s", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("int")).drop("n"))
@@ -172,7 +172,8 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
             container = np.where(s > 0, spans[at, 2] + (rank - spans[at, 1]) // np.maximum(spans[at, 3], 1), rank % total)
             yield pa.RecordBatch.from_arrays([pa.array(container), b.column(key), b.column("piece"), b.column("pieces"), b.column("s")], ["container", key, "piece", "pieces", "n_tokens"])
 
-    return ranked.mapInArrow(place, f"container long, `{key}` {kind}, piece int, pieces int, n_tokens int")
+    out = ranked.mapInArrow(place, f"container long, `{key}` {kind}, piece int, pieces int, n_tokens int")
+    return out.withColumnRenamed(key, name)
 
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:

@@ -21,9 +21,6 @@ from .common import written
 RANGE = 1 << 16
 #: What is seen of a text before a range, for cues that begin near its start.
 HALO = 256
-#: A word of more tokens than a piece may have is cut every so many characters (of at most four bytes).
-INNER = 128
-
 WORD, LINE, CUE = 1, 2, 3
 _EDGE = re.compile(r"(?<=\S)(?=\s)")
 #: Where a cue begins: its number, if it has one, and its times, or a frame pair; returns are line feeds here.
@@ -44,7 +41,7 @@ def ranges(docs: DataFrame, at_least: int, size: int = RANGE) -> DataFrame:
     ``start`` counts characters; ``cues`` has the places in the range where cues begin. The ranges of texts longer than
     ``size`` are spread over the cluster.
     """
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") > at_least)
+    rows = docs.select("doc_id", "text").where((F.octet_length("text") > at_least) & F.col("doc_id").isNotNull())
 
     def cut(batches):
         for b in batches:
@@ -81,6 +78,11 @@ def ranges(docs: DataFrame, at_least: int, size: int = RANGE) -> DataFrame:
     return rows.where(~large).mapInArrow(cut, _RANGES).unionByName(spread)
 
 
+def _inner(limit: int) -> int:
+    """A word of more tokens than a piece may have is cut every so many characters, of at most four bytes each."""
+    return limit // 8
+
+
 def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """``(first, last, kind of the cut)`` of the pieces of a text, as indices into its boundaries.
 
@@ -108,13 +110,14 @@ def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, ove
         best = near.max() if len(near) else 0
         first = low + int(np.argmax(near == best)) if best >= WORD else cut
         done = cut
-    out.append((first, n - 1, 0))
+    if done < n - 1:
+        out.append((first, n - 1, 0))
     return out
 
 
 def _boundaries(numbers, cues, chars, weights, wide, head, tail, breaks, limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, tokens before and kinds of the boundaries of one range, without its end."""
-    size = chars[numbers]
+    size, inner = chars[numbers], _inner(limit)
     begin = np.cumsum(size) - size
     weight = weights[numbers]
     before = np.cumsum(weight) - weight
@@ -142,7 +145,7 @@ def _boundaries(numbers, cues, chars, weights, wide, head, tail, breaks, limit)
     if wide[numbers].any():  # words without an inner boundary
         extra_at, extra_before = [], []
         for w in np.flatnonzero(wide[numbers]).tolist():
-            steps = np.arange(INNER, size[w], INNER)
+            steps = np.arange(inner, size[w], inner)
             extra_at.append(begin[w] + steps)
             extra_before.append(before[w] + steps * 4)
         at = np.concatenate([begin[keep], *extra_at])
@@ -161,6 +164,8 @@ def plan_pieces(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64
     ``limit`` tokens; a row for each piece and range it touches (``part`` numbers them, ``rel`` and ``len`` lie in the
     range). ``cut`` is the kind of place the piece ends at (3 between cues, 2 line end, 1 between words, 0 end or none).
     """
+    if limit < 32 or not 0 <= overlap <= limit // 2:
+        raise ValueError("the limit is 32 at least, the overlap at most half of it")
     # a token has a byte at least, so texts of no more bytes than the limit need no look
     keys = ["doc_id", "range", "ranges", "start", "cues"]
     index, words = index_words(ranges(docs, limit), keys)
@@ -176,7 +181,7 @@ def plan_pieces(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64
     def tables(rows, parts):
         facts = {f: parts.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("tokens", "chars", "head", "tail", "breaks")}
         wide = facts["tokens"] > limit
-        weights = np.where(wide, -(-facts["chars"] // INNER) * INNER * 4, facts["tokens"])
+        weights = np.where(wide, -(-facts["chars"] // _inner(limit)) * _inner(limit) * 4, facts["tokens"])
         numbers, offsets = _numbers(rows.column("idx"))
         out: list[tuple] = []
         for i, (doc, rng, of, start, cues) in enumerate(zip(*[rows.column(k).to_pylist() for k in keys], strict=True)):
@@ -243,7 +248,8 @@ def split(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64) -> D
     Pieces are numbered from 0; ``text`` is the characters ``start`` to ``end`` of the document's text, and each piece
     after the first begins at most ``overlap`` tokens before the end of the one before. Null, empty and short texts have
     no row. ``n_tokens`` counts the tokens of the piece as they are in the whole text; encoded alone a piece has at most
-    as many, since white space at its end may join. ``doc_id`` is unique. A word that alone exceeds the limit is cut inside.
+    as many, since white space at its end may join. ``doc_id`` is unique; rows without
+    one are left out. A word that alone exceeds the limit is cut inside.
     """
     parts = plan_pieces(docs, path, limit, overlap)
     body = ranges(docs, limit).select("doc_id", "range", "text")
