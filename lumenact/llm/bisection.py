@@ -26,17 +26,18 @@ def values(activity: DataFrame, obs: DataFrame, panel: DataFrame, tiers: list[st
     They meet as the columns of one row a sample and run, so a hot sample leaves each map task as one row a run; the
     panel is a dimension of fixed size. Null and NaN are no values; null samples are no cells.
     """
-    features = [r["feature"] for r in panel.where(F.col("tier").isin(tiers)).orderBy("pos").select("feature").collect()]
-    position = panel.where(F.col("tier").isin(tiers)).select("feature", F.row_number().over(Window.orderBy("pos")).alias("_at"))
+    own = panel.where(F.col("tier").isin(tiers))
+    features = [(r["pos"], r["feature"]) for r in own.select("pos", "feature").orderBy("pos").collect()]
+    position = own.select("feature", F.col("pos").alias("_at"))
     v = F.when(~F.isnan(F.col(value)), F.col(value))
     rows = activity.where("sample is not null").select("sample", "run_id", "computed_at", "feature", v.alias("_v")).join(position, "feature")
     wide = rows.groupBy("sample", "run_id").agg(
-        F.max("computed_at").alias("at"), *[F.max(F.when(F.col("_at") == i + 1, F.col("_v"))).alias(f"v{i}") for i in range(len(features))]
+        F.max("computed_at").alias("at"), *[F.max(F.when(F.col("_at") == p, F.col("_v"))).alias(f"v{i}") for i, (p, _) in enumerate(features)]
     )
     long = wide.join(cells(obs).where("annotation is not null"), "sample").select(
         "annotation", F.to_date("at").alias("day"), F.posexplode(F.array(*[F.col(f"v{i}") for i in range(len(features))] or [F.lit(None).cast("double")])).alias("_i", "v")
     )
-    names = F.array(*[F.lit(f) for f in features] or [F.lit("")])
+    names = F.array(*[F.lit(f) for _, f in features] or [F.lit("")])
     return long.where("v is not null").select("annotation", F.element_at(names, F.col("_i") + 1).alias("feature"), "day", F.least(F.greatest("v", F.lit(-_HUGE)), F.lit(_HUGE)).alias("v"))
 
 

@@ -23,7 +23,8 @@ _ENTRY = "part long, n double, ls array<double>, ss double, key string"
 class Entries:
     """Leaf entries of one node. An entry takes in another when the joint root-mean-square radius stays within
     ``radius`` and the centres are at most ``reach`` apart. When there would be more than ``most`` entries, both
-    bounds grow by half and the entries are inserted anew, as a cluster-feature tree is rebuilt."""
+    bounds grow, to about the distance of neighbouring entries, and the entries are inserted anew, as a
+    cluster-feature tree is rebuilt."""
 
     def __init__(self, dim: int, radius: float, reach: float, most: int):
         self.dim, self.radius, self.reach, self.most = dim, radius, reach, most
@@ -42,8 +43,12 @@ class Entries:
 
     def _rebuild(self) -> None:
         n, ls, ss = self.n[: self.size].copy(), self.ls[: self.size].copy(), self.ss[: self.size].copy()
-        spread = np.sqrt(max(1e-12, float(np.median(ss / n - ((ls / n[:, None]) ** 2).sum(1)))))
-        self.radius, self.reach = max(self.radius * 1.5, spread * 1.1, 1e-6), max(self.reach * 1.5, 2 * spread, 2e-6)
+        centre = ls / n[:, None]
+        some = np.linspace(0, self.size - 1, min(self.size, 256)).astype(int)
+        d = (centre[some] ** 2).sum(1)[:, None] + (centre**2).sum(1)[None] - 2 * centre[some] @ centre.T
+        d[np.arange(len(some)), some] = np.inf
+        near = float(np.sqrt(max(np.median(d.min(1)), 0.0)))  # joins about half of the entries with their neighbours
+        self.radius, self.reach = max(self.radius * 1.25, 0.55 * near, 1e-9), max(self.reach * 1.25, 1.1 * near, 2e-9)
         self.size = 0
         for at in range(0, len(n), 512):
             self._insert(n[at : at + 512], ls[at : at + 512], ss[at : at + 512])

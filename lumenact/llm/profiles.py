@@ -38,21 +38,16 @@ def profiles(activity: DataFrame, obs: DataFrame, panel: DataFrame, value: str,
     The maximum has a buffer of one double a feature, so a sample of any number of rows, hot or not, becomes one
     partial row a map task before the only shuffle of the large table. ``panel`` is a dimension of fixed size.
     """
-    features = [r["feature"] for r in panel.where(F.col("tier") == tier).orderBy("pos").select("feature").collect()]
-    position = panel.where(F.col("tier") == tier).select("feature", F.row_number().over(_by_pos()).alias("_at"))
+    own = panel.where(F.col("tier") == tier)
+    places = [r["pos"] for r in own.select("pos").orderBy("pos").collect()]
+    position = own.select("feature", F.col("pos").alias("_at"))
     v = F.when(~F.isnan(F.col(value)), F.col(value))
     rows = activity.where("sample is not null").select("sample", "feature", v.alias("_v")).join(position, "feature", "left")
-    wide = rows.groupBy("sample").agg(*[F.max(F.when(F.col("_at") == i + 1, F.col("_v"))).alias(f"v{i}") for i in range(len(features))])
-    vec = F.array(*[F.coalesce(F.col(f"v{i}"), F.lit(0.0)) for i in range(len(features))]) if features else F.expr("array(0D)")
+    wide = rows.groupBy("sample").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("_at") == p, F.col("_v"))).alias(f"v{i}") for i, p in enumerate(places)])
+    vec = F.array(*[F.coalesce(F.col(f"v{i}"), F.lit(0.0)) for i in range(len(places))]) if places else F.expr("array(0D)")
     return wide.select("sample", vec.alias("vec")).join(cells(obs), "sample").select("sample", "annotation", "vec")
 
 
-def _by_pos():
-    from pyspark.sql import Window
-
-    return Window.orderBy("pos")
-
-
 def cell_profiles(spark: SparkSession, sf_dir: str, value: str = "zscore") -> DataFrame:
     """The profiles of the given tables, written once since the operators read them in several passes."""
     return written(profiles(table(spark, sf_dir, "activity"), table(spark, sf_dir, "obs"), table(spark, sf_dir, "panel"), value))

@@ -11,30 +11,32 @@ from .balls import lonely
 from .cftree import leaf_entries, ward
 from .common import vectors
 
-#: Entries kept at the root of the tree; with them Ward's table has at most 16 MB.
+#: Entries aimed at at the root of the tree; Ward's table of twice as many has 64 MB.
 MAX_ENTRIES = 2048
 
 
-def varied_subset(points: DataFrame, size: int, label: str = "annotation", radius: float = 8.0) -> DataFrame:
+def varied_subset(points: DataFrame, size: int, label: str = "annotation", radius: float = 0.0) -> DataFrame:
     """At most ``size`` rows of ``points(sample, vec, label)``: ``sample, label, grp, grp_size, distance``.
 
     The entries of every label agglomerate among themselves by Ward linkage until ``size`` groups are left in all
     (labels join only when there are more labels than ``size``), and the row nearest each group's centre comes out,
-    ties to the smaller sample. Crowded kinds cost little to merge, so sparse kinds and labels keep groups of their own.
-    A null label is a label of its own. Fewer rows than ``size`` all come out where their profiles differ by more than
-    ``radius``; equal profiles count as one kind. An empty table gives no rows.
+    ties to the smaller sample. An entry counts once in the linkage, however many rows it stands for, so a crowded kind
+    costs no more to merge than a sparse one and does not fill the subset. A null label is a label of its own. Rows no
+    more than ``radius`` apart, by default equal ones, count as one kind; there are fewer rows than ``size`` only if there
+    are fewer kinds. An empty table gives no rows.
     """
     spark = points.sparkSession
     if size < 1:
         raise ValueError("size must be positive")
-    most = max(MAX_ENTRIES, 2 * size)
+    labels = points.select(label).distinct().count()
+    most = max(16, 2 * max(MAX_ENTRIES, 2 * size) // max(labels, 1))  # of a label; Ward's table grows with all of them
     tree = leaf_entries(points, radius, 1.5 * radius, most, (label,)).select("key", "n", "ls").toPandas().sort_values(["key", "n"], ascending=[True, False])
     if not len(tree):
         return spark.createDataFrame([], f"sample string, {label} string, grp int, grp_size long, distance double")
     n, ls = tree["n"].to_numpy(), np.stack(tree["ls"].to_numpy())
     centre, keys = ls / n[:, None], tree["key"].to_numpy()
     block = np.unique(keys, return_inverse=True)[1]
-    group = ward(n, centre, size, block)
+    group = ward(np.ones(len(n)), centre, size, block)
     k = group.max() + 1
     total = np.zeros(k)
     middle = np.zeros((k, ls.shape[1]))
