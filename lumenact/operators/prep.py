@@ -222,3 +222,15 @@ def drop_non_numeric(wide: DataFrame, keep: list[str]) -> DataFrame:
         return cast
     has = cast.agg(*[F.count(f"`{c}`").alias(c) for c in rest]).first().asDict()
     return cast.select(*keep, *[c for c in rest if has[c]])
+
+
+def find_column(columns: list[str], candidates: list[str]) -> str | None:
+    """The first candidate that a column matches, whatever its case."""
+    own = {c.lower(): c for c in reversed(columns)}
+    return next((own[c.lower()] for c in candidates if c.lower() in own), None)
+
+
+def name_single(expr: DataFrame, name: str = "Change") -> DataFrame:
+    """The only sample renamed; tables of several samples stay as they are."""
+    w = expr.agg(F.countDistinct("sample").alias("_n"))
+    return expr.join(F.broadcast(w)).withColumn("sample", F.when(F.col("_n") == 1, F.lit(name)).otherwise(F.col("sample"))).drop("_n")

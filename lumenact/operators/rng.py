@@ -70,6 +70,11 @@ def clear_tables() -> None:
     permutations.cache_clear()
 
 
+def kept_tables() -> int:
+    """How many tables the session keeps."""
+    return permutations.cache_info().currsize
+
+
 def chosen(rng_method: str | None, use_gsl_rng: bool = True) -> str:
     """An explicit method wins; the older flag means ``srand`` when true and ``numpy`` when false."""
     if rng_method:

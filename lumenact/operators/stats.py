@@ -103,6 +103,18 @@ def logistic_regression(rows: DataFrame, y: str, xs: list[str], firth: bool = Fa
     return {"beta": beta, "se": se, "z": z, "p": np.where(se > 0, normal_p(z, alternative), 1.0), "converged": converged, "iterations": iteration}
 
 
+def logit(rows: DataFrame, y: str, xs: list[str], alternative: str = "two-sided", firth: bool = True) -> DataFrame:
+    """``term, beta, se, z, p`` of a logit model with Firth's correction by default."""
+    fit = logistic_regression(rows, y, xs, firth, alternative)
+    out = [(n, *(float(fit[k][i]) for k in ("beta", "se", "z", "p"))) for i, n in enumerate(xs)]
+    return rows.sparkSession.createDataFrame(out, "term string, beta double, se double, z double, p double")
+
+
+def risk_by_rank(activity: DataFrame, subjects: DataFrame, time: str = "time") -> DataFrame:
+    """``feature, r, n, p``: Spearman's correlation of each feature's activity ``value`` with survival time."""
+    return spearman(activity.join(subjects.select("sample", F.col(time).alias("_t")), "sample"), ["feature"], "value", "_t")
+
+
 def cox(rows: DataFrame, by: str, time: str, event: str, xs: list[str], min_rows: int = 5) -> DataFrame:
     """``by, risk_score_z, p_value, n``: a proportional-hazards fit of every group (Efron's ties), Wald's z of ``xs[0]``.
 

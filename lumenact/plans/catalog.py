@@ -511,6 +511,22 @@ def km_curve(spark, d):
     return rounded(out.withColumn("at_risk", F.col("at_risk").cast("long")), "survival")
 
 
+_DONORS = """o AS (SELECT DISTINCT sample, donor FROM obs WHERE donor IS NOT NULL),
+dm AS (SELECT feature, donor AS sample, avg(z) AS value FROM (SELECT feature, sample, max(zscore) AS z FROM activity WHERE zscore IS NOT NULL AND NOT isnan(zscore) GROUP BY feature, sample, run_id)
+  JOIN o USING (sample) GROUP BY feature, donor),
+dj AS (SELECT feature, round(value, 9) AS value, r.t AS t FROM dm JOIN survival USING (sample)),
+rk AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS ra, rank() OVER (PARTITION BY feature ORDER BY t) + (count(*) OVER (PARTITION BY feature, t) - 1) / 2 AS rb FROM dj)"""
+
+
+@query(sql("survival") + f", {_DONORS} SELECT feature, round(corr(ra, rb), 6) + 0.0 AS r, count(*) AS n FROM rk GROUP BY feature")
+def risk_spearman(spark, d):
+    """Risk of each feature by the mean z-score over a donor's cells."""
+    a = adapter.table(spark, d, "activity").where("zscore is not null and not isnan(zscore)").groupBy("feature", "sample", "run_id").agg(F.max("zscore").alias("z"))
+    o = adapter.table(spark, d, "obs").where("donor is not null").select("sample", "donor").distinct()
+    mean = a.join(o, "sample").groupBy("feature", F.col("donor").alias("sample")).agg(F.round(F.avg("z"), 9).alias("value"))
+    return rounded(stats.risk_by_rank(mean, _donors(spark, d)), "r").select("feature", "r", "n")
+
+
 @query()
 def cox_ph(spark, d):
     """Hazards by the mean z-score of each core feature over a donor's cells."""
@@ -524,15 +540,13 @@ def cox_ph(spark, d):
 @query()
 def logit_fit(spark, d):
     o = adapter.table(spark, d, "orders").withColumn("one", F.lit(1.0)).withColumn("big", F.ln("o_totalprice")).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
-    fit = stats.logistic_regression(o, "y", ["one", "big"])
-    return spark.createDataFrame([(n, *(float(fit[k][i]) for k in ("beta", "se", "z", "p"))) for i, n in enumerate(["one", "big"])], "term string, beta double, se double, z double, p double")
+    return stats.logit(o, "y", ["one", "big"], firth=False)
 
 
 @query()
 def logit_firth(spark, d):
     o = adapter.table(spark, d, "clinical").where("time is not null and event is not null").withColumn("one", F.lit(1.0)).withColumn("years", F.col("time") / 365)
-    fit = stats.logistic_regression(o, "event", ["one", "years"], firth=True)
-    return spark.createDataFrame([(n, *(float(fit[k][i]) for k in ("beta", "se", "z", "p"))) for i, n in enumerate(["one", "years"])], "term string, beta double, se double, z double, p double")
+    return stats.logit(o, "event", ["one", "years"])
 
 
 @query("SELECT feature, pattern, weight FROM (SELECT 'G' || CAST(l_partkey AS VARCHAR) AS feature, l_returnflag AS pattern, sum(l_quantity) AS weight, row_number() OVER (PARTITION BY l_partkey ORDER BY sum(l_quantity) DESC, l_returnflag DESC) AS k FROM lineitem GROUP BY l_partkey, l_returnflag) WHERE k = 1")

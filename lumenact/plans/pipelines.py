@@ -79,7 +79,7 @@ def bulk(treated: DataFrame, sig: DataFrame, control: DataFrame | None = None, *
     if is_differential:
         return activity(treated, sig, **options)
     if control is None:
-        return activity(treated, sig, centre_rows=True, **options)
+        return activity(prep.name_single(treated), sig, centre_rows=True, **options)
     diff = prep.paired(treated, control) if is_paired else prep.against_control(treated, control)
     return activity(diff if single_sample else prep.collapse(diff), sig, **options)
 
@@ -153,3 +153,8 @@ def _case_control(expr: DataFrame, typed: DataFrame, case: str | None, control:
     sums = grid.join(own, ["cell_type", "gene"], "left").select("cell_type", "gene", F.coalesce("sc", F.lit(0.0)).alias("sc"), (F.col("g") - F.coalesce("sc", F.lit(0.0))).alias("sk"), F.coalesce("pc", F.lit(0)).alias("pc"))
     others = size.join(F.broadcast(total)).select("cell_type", (F.col("t") - F.col("nc")).alias("nk"))
     return size, others, sums
+
+
+def spatial_communication(*_args, **_options) -> DataFrame:
+    """Communication between neighbouring spots is left to a package of its own, which is not part of this engine."""
+    raise ImportError("spatial communication needs an external package")
