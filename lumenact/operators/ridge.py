@@ -30,7 +30,26 @@ class Kernel:
     row_means: np.ndarray | None = None
     centre: bool = True
     scale: bool = True
-    flags: str = ""
+    places: np.ndarray | None = None  # the row of each gene number of the input; the same number if None
+
+    def block(self, part: pa.RecordBatch) -> np.ndarray:
+        """Genes by samples of some rows ``idx, val``."""
+        idx, val = part.column("idx"), part.column("val")
+        rows, column = idx.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(idx.offsets.to_numpy()))
+        y = np.zeros((self.t.shape[1], part.num_rows))
+        y[rows if self.places is None else self.places[rows], column] = val.flatten().to_numpy(zero_copy_only=False)
+        return y
+
+    def normalised(self, y: np.ndarray) -> np.ndarray:
+        """The block with row means taken off and columns normalised."""
+        if self.row_means is not None:
+            y = y - self.row_means[:, None]
+        if self.centre:
+            y = y - y.mean(0)
+        if self.scale and len(y) > 1:
+            sd = y.std(0, ddof=1)
+            y = y / np.where(sd < EPS, 1.0, sd)
+        return y
 
     def __call__(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """beta, se, z and p of a block (genes by samples).
@@ -74,33 +93,47 @@ class Kernel:
 
 
 def sample_rows(expr: DataFrame, genes: DataFrame) -> DataFrame:
-    """``sample, idx, val``: the values of each sample by the position of their genes in ``genes(gene, idx)``.
+    """``sample, idx, val``: the values of each sample by the number of their genes in ``genes(gene, idx)``; samples
+    without any of the genes have empty lists.
 
-    ``genes`` has the size of a genome. A sample has a row a gene at most, so a group is bounded.
+    ``genes`` has the size of a genome. A sample has a row a gene at most, so a group is bounded; where the rows are
+    partitioned by sample already, as after ``scaled``, there is no shuffle.
     """
-    rows = expr.join(F.broadcast(genes), "gene").select("sample", "idx", sane().alias("v"))
-    got = rows.groupBy("sample").agg(F.collect_list(F.struct("idx", "v")).alias("p"))
+    rows = expr.join(F.broadcast(genes), "gene", "left").select("sample", F.when(F.col("idx").isNotNull(), F.struct("idx", sane().alias("v"))).alias("p"))
+    got = rows.groupBy("sample").agg(F.collect_list("p").alias("p"))
     return got.select("sample", F.col("p.idx").alias("idx"), F.col("p.v").alias("val"))
 
 
-def run_kernel(samples: DataFrame, kernel: Kernel, features: list[str], batch_size: int = 512, grouped: bool = False) -> DataFrame:
+def gene_sums(samples: DataFrame, n_genes: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each gene number the rows it has and their sum, and the number of samples, in one pass over blocks."""
+
+    def run(batches):
+        rows, total, n = np.zeros(n_genes), np.zeros(n_genes), 0
+        for b in batches:
+            idx, val = b.column("idx").flatten().to_numpy(), b.column("val").flatten().to_numpy(zero_copy_only=False)
+            rows += np.bincount(idx, minlength=n_genes)
+            total += np.bincount(idx, val, minlength=n_genes)
+            n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_genes, dtype=np.int32)), pa.array(np.append(n, rows)), pa.array(np.append(0.0, total))], ["idx", "n", "s"])
+
+    got = samples.select("idx", "val").mapInArrow(run, "idx int, n double, s double").groupBy("idx").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
+    rows, total = np.zeros(n_genes + 1), np.zeros(n_genes + 1)
+    rows[got["idx"] + 1], total[got["idx"] + 1] = got["n"], got["s"]
+    return rows[1:], total[1:], int(rows[0])
+
+
+def run_kernel(samples: DataFrame, kernel: Kernel, features: list[str], batch_size: int = 512) -> DataFrame:
     """``feature, sample, beta, se, zscore, pvalue`` for ``samples(sample, idx, val)``."""
     sent = samples.sparkSession.sparkContext.broadcast((kernel, features))
 
     def run(batches):
         kernel, features = sent.value
-        g, p = kernel.t.shape[1], len(features)
-        names = np.array(features, object)
+        p, names = len(features), np.array(features, object)
         for b in batches:
             for at in range(0, b.num_rows, batch_size):
                 part = b.slice(at, batch_size)
-                m = part.num_rows
-                idx, val = part.column("idx"), part.column("val")
-                sizes = np.diff(idx.offsets.to_numpy())
-                y = np.zeros((g, m))
-                y[idx.flatten().to_numpy(), np.repeat(np.arange(m), sizes)] = val.flatten().to_numpy(zero_copy_only=False)
-                four = kernel(y)
-                columns = [pa.array(np.tile(names, m), pa.string()), part.column("sample").take(pa.array(np.repeat(np.arange(m), p)))]
+                four = kernel(kernel.block(part))
+                columns = [pa.array(np.tile(names, part.num_rows), pa.string()), part.column("sample").take(pa.array(np.repeat(np.arange(part.num_rows), p)))]
                 columns += [pa.array(x.T.ravel()) for x in four]
                 yield pa.RecordBatch.from_arrays(columns, ["feature", "sample", "beta", "se", "zscore", "pvalue"])
 
@@ -117,13 +150,11 @@ def run_by_permutations(samples: DataFrame, kernel: Kernel, features: list[str],
 
     def run(batches):
         kernel, features = sent.value
-        g = kernel.t.shape[1]
         cuts = np.linspace(0, n_rand, parts + 1).astype(int)
         for b in batches:
             part = b.column("part").to_numpy()
             for k in range(b.num_rows):
-                y = np.zeros((g, 1))
-                y[np.array(b.column("idx")[k].as_py(), int), 0] = b.column("val")[k].as_py()
+                y = kernel.block(b.slice(k, 1))
                 own = Kernel(kernel.t, kernel.perms[cuts[part[k]] : cuts[part[k] + 1]], kernel.row_means, kernel.centre, kernel.scale)
                 n = len(own.perms)
                 beta, se, z, p = (x[:, 0] for x in own(y))
@@ -157,15 +188,7 @@ def ttest(samples: DataFrame, x: np.ndarray, features: list[str], lam: float, ke
         kernel, x, inv, features = sent.value
         for b in batches:
             for k in range(b.num_rows):
-                y = np.zeros((x.shape[0], 1))
-                y[np.array(b.column("idx")[k].as_py(), int), 0] = b.column("val")[k].as_py()
-                if kernel.row_means is not None:
-                    y = y - kernel.row_means[:, None]
-                if kernel.centre:
-                    y = y - y.mean(0)
-                if kernel.scale:
-                    sd = y.std(0, ddof=1)
-                    y = y / np.where(sd < EPS, 1.0, sd)
+                y = kernel.normalised(kernel.block(b.slice(k, 1)))
                 beta = (kernel.t @ y)[:, 0]
                 s2 = float(((y[:, 0] - x @ beta) ** 2).sum()) / df
                 se = np.sqrt(np.maximum(inv * s2, 0))

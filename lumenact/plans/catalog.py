@@ -43,6 +43,11 @@ def logged(spark, d):
     return prep.log2p1(prep.scaled(dense(spark, d), 1e6))
 
 
+def logged_rows(spark, d):
+    """The same without rows for zeros, which the kernel needs not."""
+    return prep.log2p1(prep.scaled(adapter.expression(spark, d), 1e6))
+
+
 # --- preparation ----------------------------------------------------------------------------------------------------
 
 
@@ -126,7 +131,7 @@ def normalized_check(spark, d):
 
 @query(sql("expr", "sig") + "SELECT gene, CAST(row_number() OVER (ORDER BY gene) - 1 AS INTEGER) AS gene_idx FROM (SELECT DISTINCT gene FROM sig WHERE gene IN (SELECT gene FROM expr))")
 def gene_join_sigorder(spark, d):
-    genes = pipelines._gene_order(adapter.signature(spark, d), adapter.expression(spark, d), "sorted")  # noqa: SLF001
+    genes = pipelines.common_genes(adapter.expression(spark, d), adapter.signature(spark, d))
     return spark.createDataFrame(list(enumerate(genes)), "gene_idx int, gene string")
 
 
@@ -254,7 +259,7 @@ SELECT feature, sample, round(beta, 6) + 0.0 AS beta, round(se, 6) AS se, round(
 
 def _ridge(spark, d, **options):
     settings = {"lam": LAM, "n_rand": PERMS, "centre_rows": True} | options
-    return rounded(pipelines.activity(logged(spark, d), adapter.signature(spark, d), **settings), "beta", "se", "zscore", "pvalue")
+    return rounded(pipelines.activity(logged_rows(spark, d), adapter.signature(spark, d), **settings), "beta", "se", "zscore", "pvalue")
 
 
 @query(_DENSE_RIDGE + "SELECT feature, sample, round(beta, 6) + 0.0 AS beta FROM beta")
@@ -346,7 +351,7 @@ def ridge_sparse_rowcenter_2f(spark, d):
 @query()
 def ridge_full_64f(spark, d):
     """All 64 features with the production number of permutations and the production lambda."""
-    return pipelines.activity(logged(spark, d), adapter.signature(spark, d, 64), centre_rows=True)
+    return pipelines.activity(logged_rows(spark, d), adapter.signature(spark, d, 64), centre_rows=True)
 
 
 # --- signatures ---------------------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +12,27 @@ from ..operators import linalg, prep, ridge, rng
 
 LAMBDA = 5e5
 N_RAND = 1000
+#: Floating-point operations aimed at in one task of the kernel, some seconds' work.
+TASK_FLOPS = 2e10
 
 
-def _gene_order(sig: DataFrame, expr: DataFrame, order: str) -> list[str]:
-    """The common genes: sorted, in the order of the signature's ``pos``, or of the expression's ``pos``.
+def _ordered(genes: list[str], sig: DataFrame, expr: DataFrame, order: str) -> list[str]:
+    """Genes sorted by bytes, or by the ``pos`` of the signature or of the expression.
 
-    A permutation addresses a gene by its place, so the order decides se, z and p (not beta). Names sort by bytes.
+    A permutation addresses a gene by its place, so the order decides se, z and p (not beta).
     """
-    rows = prep.common_genes(sig, expr)
+    if order not in ("sorted", "signature", "expression"):
+        raise ValueError("order is sorted, signature or expression")
     source = {"signature": sig, "expression": expr}.get(order)
-    if source is not None and "pos" in source.columns:
-        placed = rows.join(source.groupBy("gene").agg(F.min("pos").alias("pos")), "gene").orderBy("pos", "gene")
-        return [r["gene"] for r in placed.collect()]
-    return sorted(r["gene"] for r in rows.collect())
+    if source is None or "pos" not in source.columns:
+        return sorted(genes)
+    place = {r["gene"]: r["pos"] for r in source.groupBy("gene").agg(F.min("pos").alias("pos")).collect()}
+    return sorted(genes, key=lambda g: (place[g], g))
+
+
+def common_genes(expr: DataFrame, sig: DataFrame, order: str = "sorted") -> list[str]:
+    """The genes that the expression and the signature have, in the order a permutation sees them."""
+    return _ordered([r["gene"] for r in prep.common_genes(sig, expr).collect()], sig, expr, order)
 
 
 def activity(
@@ -37,16 +46,27 @@ def activity(
     ``centre_rows`` takes every gene's mean over the samples off (absent rows count as 0) without writing the zeros;
     ``centre`` and ``scale`` normalise each sample over the common genes; ``scale_signature`` does so for the features.
     ``grouping`` fits correlated features once, as their mean, and reports each. ``n_rand`` 0 gives the t-test.
-    ``permutation_parts`` spreads the permutations of few samples over so many tasks.
+    ``permutation_parts`` spreads the permutations of few samples over so many tasks. The rows by sample stay cached
+    until the session's cache is cleared.
     """
     if n_rand < 0 or batch_size < 1:
         raise ValueError("n_rand must not be negative and batch_size must be positive")
     spark = expr.sparkSession
     if sig_filter:
         sig = prep.measured_features(sig, expr)
-    genes = _gene_order(sig, expr, order)
+    known = sorted(r["gene"] for r in sig.select("gene").where("gene is not null").distinct().collect())
+    idx = spark.createDataFrame([(g, i) for i, g in enumerate(known)], "gene string, idx int")
+    # what comes before is computed once; the passes below read these rows
+    samples = ridge.sample_rows(expr, idx).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, sums, n = ridge.gene_sums(samples, len(known))
+    number = {g: i for i, g in enumerate(known)}
+    genes = _ordered([g for g in known if rows[number[g]]], sig, expr, order)
     if len(genes) < min_genes:
+        samples.unpersist()
         raise ValueError(f"only {len(genes)} genes in common, {min_genes} are needed")
+    places = np.zeros(len(known), np.int64)
+    taken = np.array([number[g] for g in genes], int)
+    places[taken] = np.arange(len(genes))
     x, features = linalg.signature_matrix(sig, genes)
     if grouping:
         x, features = linalg.group_features(x, features, threshold)
@@ -54,16 +74,12 @@ def activity(
         x = linalg.standardise(x)
     t = linalg.projection(x, lam)
     perms = rng.permutations(rng.chosen(rng_method, use_gsl_rng), len(genes), n_rand, seed) if n_rand else np.empty((0, len(genes)), np.int32)
-    idx = spark.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, idx int")
-    means = None
-    if centre_rows:
-        n = expr.select("sample").distinct().count()
-        if n > 1:
-            means = np.zeros(len(genes))
-            for r in prep.gene_means(expr, n).join(F.broadcast(idx), "gene").collect():
-                means[r["idx"]] = r["row_mean"]
-    samples = ridge.sample_rows(expr, idx)
-    kernel = ridge.Kernel(t, perms, means, centre, scale)
+    means = sums[taken] / n if centre_rows and n > 1 else None
+    kernel = ridge.Kernel(t, perms, means, centre, scale, places)
+    # the kernel is bound by computing: rows that fill few partitions are spread by the products to come
+    want = min(n, int(2.0 * n * t.size * max(n_rand, 1) / TASK_FLOPS) + 1)
+    if want > samples.rdd.getNumPartitions():
+        samples = samples.repartition(want)
     if not n_rand:
         out = ridge.ttest(samples, x, features, lam, kernel)
     elif permutation_parts:
