@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,15 @@ def signature_matrix(sig: DataFrame, genes: list[str]) -> tuple[np.ndarray, list
 
     A signature has the size of a genome times a panel, not of the data, and fits the driver.
     """
-    rows = sig.groupBy("gene", "feature").agg(F.max(sane("weight")).alias("w")).toPandas()
-    features = sorted(rows["feature"].unique())
-    at, of = {g: i for i, g in enumerate(genes)}, {f: i for i, f in enumerate(features)}
-    x = np.zeros((len(genes), len(features)))
-    rows = rows[rows["gene"].isin(at)]
-    x[rows["gene"].map(at).to_numpy(int), rows["feature"].map(of).to_numpy(int)] = rows["w"]
+    rows = sig.groupBy("gene", "feature").agg(F.max(sane("weight")).alias("w")).toArrow()
+    named = rows.column("feature").combine_chunks().dictionary_encode()
+    features = sorted(named.dictionary.to_pylist())
+    place = np.argsort(np.argsort(np.array(named.dictionary.to_pylist(), object), kind="stable"), kind="stable")
+    column = place[named.indices.to_numpy()] if len(named) else np.zeros(0, int)
+    row = pc.index_in(rows.column("gene"), pa.array(genes, pa.string())).to_numpy()
+    weight = rows.column("w").to_numpy()
+    x, known = np.zeros((len(genes), len(features))), ~np.isnan(row.astype(float))
+    x[row[known].astype(int), column[known]] = weight[known]
     return x, features
 
 

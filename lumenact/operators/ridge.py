@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .prep import sane
 
 EPS = 1e-12
+#: Columns of one product of the kernel.
+WIDTH = 256
 RESULT = "feature string, sample string, beta double, se double, zscore double, pvalue double"
 
 
@@ -67,22 +69,27 @@ class Kernel:
         c = t.sum(1)
 
         def normal(q: np.ndarray) -> np.ndarray:
-            return (q - c[:, None] * mu) / sigma
+            return (q - c.reshape(-1, *[1] * (q.ndim - 1)) * mu) / sigma
 
         beta = normal(t @ y)
         size = np.abs(beta)
         total, square, beyond = np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(beta)
-        few = y.shape[1] < t.shape[0]
-        for perm in self.perms:
-            if few:  # move the rows of the block
-                q = normal(t @ y[perm])
-            else:  # or the columns of the projection, back
+        if y.shape[1] < t.shape[0]:  # move the rows of the block, for several permutations in one product
+            wide = max(1, WIDTH // max(1, y.shape[1]))
+            for at in range(0, n_rand, wide):
+                moved = y[self.perms[at : at + wide].T]  # genes, permutations, samples
+                q = normal((t @ moved.reshape(len(y), -1)).reshape(len(t), -1, y.shape[1]))
+                total += q.sum(1)
+                square += np.einsum("ijk,ijk->ik", q, q)
+                beyond += (np.abs(q) >= size[:, None]).sum(1)
+        else:  # or the columns of the projection, back
+            for perm in self.perms:
                 moved = np.empty_like(t)
                 moved[:, perm] = t
                 q = normal(moved @ y)
-            total += q
-            square += q * q
-            beyond += np.abs(q) >= size
+                total += q
+                square += q * q
+                beyond += np.abs(q) >= size
         if not n_rand:
             nan = np.full_like(beta, np.nan)
             return beta, nan, nan, nan

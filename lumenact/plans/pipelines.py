@@ -13,7 +13,7 @@ from ..operators import linalg, prep, ridge, rng
 LAMBDA = 5e5
 N_RAND = 1000
 #: Floating-point operations aimed at in one task of the kernel, some seconds' work.
-TASK_FLOPS = 2e10
+TASK_FLOPS = 2e11
 
 
 def _ordered(genes: list[str], sig: DataFrame, expr: DataFrame, order: str) -> list[str]:
