@@ -426,3 +426,23 @@ def test_streams(spark, data, tmp_path):
 def test_memory_and_batch_estimates():
     assert 100 <= ridge.estimate_batch_size(7720, 1170, 0.1) <= 50000
     assert ridge.estimate_memory(7720, 1170, 1000)["total_gb"] > 0
+
+
+def test_small_helpers(spark):
+    assert prep.find_column(["Time", "EVENT"], ["os", "event", "time"]) == "EVENT" and prep.find_column(["a"], ["b"]) is None
+    e = spark.createDataFrame([("a", "x", 1.0)], "gene string, sample string, value double")
+    assert prep.name_single(e).first().sample == "Change"
+    assert {r.sample for r in prep.name_single(e.unionByName(e.withColumn("sample", F.lit("y")))).collect()} == {"x", "y"}
+    with pytest.raises(ImportError):
+        pipelines.spatial_communication()
+
+
+def test_gene_order_is_a_choice(spark, data):
+    genes, _, _, _, _, expr, sig = data
+    turned = sig.join(spark.createDataFrame([(g, -i) for i, g in enumerate(genes)], "gene string, pos int"), "gene")
+    assert pipelines.common_genes(expr, turned, "signature") == genes[::-1]
+    assert pipelines.common_genes(expr, sig) == genes
+    a, b = (matrices(pipelines.activity(expr, turned, lam=1.0, n_rand=10, order=o)) for o in ("sorted", "signature"))
+    assert np.allclose(a[0], b[0]) and not np.allclose(a[2], b[2])
+    with pytest.raises(ValueError):
+        pipelines.common_genes(expr, sig, "random")
