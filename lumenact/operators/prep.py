@@ -102,10 +102,12 @@ def gene_means(expr: DataFrame, n_samples: int | Column) -> DataFrame:
 
 
 def centre_rows(dense: DataFrame) -> DataFrame:
-    """Every gene minus its mean over samples (of a dense table). A single sample is left as it is."""
-    w = Window.partitionBy("gene")
-    n = F.count("*").over(w)
-    return dense.select(*KEYS, F.when(n > 1, sane() - F.avg(sane()).over(w)).otherwise(sane()).alias("value"))
+    """Every gene minus its mean over samples (of a dense table). A single sample is left as it is.
+
+    The means, one a gene, come back by a join, so the table itself is not shuffled by gene.
+    """
+    mean = dense.groupBy("gene").agg(F.avg(sane()).alias("_m"), F.count("*").alias("_n"))
+    return dense.join(mean, "gene").select(*KEYS, F.when(F.col("_n") > 1, sane() - F.col("_m")).otherwise(sane()).alias("value"))
 
 
 def zscore_columns(dense: DataFrame, method: str = "zscore", eps: float = 0.0) -> DataFrame:

@@ -6,23 +6,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_p, t_p_value
-
-
-def average_rank(value: str | Column, by: list[str]) -> Column:
-    """Ranks within ``by`` with ties at their mean."""
-    v = F.col(value) if isinstance(value, str) else value
-    ranked, tied = Window.partitionBy(*by).orderBy(v), Window.partitionBy(*by, v)
-    return F.rank().over(ranked) + (F.count("*").over(tied) - 1) / 2
+from .ranks import quantiles, with_average_rank
 
 
 def spearman(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """``by, r, n, p``: Spearman's correlation of finite pairs, p by the t distribution (NaN with fewer than 3 pairs)."""
     ok = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    ranked = ok.select(*by, average_rank(a, by).alias("_a"), average_rank(b, by).alias("_b"))
+    ranked = with_average_rank(with_average_rank(ok.select(*by, a, b), by, a, "_a"), by, b, "_b")
     r = ranked.groupBy(*by).agg(F.corr("_a", "_b").alias("r"), F.count("*").alias("n"))
     df = (F.col("n") - 2).cast("double")
     t = F.col("r") * F.sqrt(df / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
@@ -47,7 +41,7 @@ def kaplan_meier(subjects: DataFrame, group: str, time: str = "time", event: str
 
 def median_split(rows: DataFrame, value: str, by: list[str], name: str = "grp") -> DataFrame:
     """``rows`` with ``high`` for values above the median of ``by``, else ``low``."""
-    m = rows.groupBy(*by).agg(F.median(value).alias("_m")) if by else rows.agg(F.median(value).alias("_m"))
+    m = quantiles(rows, by, value, {"_m": 0.5}).drop("n")
     joined = rows.join(m, by) if by else rows.join(F.broadcast(m))
     return joined.withColumn(name, F.when(F.col(value) > F.col("_m"), "high").otherwise("low")).drop("_m")
 
@@ -126,7 +120,7 @@ def cox(rows: DataFrame, by: str, time: str, event: str, xs: list[str], min_rows
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = _cox_fit(pdf[time].to_numpy(float), pdf[event].to_numpy(float), pdf[xs].to_numpy(float))
         if out is None:
-            return pd.DataFrame({by: [], "risk_score_z": [], "p_value": [], "n": []})
+            return pdf[[by]].head(0).assign(risk_score_z=np.zeros(0), p_value=np.zeros(0), n=np.zeros(0, np.int64))
         z = out[0] / out[1]
         return pd.DataFrame({by: [pdf[by].iloc[0]], "risk_score_z": [z], "p_value": [float(normal_p(np.array([z]))[0])], "n": [len(pdf)]})
 
@@ -140,7 +134,6 @@ def _cox_fit(time: np.ndarray, event: np.ndarray, x: np.ndarray) -> tuple[float,
     order = np.argsort(-time, kind="stable")
     time, event, x = time[order], event[order], x[order]
     x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    scale = 1.0
     b = np.zeros(x.shape[1])
     ends = np.flatnonzero(np.append(np.diff(time) != 0, True)) + 1
     for _ in range(50):
@@ -167,10 +160,13 @@ def _cox_fit(time: np.ndarray, event: np.ndarray, x: np.ndarray) -> tuple[float,
         b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    var = np.linalg.inv(info)[0, 0]
+    try:
+        var = np.linalg.inv(info)[0, 0]
+    except np.linalg.LinAlgError:
+        return None
     if not (np.isfinite(var) and var > 0):
         return None
-    return float(b[0] / scale), math.sqrt(var)
+    return float(b[0]), math.sqrt(var)
 
 
 def fit_line(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

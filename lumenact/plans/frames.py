@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import quantiles
 from ..operators.stats import fit_line
 
 
@@ -21,10 +22,7 @@ def distribution(by_radius: dict[str, DataFrame], feature: str) -> DataFrame:
 def boxes(values: DataFrame, labels: DataFrame) -> DataFrame:
     """``cell_type, n, least, q1, median, q3, most, place``: ``values(sample, value)`` by type, highest median first."""
     joined = values.where("value is not null and not isnan(value)").join(labels.where("cell_type is not null"), "sample")
-    g = joined.groupBy("cell_type").agg(
-        F.count("*").alias("n"), F.min("value").alias("least"), F.percentile("value", F.lit(0.25)).alias("q1"),
-        F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.75)).alias("q3"), F.max("value").alias("most"),
-    )
+    g = quantiles(joined, ["cell_type"], "value", {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "most": 1.0})
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.col("median").desc(), "cell_type")))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenact.functions.distributions import incomplete_beta, normal_p, t_two_sided
-from lumenact.operators import compare, linalg, prep, ridge, rng, spatial, stats
+from lumenact.operators import compare, linalg, prep, ranks, ridge, rng, spatial, stats
 from lumenact.plans import frames, pipelines
 from lumenact.sources import results, tenx
 from lumenact.sources.delimited import read_matrix, read_pairs, read_signature, sniff_index, sniff_separator
@@ -216,6 +216,19 @@ def test_spearman_with_ties(spark):
     assert abs(got.r - want) < 1e-12 and got.n == 8 and 0 < got.p < 0.05
 
 
+def test_ranks_and_quantiles_of_any_group(spark):
+    r = np.random.default_rng(8)
+    groups = {"ties": np.round(r.normal(size=900), 1), "wide": r.lognormal(size=500) * 1e3, "one": np.array([4.0]), "same": np.full(300, 2.0), None: np.array([1.0, 3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("ties", None), ("one", float("nan"))], "g string, v double")
+    got = ranks.with_average_rank(df, ["g"], "v", "rank_").toPandas()
+    for k, x in groups.items():
+        own = got[got["g"] == k] if k else got[got["g"].isna()]
+        assert len(own) == len(x) and np.allclose(own["rank_"], own["v"].rank())
+    for row in ranks.quantiles(df, ["g"], "v", {"a": 0.25, "m": 0.5, "z": 1.0}).collect():
+        assert row.n == len(groups[row.g]) and np.allclose([row.a, row.m, row.z], np.quantile(groups[row.g], [0.25, 0.5, 1.0]))
+    assert ranks.quantiles(df.limit(0), [], "v", {"m": 0.5}).first().n is None
+
+
 def test_kaplan_meier_by_hand(spark):
     rows = [("g", "a", 1.0, 1), ("g", "b", 2.0, 0), ("g", "c", 3.0, 1), ("g", "d", 4.0, 1)]
     got = [round(r.survival, 6) for r in stats.kaplan_meier(spark.createDataFrame(rows, "grp string, sample string, time double, event int"), "grp").orderBy("time").collect()]
@@ -253,7 +266,7 @@ def test_singular_logistic_regression(spark):
 def test_cox_finds_the_hazard(spark):
     r = np.random.default_rng(3)
     act = r.normal(size=200)
-    rows = [("f", float(r.exponential(np.exp(-a))), 1, float(a)) for a in act] + [("few", 1.0, 1, 1.0)] * 3 + [("flat", float(i), 1, 2.0) for i in range(9)]
+    rows = [("f", float(r.exponential(np.exp(-a))), 1, float(a)) for a in act] + [("few", 1.0, 1, 1.0)] * 3 + [("flat", float(i), 1, 2.0) for i in range(9)] + [("alive", float(i), 0, float(i)) for i in range(9)]
     got = stats.cox(spark.createDataFrame(rows, "feature string, time double, event int, act double"), "feature", "time", "event", ["act"]).collect()
     assert [g.feature for g in got] == ["f"] and got[0].risk_score_z > 5 and got[0].p_value < 1e-6
 
