@@ -112,7 +112,7 @@ def _em(points: DataFrame, reduce: Reduction, mixtures: list[Mixture], overall:
             own = [np.full(s.size + 2, i, np.int32), np.append(k.ravel(), [-1, -2]), np.append(j.ravel(), [0, 0]), np.append(s.ravel(), [ll[i], rows])]
             yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(own[2].astype(np.int32)), pa.array(own[3])], ["m", "k", "j", "value"])
 
-    got = summed(points.select("vec").mapInArrow(expect, "m int, k int, j int, value double"), ["m", "k", "j"]).toPandas()
+    got = summed(points.select("vec").mapInArrow(expect, "m int, k int, j int, value double"), ["m", "k", "j"]).toArrow().to_pandas()
     out, lls, n = [], [], 0.0
     for i, m in enumerate(mixtures):
         own = got[got["m"] == i]
@@ -146,11 +146,11 @@ def fit(points: DataFrame, candidates: tuple[int, ...] = (8, 16, 32, 64, 96, 128
             x = vectors(b.column("vec"))
             yield pa.RecordBatch.from_arrays([lists(sent.value(x)) if len(x) else b.column("vec")], ["vec"])
 
-    tree = leaf_entries(points.select("vec").mapInArrow(reduced, "vec array<double>"), 1e-3, 2e-3, 512).toPandas()
-    n, ls = tree["n"].to_numpy(), np.stack(tree["ls"].to_numpy())
+    tree = leaf_entries(points.select("vec").mapInArrow(reduced, "vec array<double>"), 1e-3, 2e-3, 512).toArrow()
+    n, ls = tree.column("n").to_numpy(), vectors(tree.column("ls"))
     centre = ls / n[:, None]
     overall = np.maximum((n @ centre**2 - n.sum() * (n @ centre / n.sum()) ** 2) / n.sum() + 1e-6, 1e-6)
-    spread = np.maximum(tree["ss"].to_numpy() / n - (centre**2).sum(1), 0) / centre.shape[1]
+    spread = np.maximum(tree.column("ss").to_numpy() / n - (centre**2).sum(1), 0) / centre.shape[1]
     mixtures = [_start(n, centre, spread, k, overall) for k in sorted({min(k, len(n)) for k in candidates})]
     for _ in range(passes):
         mixtures, lls, total = _em(points, reduce, mixtures, overall)
@@ -226,7 +226,7 @@ def linked(points: DataFrame, distance: float) -> DataFrame:
         for k, s in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)], ["k", "j", "value"])
 
-    sums = summed(own.mapInArrow(centres, "k int, j int, value double"), ["k", "j"]).toPandas().pivot(index="k", columns="j", values="value").to_numpy()
+    sums = summed(own.mapInArrow(centres, "k int, j int, value double"), ["k", "j"]).toArrow().to_pandas().pivot(index="k", columns="j", values="value").to_numpy()
     middle = sums[:, :-1] / sums[:, -1:]
     sent = points.sparkSession.sparkContext.broadcast(middle)
 
@@ -237,7 +237,7 @@ def linked(points: DataFrame, distance: float) -> DataFrame:
                 d = (x**2).sum(1)[:, None] + (sent.value**2).sum(1)[None] - 2 * x @ sent.value.T
                 yield pa.RecordBatch.from_arrays([b.column("vec").filter(pa.array(d.min(1) > (0.75 * distance) ** 2))], ["vec"])
 
-    rest = leaf_entries(own.select("vec").mapInArrow(far, "vec array<double>"), distance / 2, 0.75 * distance).toPandas()
+    rest = leaf_entries(own.select("vec").mapInArrow(far, "vec array<double>"), distance / 2, 0.75 * distance).toArrow()
     if len(rest):
-        middle = np.vstack([middle, np.stack(rest["ls"].to_numpy()) / rest["n"].to_numpy()[:, None]])
+        middle = np.vstack([middle, vectors(rest.column("ls")) / rest.column("n").to_numpy()[:, None]])
     return chains(points, middle, distance)

@@ -135,12 +135,12 @@ def build(points: DataFrame) -> tuple[Index | None, int]:
     """An index fitted to a bounded sample of ``points(sample, vec)``, and the number of all rows."""
     n = points.count()
     share = F.pmod(F.xxhash64("sample"), F.lit(1 << 30)) < int(min(1.0, FIT_ROWS / max(n, 1)) * (1 << 30))
-    rows = points.where(share).select("vec").toPandas()
+    rows = points.where(share).select("vec").toArrow()
     if n and not len(rows):  # very few rows
-        rows = points.limit(FIT_ROWS).select("vec").toPandas()
+        rows = points.limit(FIT_ROWS).select("vec").toArrow()
     if not len(rows):
         return None, 0
-    x = unit(np.stack(rows["vec"].to_numpy()))
+    x = unit(vectors(rows.column("vec")))
     return Index(x, int(np.clip(n // LIST_ROWS, 1, 4096))), n
 
 

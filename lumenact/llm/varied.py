@@ -73,6 +73,6 @@ def sparse_points(points: DataFrame, distance: float, most: int) -> DataFrame:
     The leaf entries of the tree, built with half the distance as radius, are the pivots; a row well inside an entry of
     enough rows is settled by the entry, and an exact check in blocks settles the rest (see ``balls``).
     """
-    tree = leaf_entries(points, distance / 2, 0.75 * distance, 2 * MAX_ENTRIES).select("n", "ls").toPandas()
-    pivots = np.stack(tree["ls"].to_numpy()) / tree["n"].to_numpy()[:, None] if len(tree) else np.zeros((0, 1))
+    tree = leaf_entries(points, distance / 2, 0.75 * distance, 2 * MAX_ENTRIES).select("n", "ls").toArrow()
+    pivots = vectors(tree.column("ls")) / tree.column("n").to_numpy()[:, None] if len(tree) else np.zeros((0, 1))
     return lonely(points, pivots, distance, most)
