@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,12 @@ from .ranks import quantiles, with_average_rank
 
 
 def spearman(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """``by, r, n, p``: Spearman's correlation of finite pairs, p by the t distribution (NaN with fewer than 3 pairs)."""
-    ok = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    ranked = with_average_rank(with_average_rank(ok.select(*by, a, b), by, a, "_a"), by, b, "_b")
+    """``by, r, n, p``: Spearman's correlation of finite pairs, p by the t distribution (NaN with fewer than 3 pairs).
+
+    The pairs are read several times and stay cached until the session's cache is cleared.
+    """
+    ok = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)).select(*by, a, b).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = with_average_rank(with_average_rank(ok, by, a, "_a"), by, b, "_b")
     r = ranked.groupBy(*by).agg(F.corr("_a", "_b").alias("r"), F.count("*").alias("n"))
     df = (F.col("n") - 2).cast("double")
     t = F.col("r") * F.sqrt(df / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
