@@ -44,7 +44,7 @@ def ranges(docs: DataFrame, at_least: int, size: int = RANGE) -> DataFrame:
     rows = docs.select("doc_id", "text").where((F.octet_length("text") > at_least) & F.col("doc_id").isNotNull())
 
     def cut(batches):
-        for b in batches:
+        for b in (whole.slice(at, 128) for whole in batches for at in range(0, whole.num_rows, 128)):
             out: list[tuple] = []
             held = 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
