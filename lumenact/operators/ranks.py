@@ -7,10 +7,15 @@ sorted by one task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 32
+#: Distinct values that one task may rank alone; beyond them a group is spread.
+ONE_TASK = 200_000
 
 
 def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -25,7 +30,7 @@ def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     same = lambda l, r: [F.col(f"{l}.{k}").eqNullSafe(F.col(f"{r}.{k}")) for k in keys]  # noqa: E731, E741
     distinct = rows.groupBy(*keys, "_v").agg(F.count("*").alias("c"))
     shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, 1000).alias("_cuts"))
+    cuts = distinct.groupBy(*keys).agg(F.when(F.count("*") > ONE_TASK, F.percentile_approx("_v", shares, 200)).otherwise(F.array().cast("array<double>")).alias("_cuts"))
     placed = distinct.alias("d").join(cuts.alias("q"), same("d", "q")).select("d.*", F.size(F.filter("q._cuts", lambda x: x < F.col("d._v"))).alias("_k"))
     whole = Window.partitionBy(*keys)
     sizes = placed.groupBy(*keys, "_k").agg(F.sum("c").alias("_m"))
@@ -35,12 +40,25 @@ def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return both.select(*[F.col(f"i._b{i}").alias(b) for i, b in enumerate(by)], F.col("i._v").alias(value), "i.c", (F.col("i._upto") + F.col("s._before")).alias("upto"), "s.n")
 
 
-def with_average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``rows`` that have a value, with their rank within ``by``, ties at their mean."""
-    ranks = value_ranks(rows, by, value)
-    rank = F.col("r.upto") - (F.col("r.c") - 1) / 2
-    same = [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by] + [F.col(f"l.{value}").cast("double") == F.col(f"r.{value}")]
-    return rows.alias("l").join(ranks.alias("r"), same).select("l.*", rank.alias(name))
+def with_average_ranks(rows: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    """``rows`` that have all values, with the rank of each column ``names`` has within ``by``, ties at their mean.
+
+    Groups that one task can sort are ranked by a window; if any is larger, all go by distinct values. Both are exact.
+    """
+    out = rows.where(reduce(and_, [F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) for v in names]))
+    largest = out.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= 5 * ONE_TASK:
+        for value, name in names.items():
+            rank = F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+            out = out.withColumn(name, rank)
+        return out
+    valid = out
+    for value, name in names.items():
+        ranks = value_ranks(valid, by, value)
+        ranks = ranks.select(*[F.col(b).alias(f"_r{i}") for i, b in enumerate(by)], F.col(value).alias("_rv"), (F.col("upto") - (F.col("c") - 1) / 2).alias(name))
+        same = [F.col(b).eqNullSafe(F.col(f"_r{i}")) for i, b in enumerate(by)] + [F.col(value).cast("double") == F.col("_rv")]
+        out = out.join(ranks, same).drop("_rv", *[f"_r{i}" for i in range(len(by))])
+    return out
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_p, t_p_value
-from .ranks import quantiles, with_average_rank
+from .ranks import quantiles, with_average_ranks
 
 
 def spearman(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -20,7 +20,7 @@ def spearman(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     The pairs are read several times and stay cached until the session's cache is cleared.
     """
     ok = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)).select(*by, a, b).persist(StorageLevel.MEMORY_AND_DISK)
-    ranked = with_average_rank(with_average_rank(ok, by, a, "_a"), by, b, "_b")
+    ranked = with_average_ranks(ok, by, {a: "_a", b: "_b"})
     r = ranked.groupBy(*by).agg(F.corr("_a", "_b").alias("r"), F.count("*").alias("n"))
     df = (F.col("n") - 2).cast("double")
     t = F.col("r") * F.sqrt(df / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))

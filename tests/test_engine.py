@@ -216,11 +216,13 @@ def test_spearman_with_ties(spark):
     assert abs(got.r - want) < 1e-12 and got.n == 8 and 0 < got.p < 0.05
 
 
-def test_ranks_and_quantiles_of_any_group(spark):
+@pytest.mark.parametrize("alone", [ranks.ONE_TASK, 20])
+def test_ranks_and_quantiles_of_any_group(spark, monkeypatch, alone):
+    monkeypatch.setattr(ranks, "ONE_TASK", alone)
     r = np.random.default_rng(8)
     groups = {"ties": np.round(r.normal(size=900), 1), "wide": r.lognormal(size=500) * 1e3, "one": np.array([4.0]), "same": np.full(300, 2.0), None: np.array([1.0, 3.0])}
     df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("ties", None), ("one", float("nan"))], "g string, v double")
-    got = ranks.with_average_rank(df, ["g"], "v", "rank_").toPandas()
+    got = ranks.with_average_ranks(df, ["g"], {"v": "rank_"}).toPandas()
     for k, x in groups.items():
         own = got[got["g"] == k] if k else got[got["g"].isna()]
         assert len(own) == len(x) and np.allclose(own["rank_"], own["v"].rank())
