@@ -118,6 +118,22 @@ def test_summaries_of_parts_combine(spark):
         assert abs((x <= row.value).mean() - row.pct / 100) <= row.rank_error + 1 / 4000
 
 
+def test_combined_percentiles_keep_the_bound_in_narrow_and_thin_groups(spark):
+    r = np.random.default_rng(7)
+    groups = {"narrow": r.normal(size=900) * 0.01, "thin": r.normal(size=40), "tied": np.round(r.normal(size=700), 1) + r.choice([0, 1e-9], 700), "one": np.full(300, 2.0), None: np.array([1.0, 1.001])}
+    df = spark.createDataFrame([(k, i % 5, float(v)) for k, x in groups.items() for i, v in enumerate(x)], "g string, day int, v double")
+    days = bisection.summaries(df, ["g", "day"])
+    early = bisection.combine(days.where("day < 2"), ["g"])
+    for both in (bisection.combine(days, ["g"]), bisection.combine(early.unionByName(bisection.combine(days.where("day >= 2"), ["g"])), ["g"])):
+        got = bisection.from_summary(both, ["g"], [1, 50, 75, 90, 100]).collect()
+        assert len(got) == 5 * len(groups)
+        for row in got:
+            x = groups[row.g]
+            rank = max(1, -(-row.pct * len(x) // 100))
+            assert row.n == len(x) and row.rank_error <= 0.01 and row.value in x
+            assert (x < row.value).sum() - 0.01 * len(x) < rank <= (x <= row.value).sum()
+
+
 # --- problem 4 -----------------------------------------------------------------------------------------------------------
 
 
