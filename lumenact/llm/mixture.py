@@ -43,8 +43,9 @@ class Mixture:
         return np.log(np.maximum(self.weight, 1e-300)) - 0.5 * (d + np.log(self.var).sum(1) + z.shape[1] * np.log(2 * np.pi))
 
 
-def reduction(points: DataFrame, share: float = 0.9, most: int = 24) -> Reduction | None:
-    """Principal axes of the standardised columns of ``vec`` that hold ``share`` of the variance; None without rows."""
+def reduction(points: DataFrame, share: float = 0.9, most: int | None = None) -> Reduction | None:
+    """Principal axes of the standardised columns of ``vec`` that hold ``share`` of the variance, at most ``most`` if given;
+    None without rows."""
 
     def moments(batches):
         total = None
@@ -70,7 +71,7 @@ def reduction(points: DataFrame, share: float = 0.9, most: int = 24) -> Reductio
     values, axes = np.linalg.eigh(cov * scale[:, None] * scale[None])
     order = np.argsort(-values)
     held = np.cumsum(values[order]) / max(values.sum(), 1e-300)
-    keep = order[: max(1, min(most, int(np.searchsorted(held, share)) + 1))]
+    keep = order[: max(1, min(most or len(order), int(np.searchsorted(held, share)) + 1))]
     return Reduction(mean, scale[:, None] * axes[:, keep])
 
 
@@ -130,13 +131,34 @@ def _em(points: DataFrame, reduce: Reduction, mixtures: list[Mixture], overall:
     return out, lls, n
 
 
-def fit(points: DataFrame, candidates: tuple[int, ...] = (8, 16, 32, 64, 96, 128), passes: int = 4, more: int = 4) -> tuple[Reduction, Mixture] | None:
+def _stepped(points: DataFrame, reduce: Reduction, mixtures: list[Mixture], overall: np.ndarray, passes: int | None) -> tuple[list[Mixture], list[float], float]:
+    """Mixtures after ``passes`` steps, or after as many as each takes until its log-likelihood changes by less than 1e-3
+    a row; their log-likelihoods and the number of rows.
+
+    A step never lowers the likelihood with the prior of the variances, so the changes end."""
+    out, lls, going, done = list(mixtures), [-np.inf] * len(mixtures), list(range(len(mixtures))), 0
+    while going:
+        after, now, total = _em(points, reduce, [out[i] for i in going], overall)
+        left = []
+        for i, m, ll in zip(going, after, now, strict=True):
+            over = done == passes if passes is not None else abs(ll - lls[i]) < 1e-3 * total and len(m.weight) == len(out[i].weight)
+            lls[i] = ll
+            if not over:  # the log-likelihood is of the mixture before the step
+                out[i] = m
+                left.append(i)
+        going, done = left, done + 1
+    return out, lls, total
+
+
+def fit(points: DataFrame, candidates: tuple[int, ...] = (8, 16, 32, 64, 96, 128), rough: bool = False) -> tuple[Reduction, Mixture] | None:
     """The reduction and the mixture of ``points(vec)``; None for an empty table.
 
-    Starts: leaf entries of the reduced rows, joined by Ward linkage to each candidate number. All candidates take
-    ``passes`` steps, then the one of the lowest criterion takes up to ``more``, until it gains less than 1e-4 of itself.
+    Starts: leaf entries of the reduced rows, joined by Ward linkage to each candidate number. All candidates step until
+    none gains more than 1e-3 a row, and the lowest criterion wins; while that is the largest candidate's, larger ones
+    are tried, from a tree of as many more entries, up to the distinct rows. ``rough``: no larger candidates, few steps and
+    at most 24 axes, for centres that only have to be near the rows.
     """
-    reduce = reduction(points)
+    reduce = reduction(points, most=24 if rough else None)
     if reduce is None:
         return None
     sent = points.sparkSession.sparkContext.broadcast(reduce)
@@ -146,24 +168,38 @@ def fit(points: DataFrame, candidates: tuple[int, ...] = (8, 16, 32, 64, 96, 128
             x = vectors(b.column("vec"))
             yield pa.RecordBatch.from_arrays([lists(sent.value(x)) if len(x) else b.column("vec")], ["vec"])
 
-    tree = leaf_entries(points.select("vec").mapInArrow(reduced, "vec array<double>"), 1e-3, 2e-3, 512).toArrow()
-    n, ls = tree.column("n").to_numpy(), vectors(tree.column("ls"))
-    centre = ls / n[:, None]
-    overall = np.maximum((n @ centre**2 - n.sum() * (n @ centre / n.sum()) ** 2) / n.sum() + 1e-6, 1e-6)
-    spread = np.maximum(tree.column("ss").to_numpy() / n - (centre**2).sum(1), 0) / centre.shape[1]
-    mixtures = [_start(n, centre, spread, k, overall) for k in sorted({min(k, len(n)) for k in candidates})]
-    for _ in range(passes):
-        mixtures, lls, total = _em(points, reduce, mixtures, overall)
-    _, lls, total = _em(points, reduce, mixtures, overall)
-    d = centre.shape[1]
-    bic = [(2 * d + 1) * len(m.weight) * np.log(total) - 2 * ll for m, ll in zip(mixtures, lls, strict=True)]
-    best, last = mixtures[int(np.argmin(bic))], lls[int(np.argmin(bic))]
-    for _ in range(more):
-        (better,), (ll,), _ = _em(points, reduce, [best], overall)
-        best, gain, last = better, ll - last, ll
+    rows = points.select("vec").mapInArrow(reduced, "vec array<double>")
+    tried: dict[int, tuple[float, float, Mixture]] = {}  # criterion, log-likelihood and mixture of each candidate
+    most = max(512, 4 * max(candidates))
+    while True:
+        tree = leaf_entries(rows, 1e-3, 2e-3, most).toArrow()
+        n, ls = tree.column("n").to_numpy(), vectors(tree.column("ls"))
+        centre = ls / n[:, None]
+        overall = np.maximum((n @ centre**2 - n.sum() * (n @ centre / n.sum()) ** 2) / n.sum() + 1e-6, 1e-6)
+        radius2 = np.maximum(tree.column("ss").to_numpy() / n - (centre**2).sum(1), 0)
+        d = centre.shape[1]
+        if sizes := sorted({min(k, len(n)) for k in candidates} - set(tried)):
+            mixtures = [_start(n, centre, radius2 / d, k, overall) for k in sizes]
+            mixtures, lls, total = _stepped(points, reduce, mixtures, overall, 4 if rough else None)
+            for k, m, ll in zip(sizes, mixtures, lls, strict=True):
+                tried[k] = ((2 * d + 1) * len(m.weight) * np.log(total) - 2 * ll, ll, m)
+        best = min(tried, key=lambda k: tried[k][0])
+        if rough or best < max(tried):
+            break
+        if len(n) > best:
+            candidates = (3 * best // 2, 2 * best)
+            most = max(most, 4 * max(candidates))
+        elif most < n.sum() and radius2.max() > 2e-6:  # the tree had to join rows
+            most *= 2
+        else:
+            break
+    _, last, mixture = tried[best]
+    for _ in range(4 if rough else 0):
+        (better,), (ll,), _ = _em(points, reduce, [mixture], overall)
+        mixture, gain, last = better, ll - last, ll
         if 0 < gain < 1e-4 * abs(ll):
             break
-    return reduce, best
+    return reduce, mixture
 
 
 def memberships(points: DataFrame, model: tuple[Reduction, Mixture]) -> DataFrame:
@@ -211,7 +247,7 @@ def linked(points: DataFrame, distance: float) -> DataFrame:
     The centres of the mixture's components, and leaf entries of the rows far from all of them, are the pivots of an
     exact check (see ``balls``), which joins components that a chain connects and parts those that none does.
     """
-    model = fit(points)
+    model = fit(points, rough=True)  # the check is exact for any pivots
     if model is None:
         return points.sparkSession.createDataFrame([], "sample string, first string")
     own = memberships(points.select("vec"), model).select("cluster", "vec")

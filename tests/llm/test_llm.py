@@ -193,6 +193,26 @@ def test_mixture_finds_the_groups(spark):
     assert all(1 <= len(g.typical) <= 3 for g in got)
 
 
+def test_mixture_grows_with_the_kinds_and_converges(spark):
+    r = np.random.default_rng(8)
+    truth = np.repeat(np.arange(160), 10)
+    x = (r.normal(size=(160, 8)) * 12)[truth] + r.normal(size=(1600, 8)) * 0.3
+    p = points(spark, x)
+    reduce, best = mixture.fit(p)
+    assert len(best.weight) > 128
+    (after,), (ll,), n = mixture._em(p, reduce, [best], x.var(0)[: best.mean.shape[1]])
+    assert n == 1600 and mixture._em(p, reduce, [after], x.var(0)[: best.mean.shape[1]])[1][0] - ll < 1e-2 * n
+    got = mixture.clusters(p, 10).select("size", "typical").collect()
+    assert all(len({truth[int(s[1:])] for s in g.typical}) == 1 for g in got if g.size <= 10)
+
+
+def test_reduction_holds_the_share(spark):
+    x = np.random.default_rng(9).normal(size=(400, 40))
+    axes = mixture.reduction(points(spark, x)).axes
+    z = ((x - x.mean(0)) @ axes).var(0)
+    assert axes.shape[1] > 24 and z.sum() >= 0.9 * 40
+
+
 def test_clusters_of_nothing_and_of_copies(spark):
     assert mixture.clusters(points(spark, np.zeros((0, 3)))).count() == 0
     assert mixture.linked(points(spark, np.zeros((0, 3))), 1.0).count() == 0
