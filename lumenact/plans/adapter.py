@@ -37,10 +37,15 @@ def sparse_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("gene"), sample_name("l_suppkey").alias("sample")).agg(F.sum("l_quantity").alias("value"))
 
 
-def signature(spark: SparkSession, sf_dir: str, features: int = 2) -> DataFrame:
-    """``gene, feature, weight`` from the first ``features`` components of the embeddings."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_GENES)
-    gene = F.concat(F.lit("G"), F.lpad(F.col("vec_id").cast("string"), 3, "0"))
+def signature(spark: SparkSession, sf_dir: str, features: int = 2, whole: bool = False) -> DataFrame:
+    """``gene, feature, weight`` from the first ``features`` components of the embeddings.
+
+    Only of the genes that the expression can have, as in ``SQL``; ``whole``: of all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    if not whole:
+        rows = rows.where(F.col("vec_id") < N_GENES)
+    number = F.col("vec_id").cast("string")
+    gene = F.concat(F.lit("G"), F.lpad(number, 3, "0"), F.substring(number, 4, 20))  # lpad cuts longer numbers
     long = rows.select(gene.alias("gene"), F.posexplode(F.slice("embedding", 1, features)).alias("pos", "w"))
     return long.select("gene", F.concat(F.lit("F"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("feature"), F.col("w").cast("double").alias("weight"))
 

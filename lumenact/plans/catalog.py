@@ -375,7 +375,7 @@ def expand_rows(spark, d):
 
 @query()
 def group_signatures(spark, d):
-    s = adapter.signature(spark, d, 16)
+    s = adapter.signature(spark, d, 64, whole=True)
     genes = sorted(r["gene"] for r in s.select("gene").distinct().collect())
     _, names = linalg.group_features(*linalg.signature_matrix(s, genes), 0.5)
     return spark.createDataFrame([(n, n.count("|") + 1) for n in names], "feature string, members int")
