@@ -480,8 +480,8 @@ def neighbor_expr(spark, d):
 def signaling_patterns(spark, d):
     w = spatial.weights(adapter.spots(spark, d), RADIUS, SIGMA)
     near = spatial.neighbour_expression(adapter.expression(spark, d), w).persist()
-    act = adapter.expression(spark, d).where("gene < 'G020'").select(F.col("gene").alias("feature"), "sample", "value")
-    found = spatial.patterns(act, spatial.neighbour_correlation(act, near), [2, 3], p_cutoff=1.1)
+    act = adapter.expression(spark, d).select(F.col("gene").alias("feature"), "sample", "value")
+    found = spatial.patterns(act, spatial.neighbour_correlation(act, near), [2, 3])
     return found[0] if found else spark.createDataFrame([], "feature string, pattern string, weight double")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from lumenact.operators import linalg
+from lumenact.operators import linalg, spatial
 from lumenact.plans import adapter, catalog
 
 here = pytest.mark.skipif(not os.path.isdir(oracle.FOLDER), reason="no tables here")
@@ -26,3 +26,15 @@ def test_group_signatures_takes_all_genes_and_features(spark):
     x = np.stack([r.embedding for r in adapter.table(spark, oracle.FOLDER, "embeddings").orderBy("vec_id").collect()]).astype(float)
     _, names = linalg.group_features(x, [f"F{i:02d}" for i in range(x.shape[1])], 0.5)
     assert x.shape[1] == 64 and got == {n: n.count("|") + 1 for n in names}
+
+
+@here
+def test_signaling_patterns_has_every_significant_feature(spark):
+    w = spatial.weights(adapter.spots(spark, oracle.FOLDER), catalog.RADIUS, catalog.SIGMA)
+    act = adapter.expression(spark, oracle.FOLDER)
+    near = spatial.neighbour_expression(act, w)
+    r = spatial.neighbour_correlation(act.withColumnRenamed("gene", "feature"), near)
+    want = {x.feature for x in r.where("p < 0.05").collect()}
+    got = {x.feature for x in catalog.QUERIES["signaling_patterns"](spark, oracle.FOLDER).collect()}
+    spark.catalog.clearCache()
+    assert got == want and max(got) >= "G020"
