@@ -523,22 +523,23 @@ dj AS (SELECT feature, round(value, 9) AS value, r.t AS t FROM dm JOIN survival
 rk AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS ra, rank() OVER (PARTITION BY feature ORDER BY t) + (count(*) OVER (PARTITION BY feature, t) - 1) / 2 AS rb FROM dj)"""
 
 
+def _donor_means(spark, d):
+    """``feature, sample, value``: the mean z-score over a donor's cells; copies of one result count once."""
+    a = adapter.table(spark, d, "activity").where("zscore is not null and not isnan(zscore)").groupBy("feature", "sample", "run_id").agg(F.max("zscore").alias("z"))
+    o = adapter.table(spark, d, "obs").where("donor is not null").select("sample", "donor").distinct()
+    return a.join(o, "sample").groupBy("feature", F.col("donor").alias("sample")).agg(F.round(F.avg("z"), 9).alias("value"))
+
+
 @query(sql("survival") + f", {_DONORS} SELECT feature, round(corr(ra, rb), 6) + 0.0 AS r, count(*) AS n FROM rk GROUP BY feature")
 def risk_spearman(spark, d):
     """Risk of each feature by the mean z-score over a donor's cells."""
-    a = adapter.table(spark, d, "activity").where("zscore is not null and not isnan(zscore)").groupBy("feature", "sample", "run_id").agg(F.max("zscore").alias("z"))
-    o = adapter.table(spark, d, "obs").where("donor is not null").select("sample", "donor").distinct()
-    mean = a.join(o, "sample").groupBy("feature", F.col("donor").alias("sample")).agg(F.round(F.avg("z"), 9).alias("value"))
-    return rounded(stats.risk_by_rank(mean, _donors(spark, d)), "r").select("feature", "r", "n")
+    return rounded(stats.risk_by_rank(_donor_means(spark, d), _donors(spark, d)), "r").select("feature", "r", "n")
 
 
 @query()
 def cox_ph(spark, d):
-    """Hazards by the mean z-score of each core feature over a donor's cells."""
-    act = adapter.table(spark, d, "activity").where("zscore is not null and not isnan(zscore)")
-    obs = adapter.table(spark, d, "obs").where("donor is not null").select("sample", "donor").distinct()
-    core = adapter.table(spark, d, "panel").where("tier = 'core'").select("feature")
-    mean = act.join(F.broadcast(core), "feature").join(obs, "sample").groupBy("feature", F.col("donor").alias("sample")).agg(F.avg("zscore").alias("act"))
+    """Hazards by the mean z-score of each feature over a donor's cells."""
+    mean = _donor_means(spark, d).withColumnRenamed("value", "act")
     return stats.cox(mean.join(_donors(spark, d), "sample"), "feature", "time", "event", ["act"])
 
 
