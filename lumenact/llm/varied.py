@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .balls import lonely
 from .cftree import leaf_entries, ward
-from .common import vectors
+from .common import kept, vectors
 
 #: Entries aimed at at the root of the tree; Ward's table of twice as many has 64 MB.
 MAX_ENTRIES = 2048
 
 
-def varied_subset(points: DataFrame, size: int, label: str = "annotation", radius: float = 0.0) -> DataFrame:
+def varied_subset(points: DataFrame, size: int, label: str = "annotation", radius: float = 0.0, kind: float | None = None) -> DataFrame:
     """At most ``size`` rows of ``points(sample, vec, label)``: ``sample, label, grp, grp_size, distance``.
 
     The entries of every label agglomerate among themselves by Ward linkage until ``size`` groups are left in all
@@ -24,6 +24,9 @@ def varied_subset(points: DataFrame, size: int, label: str = "annotation", radiu
     costs no more to merge than a sparse one and does not fill the subset. A null label is a label of its own. Rows no
     more than ``radius`` apart, by default equal ones, count as one kind; there are fewer rows than ``size`` only if there
     are fewer kinds. An empty table gives no rows.
+
+    With ``kind``, rows farther than that from every chosen row, of any label, get places of their own, and the other
+    entries are joined to so many groups less, until no such rows are left or all places but one a label are given.
     """
     spark = points.sparkSession
     if size < 1:
@@ -34,9 +37,55 @@ def varied_subset(points: DataFrame, size: int, label: str = "annotation", radiu
     if not len(tree):
         return spark.createDataFrame([], f"sample string, {label} string, grp int, grp_size long, distance double")
     n, ls = tree["n"].to_numpy(), np.stack(tree["ls"].to_numpy())
-    centre, keys = ls / n[:, None], tree["key"].to_numpy()
-    block = np.unique(keys, return_inverse=True)[1]
-    group = ward(np.ones(len(n)), centre, size, block)
+    keys, owner, given = tree["key"].to_numpy(), np.full(len(n), -1), 0
+    while True:
+        chosen = _chosen(points, label, keys, n, ls, _grouped(keys, n, ls, owner, size - given))
+        if kind is None or given >= size - labels:
+            return chosen
+        chosen = kept(chosen)
+        picks = points.join(chosen.select("sample").distinct(), "sample", "left_semi").select("vec").toArrow()
+        far = leaf_entries(_far(points, label, vectors(picks.column("vec")), kind), kind / 4, kind / 2, most, (label,)).select("key", "n", "ls").toPandas().sort_values(["n", "key"], ascending=[False, True])
+        taken: list[np.ndarray] = []
+        for key, m, total in far.itertuples(index=False):
+            at = np.asarray(total) / m
+            if given == size - labels or any(((at - o) ** 2).sum() <= kind**2 for o in taken):
+                continue  # one place for each kind
+            taken.append(at)
+            own = (keys == key) & (owner < 0) & (((ls / n[:, None] - at) ** 2).sum(1) <= (kind / 2) ** 2)
+            owner[own] = given
+            keys, n, ls, owner = np.append(keys, key), np.append(n, m), np.vstack([ls, total]), np.append(owner, given)
+            given += 1
+        if not taken:
+            return chosen
+
+
+def _grouped(keys: np.ndarray, n: np.ndarray, ls: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """The group of each entry: ``size`` groups by Ward linkage of those without an owner, and one for each owner."""
+    free = owner < 0
+    block = np.unique(keys[free], return_inverse=True)[1]
+    group = np.empty(len(n), int)
+    group[free] = ward(np.ones(free.sum()), ls[free] / n[free, None], size, block)
+    group[~free] = owner[~free] + (group[free].max() + 1 if free.any() else 0)
+    return group
+
+
+def _far(points: DataFrame, label: str, picks: np.ndarray, distance: float) -> DataFrame:
+    """``label, vec`` of the rows farther than ``distance`` from all ``picks``."""
+    sent = points.sparkSession.sparkContext.broadcast(picks)
+
+    def run(batches):
+        for b in batches:
+            x = vectors(b.column("vec"))
+            if len(x):
+                d = (x**2).sum(1)[:, None] + (sent.value**2).sum(1)[None] - 2 * x @ sent.value.T
+                yield b.filter(pa.array(d.min(1) > distance**2))
+
+    return points.select(label, "vec").mapInArrow(run, f"{label} string, vec array<double>")
+
+
+def _chosen(points: DataFrame, label: str, keys: np.ndarray, n: np.ndarray, ls: np.ndarray, group: np.ndarray) -> DataFrame:
+    """The row nearest the centre of each group of entries; a row is in the group of the nearest entry of its label."""
+    spark, centre = points.sparkSession, ls / n[:, None]
     k = group.max() + 1
     total = np.zeros(k)
     middle = np.zeros((k, ls.shape[1]))

@@ -92,6 +92,17 @@ def test_varied_subset_covers_labels_and_kinds(spark):
         varied.varied_subset(points(spark, x), 0)
 
 
+def test_varied_subset_gives_every_kind_a_place(spark):
+    r = np.random.default_rng(2)
+    kinds = np.vstack([np.arange(6)[:, None] * np.full((1, 4), 3.0), r.normal(size=(15, 4)) * 1000])  # 6 near each other
+    truth = np.concatenate([np.repeat(np.arange(6), 8), np.tile(np.arange(6, 21), 8)])  # far ones under two labels
+    labels = ["a"] * 48 + ["b"] * 60 + ["c"] * 60
+    x = kinds[truth] + r.normal(size=(168, 4)) * 0.02
+    got = varied.varied_subset(points(spark, x, labels=labels), 24, radius=0.2, kind=1.0).collect()
+    assert len(got) == 24 and sum(g.grp_size for g in got) == 168
+    assert {truth[int(g.sample[1:])] for g in got} == set(range(21))
+
+
 # --- problem 2 -----------------------------------------------------------------------------------------------------------
 
 
