@@ -46,8 +46,10 @@ class _Stock:
             return None
         a = np.arange(1, gap // 2 + 1)
         least = np.minimum(self.c[a], self.c[gap - a])
-        for i in np.argsort(-least, kind="stable")[:4]:
-            if least[i] > 0 and self.times([*head, int(a[i]), gap - int(a[i])]) > 0:
+        for i in np.argsort(-least, kind="stable"):
+            if least[i] == 0:
+                break
+            if self.times([*head, int(a[i]), gap - int(a[i])]) > 0:
                 return [gap - int(a[i]), int(a[i])]
         return None
 
@@ -55,7 +57,7 @@ class _Stock:
         if gap < 3:
             return None
         first = np.arange(1, gap - 1)
-        for a in first[(self.c[first] > 0) & self.pairs()[gap - first]][::-1][:64]:
+        for a in first[(self.c[first] > 0) & self.pairs()[gap - first]][::-1]:
             if (rest := self.pair(gap - int(a), [*head, int(a)])) and self.times([*head, int(a), *rest]) > 0:
                 return [int(a), *rest]
         return None

@@ -373,6 +373,15 @@ def test_packing(spark, monkeypatch, ranked):
     assert [x.container for x in packing.pack(df.limit(1), 100, key="n").collect()] == [0]
 
 
+def test_triples_are_found_beyond_the_largest_first_sizes():
+    half = np.array([1500 + int(f"{i:b}", 3) for i in range(80)])  # no one is the mean of two others
+    counts = np.zeros(10001, int)
+    counts[half] = counts[10000 - 2 * half] = 1  # the largest first sizes pass the pair test by a size that is there once
+    assert packing._Stock(counts).triple(10000, []) is None
+    counts[[4001, 3498, 2501]] = 1
+    assert packing._Stock(counts).triple(10000, []) == [4001, 3498, 2501]
+
+
 # --- problem 8 -----------------------------------------------------------------------------------------------------------
 
 
