@@ -263,16 +263,71 @@ def test_neighbours_recall(spark, monkeypatch):
     assert np.mean([b in true[a] for a, b in zip(got["sample"], got["other"], strict=True)]) >= 0.9
 
 
-def test_the_code_error_bound_holds():
+@pytest.mark.parametrize("d", [10, 13])
+def test_the_code_error_bound_holds(d):
     r = np.random.default_rng(1)
-    x = similar.unit(r.normal(size=(300, 10)))
+    x = similar.unit(r.normal(size=(300, d)))
     index = similar.Index(x, 5)
     codes, base, parallel, error = index.encode(x)
-    decoded = index.decode(codes, base, 10).astype(float)
+    left = np.stack([index.books[m][codes[:, m]] for m in range(len(index.books))], 1).reshape(len(x), -1)[:, :d]
+    decoded = index.fine[base] + left
     q = similar.unit(x + r.normal(size=x.shape) * 0.1)
     assert np.allclose(((x - decoded) * x).sum(1), parallel, atol=1e-6)
     assert (np.abs((q * x).sum(1) - (q * decoded).sum(1) - parallel) <= np.linalg.norm(q - x, axis=1) * error + 1e-6).all()
-    assert codes.max() < 16 and (similar._unpacked(similar._packed(codes), 5) == codes).all()  # noqa: SLF001
+    packed = similar._bytes(similar._packed(codes))  # noqa: SLF001
+    assert codes.max() < 16 and packed.shape[1] == (codes.shape[1] + 1) // 2
+    tables = index.tables(q)
+    steps = np.concatenate([s for _, s in tables.scan(packed, base)])
+    gap = decoded @ q.T - (tables.zero + tables.step * steps)
+    assert steps.shape == (300, 300) and gap.min() > -1e-9 and gap.max() <= tables.slack < 0.005
+
+
+def test_lists_on_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LEAVES", 4)
+    monkeypatch.setattr(similar, "LIST_ROWS", 20)
+    x = cloud(11, 640, 6)
+    u = similar.unit(x)
+    index = similar.build(points(spark, x))
+    assert [len(c) for c in index.levels] == [4, 4, 2]
+    leaf = index.leaf(u)
+    assert len(np.unique(leaf)) > 8
+    for cosine in (0.9, 0.997):
+        i, j = index.holding(u, cosine)
+        asked = set(zip(i.tolist(), j.tolist(), strict=True))
+        a, b = np.nonzero(u @ u.T >= cosine)
+        assert all((p, leaf[q]) in asked for p, q in zip(a.tolist(), b.tolist(), strict=True)) and len(asked) < 32 * len(u)
+        want = {(f"c{p:05d}", f"c{q:05d}") for p, q in zip(a, b, strict=True) if p < q}
+        assert {(q.sample_a, q.sample_b) for q in similar.similar_pairs(points(spark, x), cosine).collect()} == want
+    i, j = index.nearby(u, 3)
+    assert (np.bincount(i) == 3).all() and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+    assert np.mean([leaf[p] in set(j[i == p]) for p in range(len(u))]) > 0.9
+
+
+def test_probes_follow_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LIST_ROWS", 25)
+    p = points(spark, np.random.default_rng(2).normal(size=(500, 12)))
+    index = similar.build(p)
+    own = similar.members(p, index)
+    few, many = (similar.probes_for(own, index, 5, share) for share in (0.3, 0.99))
+    assert 1 <= few < many <= 32
+    got, x = similar.nearest(p, 5).toPandas(), None
+    x = {r.sample: similar.unit(np.array([r.vec]))[0] for r in p.collect()}
+    names = sorted(x)
+    u = np.array([x[n] for n in names])
+    c = u @ u.T
+    np.fill_diagonal(c, -9)
+    true = {n: {names[j] for j in np.argsort(-c[i])[:5]} for i, n in enumerate(names)}
+    assert np.mean([b in true[a] for a, b in zip(got["sample"], got["other"], strict=True)]) >= 0.9
+
+
+def test_copies_stay_classes(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 8)  # copies of one vector meet in several blocks
+    x = np.vstack([np.repeat([[1.0, 2.0, 3.0]], 30, 0), [[1.0, 2.0, 3.01]], [[-1.0, 0.0, 0.0]]])
+    close, groups = similar.similar_classes(points(spark, x), 0.999)
+    assert [(r.a, r.b) for r in close.collect()] == [("c00000", "c00030")]
+    assert {r.rep for r in groups.collect()} == {"c00000", "c00030", "c00031"} and groups.count() == 32
+    got = [(r.sample_a, r.sample_b) for r in similar.similar_pairs(points(spark, x), 0.999).collect()]
+    assert len(got) == len(set(got)) == 31 * 30 // 2
 
 
 def test_no_vectors_no_neighbours(spark):
