@@ -8,7 +8,9 @@
 3. *Texts.* The ids of a block's words return to the block by a join on the word and a shuffle by block; numbers are
    replaced by ids with one gather.
 
-Words repeat, so steps 2 and 3 move little beside the numbers themselves. Nothing is broadcast or collected.
+Words repeat, so steps 2 and 3 move little beside the numbers themselves. Nothing that grows with the texts is broadcast
+or collected. A text of more than a block is cut where a word surely begins into rows of blocks apart from the others, so
+a task holds no more of it than a block beside the text as it was read; its parts come together at the end.
 """
 
 from __future__ import annotations
@@ -98,8 +100,35 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(starts), buffer, pa.py_buffer(raw)), np.searchsorted(starts, offsets)
 
 
+def sure_starts(chars: np.ndarray) -> np.ndarray:
+    """Places of a run of code points where a word begins whatever stands before the run and after it: the class changes
+    there, but not from white space, which may join what follows, and not behind an apostrophe, which may be a contraction.
+    """
+    cls = _classes()[chars]
+    return np.flatnonzero((cls[1:] != cls[:-1]) & (cls[:-1] != _S) & ~((chars[:-1] == 39) & (cls[1:] == _L))) + 1
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _sections(text: str, size: int):
+    """A long text in parts of about ``size`` characters that each begin with a word of the text."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text):
+            sure = sure_starts(code_points(text[end : end + size]))
+            if len(sure):
+                end += int(sure[0])
+                break
+            end += size - 1  # a change at the window's first character counts in the next one
+        yield text[at : min(end, len(text))]
+        at = end
+
+
 def _blocks(batches, text: str):
-    """The rows again in pieces of about ``BLOCK_BYTES`` of text each, one row at least."""
+    """The rows in pieces of about ``BLOCK_BYTES`` of text each, and a row of more bytes alone."""
     for b in batches:
         size = pc.binary_length(b.column(text).cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
         total, at = np.cumsum(size), 0
@@ -109,33 +138,55 @@ def _blocks(batches, text: str):
             at = end
 
 
-def index_words(docs: DataFrame, keys: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(block, keys, idx)`` and ``(block, words)``: texts as numbers (int32, little-endian, as binary) into the word
-    list of their block. Written once to the shared folder."""
-    fields = [f for f in docs.select(*keys).schema.fields]
-
-    def run(batches):
-        part, number = TaskContext.get().partitionId(), 0
-        for b in _blocks(batches, text):
-            flat, at = words_of(b.column(text))
-            coded = flat.dictionary_encode()
-            idx = coded.indices.to_numpy().astype("<i4")
-            block = (part << 32) | number
-            number += 1
-            n = b.num_rows
-            if len(flat):
-                data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(idx)])
-            else:
-                data = pa.array([b""] * n, pa.binary())
-            none = pa.array([None] * n, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *[b.column(k) for k in keys], data, none], ["block", *keys, "idx", "words"])
-            words = pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string()))
-            nulls = [pa.nulls(1, b.schema.field(k).type) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *nulls, pa.nulls(1, pa.binary()), words], ["block", *keys, "idx", "words"])
+class Words:
+    """Texts as numbers into the word lists of blocks, written once to the shared folder.
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    both = written(docs.select(*keys, text).mapInArrow(run, f"block long, {own}, idx binary, words array<string>"))
-    return both.where("words is null").drop("words"), both.where("words is not null").select("block", "words")
+    Blocks ``apart`` hold parts of long texts: parts of texts above ``BLOCK_BYTES``, with the number of their text (``whole``)
+    and of the part (``part``), and rows that ``docs`` itself marks in a column ``apart``.
+    """
+
+    def __init__(self, docs: DataFrame, keys: list[str], text: str = "text"):
+        self.keys = keys
+        fields = [f for f in docs.select(*keys).schema.fields]
+        names = ["block", "apart", "whole", "part", *keys, "idx", "words"]
+        marked = "apart" in docs.columns
+
+        def run(batches):
+            task, number, wholes = TaskContext.get().partitionId(), 0, 0
+
+            def block(texts, own, apart, whole, part):
+                nonlocal number
+                flat, at = words_of(texts)
+                coded = flat.dictionary_encode()
+                idx = coded.indices.to_numpy().astype("<i4")
+                name, n = (task << 32) | number, len(texts)
+                number += 1
+                data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(idx)]) if len(flat) else pa.array([b""] * n, pa.binary())
+                none = pa.nulls(n, pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.full(n, apart)), pa.array([whole] * n, pa.int64()), pa.array([part] * n, pa.int32()), *own, data, none], names)
+                words = pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string()))
+                nulls = [pa.nulls(1, k.type) for k in own]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([apart]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *nulls, pa.nulls(1, pa.binary()), words], names)
+
+            for b in _blocks(batches, text):
+                own, apart = [b.column(k) for k in keys], marked and b.column("apart")[0].as_py()
+                if b.num_rows == 1 and not apart and (long := b.column(text)[0].as_py()) is not None and len(long) > BLOCK_BYTES // 4 and len(long.encode()) > BLOCK_BYTES:
+                    for part, one in enumerate(_sections(long, BLOCK_BYTES // 4)):
+                        yield from block(pa.array([one], pa.large_string()), own, True, (task << 32) | wholes, part)
+                    wholes += 1
+                else:
+                    yield from block(b.column(text), own, bool(apart), None, None)
+
+        own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        both = docs.select(*keys, text, *["apart"][: int(marked)])
+        self.rows = written(both.mapInArrow(run, f"block long, apart boolean, whole long, part int, {own}, idx binary, words array<string>"))
+        blocks = {r["apart"]: r["n"] for r in self.rows.groupBy("apart").agg(F.count_distinct("block").alias("n")).collect()}
+        self.blocks = {apart: blocks.get(apart, 0) for apart in (False, True)}
+
+    def of(self, apart: bool) -> tuple[DataFrame, DataFrame]:
+        """``(block, whole, part, keys, idx)`` of the rows and ``(block, words)`` of the lists."""
+        own = self.rows.where("apart" if apart else "not apart")
+        return own.where("words is null").select("block", "whole", "part", *self.keys, "idx"), own.where("words is not null").select("block", "words")
 
 
 # --- the rank map ---------------------------------------------------------------------------------------------------
@@ -178,6 +229,8 @@ def rank_table(path: str) -> tuple[np.ndarray, int]:
     ``(pair ^ pair >> 9) % m`` of the second.
     """
     pairs = merges(path)
+    if max(vocabulary(path).values()) >= _SPAN:
+        raise ValueError(f"ids of {_SPAN} and more do not fit the rank table")
     m = 2 * len(pairs) + 1001
     while True:
         slots, ok = np.full(2 * m, -1, np.int64), True
@@ -271,21 +324,21 @@ def heap_ids(word: bytes, pairs: dict[tuple[int, int], int], first: list[int]) -
     return [i for i in ids if i >= 0]
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
+def encode_words(words: DataFrame, path: str, tasks: int | None = None) -> DataFrame:
     """``word, ids`` for a table of distinct words (strings). An empty word has no ids; null words drop out."""
     spark = words.sparkSession
     slots, m = rank_table(path)
     first = [vocabulary(path)[bytes([i])] for i in range(256)]
     literal = _literal(spark, slots)
     of_byte = F.array(*[F.lit(i).cast("long") for i in first])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = words.where("word is not null").repartition(n, "word")
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = words.where("word is not null").repartition(tasks, "word")
     short = words.where(F.octet_length("word") <= FOLD_BYTES).select("word", _fold(F.col("word"), literal, m, of_byte).alias("ids"))
+    sent = spark.sparkContext.broadcast((merges(path), first))  # a vocabulary has a fixed size; executors need no file
 
     def long(batches):
-        pairs = merges(path)
         for b in batches:
-            ids = [heap_ids(w.encode("utf-8", "surrogatepass"), pairs, first) for w in b.column("word").to_pylist()]
+            ids = [heap_ids(w.encode("utf-8", "surrogatepass"), *sent.value) for w in b.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     return short.unionByName(words.where(F.octet_length("word") > FOLD_BYTES).mapInArrow(long, "word string, ids array<int>"))
@@ -299,16 +352,28 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
 
 
-def _resolve(docs: DataFrame, words: DataFrame, path: str, what: Column, fn, schema: str) -> DataFrame:
-    """``fn(rows of a block, what of its words in order)`` over all blocks, where ``what`` is made of a word's ``ids``."""
+#: Blocks of one task, about 8 MB of text.
+TASK_BLOCKS = 2
+
+
+def resolve(index: Words, apart: bool, path: str, what: Column, fn, schema: str) -> DataFrame:
+    """``fn(rows of a block, what of its words in order)`` over all blocks, where ``what`` is made of ``word`` and ``ids``.
+
+    The tasks follow the number of blocks. A word has one row in each block that has it, however often it occurs; the most
+    frequent ones have one in all blocks, which an adaptive join splits.
+    """
+    docs, words = index.of(apart)
+    blocks = index.blocks[apart]
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(least, blocks), -(-blocks // TASK_BLOCKS))
     spread = words.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
-    known = encode_words(spread.select("word").distinct(), path).select("word", what.alias("what"))
+    known = encode_words(spread.select("word").distinct(), path, max(least, tasks)).select("word", what.alias("what"))
     spread = spread.join(known, "word").select("of", "at", "what")
 
     def block(rows, parts):
         return fn(rows, parts.take(pc.sort_indices(parts.column("at"))).column("what").combine_chunks())
 
-    return docs.groupBy("block").cogroup(spread.groupBy("of")).applyInArrow(block, schema)
+    return docs.repartition(tasks, "block").groupBy("block").cogroup(spread.repartition(tasks, "of").groupBy("of")).applyInArrow(block, schema)
 
 
 def _numbers(idx) -> tuple[np.ndarray, np.ndarray]:
@@ -318,40 +383,52 @@ def _numbers(idx) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(idx.to_pylist()), "<i4"), at
 
 
+def _of_texts(docs: DataFrame, path: str, key: str, text: str, name: str, kind: str, what: Column, fn, joined: Column) -> DataFrame:
+    """``key, name`` of every row, ``fn`` giving the values of a block's rows; ``joined`` makes one of a text's parts."""
+    index = Words(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), ["_key"], "_text")
+    own = docs.schema[key].dataType.simpleString()
+
+    def values(rows, parts):
+        columns = [rows.column(c).combine_chunks() for c in ("whole", "part", "_key")]
+        return pa.table([*columns, fn(*_numbers(rows.column("idx")), parts)], names=["whole", "part", "_key", "_value"])
+
+    made = lambda apart: resolve(index, apart, path, what, values, f"whole long, part int, _key {own}, _value {kind}")
+    out = made(False).select(F.col("_key").alias(key), F.col("_value").alias(name))
+    if index.blocks[True]:
+        parts = F.array_sort(F.collect_list(F.struct("part", "_value")))
+        long = made(True).groupBy("whole").agg(F.first("_key").alias(key), parts.alias("_parts"))
+        out = out.unionByName(long.select(key, joined.alias(name)))
+    return out
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids``: every row's text as token ids of the vocabulary at ``path``, without special tokens.
 
     A null and an empty text have an empty list; blank texts, strings that look like special tokens and control
     characters are ordinary text. Rows of equal keys stay separate rows; other columns may have any name.
     """
-    index, words = index_words(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), ["_key"], "_text")
 
-    def ids(rows, parts):
-        numbers, at = _numbers(rows.column("idx"))
+    def ids(numbers, at, parts):
         lens = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = parts.flatten().to_numpy(zero_copy_only=False)
         own = lens[numbers] if len(numbers) else np.zeros(0, np.int64)
         starts = (np.cumsum(lens) - lens)[numbers] if len(numbers) else own
         ends = np.append(0, np.cumsum(own))[at]
-        out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_gather(flat, starts, own).astype(np.int32)))
-        return pa.table([rows.column("_key").combine_chunks(), out], names=[key, "ids"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_gather(flat, starts, own).astype(np.int32)))
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _resolve(index, words, path, F.col("ids"), ids, f"`{key}` {kind}, ids array<int>")
+    return _of_texts(docs, path, key, text, "ids", "array<int>", F.col("ids"), ids, F.flatten(F.col("_parts._value")))
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens``: the length of what ``encode`` gives, without moving the ids."""
-    index, words = index_words(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), ["_key"], "_text")
 
-    def count(rows, parts):
-        numbers, at = _numbers(rows.column("idx"))
+    def count(numbers, at, parts):
         lens = parts.to_numpy(zero_copy_only=False).astype(np.int64)
         upto = np.append(0, np.cumsum(lens[numbers] if len(numbers) else np.zeros(0, np.int64)))
-        return pa.table([rows.column("_key").combine_chunks(), pa.array(upto[at[1:]] - upto[at[:-1]])], names=[key, "n_tokens"])
+        return pa.array(upto[at[1:]] - upto[at[:-1]])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _resolve(index, words, path, F.size("ids"), count, f"`{key}` {kind}, n_tokens long")
+    total = F.aggregate(F.col("_parts._value"), F.lit(0).cast("long"), lambda s, n: s + n)
+    return _of_texts(docs, path, key, text, "n_tokens", "long", F.size("ids"), count, total)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> Column:

@@ -15,7 +15,7 @@ from .mixture import clusters, linked
 from .packing import fill, pack
 from .profiles import cell_profiles
 from .similar import nearest, similar_pairs
-from .splitting import plan_pieces, split
+from .splitting import split
 from .topn import top_results
 from .varied import sparse_points, varied_subset
 
@@ -95,7 +95,8 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).where("pieces > 1 and piece = 0").select("doc_id")
+    places = _packed(spark, sf_dir).where("pieces > 1").groupBy("doc_id").agg(F.min("container").alias("least"), F.max("container").alias("most"))
+    return places.where("least < most").select("doc_id")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +108,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_pieces(table(spark, sf_dir, "documents"), vocabulary_path(), PIECE, OVERLAP).where("piece = 0 and part = 0").select("doc_id")
+    return p8_pieces(spark, sf_dir).where("piece = 0 and text <> ''").select("doc_id")
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,14 @@
 """Problem 8: cutting long texts into overlapping pieces at natural boundaries.
 
-Texts are processed as ranges of about ``RANGE`` characters. A range ends where white space follows a character that is
-none, a place that no word crosses, found in the halo after the nominal end; so ranges are tokenized and searched for
-boundaries by different tasks and nothing depends on where they end. The boundary tables of a text's ranges are
-stitched, their lengths summed, the cuts chosen on the sums, and pieces emitted by offset from the ranges they touch.
+Texts of at most ``SECTION`` bytes are numbered word by word (see ``bytebpe``) and cut by the task that has their block. Longer
+ones are read as byte ranges: every range is a slice of the text with a halo on both sides, sent to a task of its own, which
+finds in the halos where its section begins and ends: at a cue, else at a line, else at white space, else where a word surely
+begins. The neighbour sees the same bytes and finds the same places, so sections fit without anyone having seen the whole.
+A piece ends where its section ends; the next section brings a little text from before it, for the repeated part of its first
+piece. The sections' lengths and numbers of pieces, summed up before each, give the offsets and numbers in the text.
+
+Cues and lines are seen in the words: a word is a number, a colon, an arrow and so on, and a cue begins at the line of a time
+stamp with its arrow, or at the number before it. Pieces are written from the words, so no text is read again.
 """
 
 from __future__ import annotations
@@ -12,70 +17,116 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import _numbers, _resolve, index_words
+from .bytebpe import Words, _let, _numbers, code_points, resolve, sure_starts, vocabulary
 from .common import written
 
-RANGE = 1 << 16
-#: What is seen of a text before a range, for cues that begin near its start.
-HALO = 256
+SECTION = 1 << 20
+#: Bytes before a section that may hold the repeated part of its first piece, and those looked at for a cue's number.
+BEFORE, LOOK = 1024, 512
 WORD, LINE, CUE = 1, 2, 3
-_EDGE = re.compile(r"(?<=\S)(?=\s)")
-#: Where a cue begins: its number, if it has one, and its times, or a frame pair; returns are line feeds here.
-_CUE = re.compile(r"^(?:[ \t]*\d+[ \t]*\n\n?)?[ \t]*(?:\d+:)?\d{1,2}:\d{2}[,.:]\d{1,3}[ \t]*-->|^\{\d+\}\{\d+\}", re.MULTILINE)
-_WHITE = r"^[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_RANGES = "doc_id long, range int, ranges int, start long, cues binary, text string"
+#: A cue of a long text: its number, if it has one, and its times, or a frame pair; returns are line feeds here.
+_CUE = re.compile(rb"^(?:\d{1,18}[ \t]{0,32}\n\n?[ \t]{0,32}(?:\d{1,6}:)?|(?:\d{1,6}:)?)\d{1,2}:\d{2}[,.:]\d{1,3}[ \t]{0,32}-->|^\{\d{1,18}\}\{\d{1,18}\}", re.MULTILINE)
+_LINE = re.compile(rb"[\r\n](?=[\x21-\xff])")
+_WHITE = r"^[\s\u0085   -     　]"
+#: Parts a word plays in a cue.
+_NUMBER, _COLON, _POINT, _ARROW, _BRACES, _BRACE = 1, 2, 3, 4, 5, 6
+
+
+# --- sections of long texts ------------------------------------------------------------------------------------------
+
+
+def _on_character(data: bytes, at: int) -> int:
+    """The first place from ``at`` on where a character begins."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _white(char: str) -> bool:
+    return re.match(_WHITE, char) is not None
+
+
+def _edge(data: bytes, at: int, halo: int) -> tuple[int, int, bool]:
+    """Where the section at the range end ``at`` ends, the kind of place, and whether it is inside a word: none of the ``halo``
+    bytes from there on has a place where a word surely begins."""
+    if at >= len(data):
+        return len(data), 0, False
+    window = data[max(0, at - LOOK) : at + halo].replace(b"\r", b"\n")
+    skipped = at - max(0, at - LOOK)
+    for m in _CUE.finditer(window):
+        if m.start() >= skipped and window[m.start() - 1 : m.start()] == b"\n":
+            return at + m.start() - skipped, CUE, False
+    for m in _LINE.finditer(data, at, at + halo):
+        end = _on_character(data, m.end() + 1)
+        if end <= at + halo and not _white(data[m.end() : end].decode("utf-8", "replace")):
+            return m.end(), LINE, False
+    start = _on_character(data, at)
+    text = data[start : at + halo].decode("utf-8", "ignore")
+    sure = sure_starts(code_points(text))
+    if len(sure):
+        white = next((i for i in sure.tolist() if _white(text[i])), None)
+        i = int(sure[0]) if white is None else white
+        return start + len(text[:i].encode()), 0 if white is None else WORD, False
+    if at + halo >= len(data):
+        return len(data), 0, False
+    return start, 0, True
+
+
+def _section(data: bytes, begin: int, last: bool, size: int, halo: int) -> tuple[bytes, int, int, int] | None:
+    """``(text, characters before the section, end kind, inside)`` of the section of a slice ``data`` whose range starts at
+    ``begin``; ``inside`` is 1 if it begins within a word, 2 if it ends in one, 3 if both. None if it is empty."""
+    start, _, hard = _edge(data, begin, halo) if begin else (0, 0, False)
+    end, kind, cut = (len(data), 0, False) if last else _edge(data, begin + size, halo)
+    if start >= end:
+        return None
+    before = start
+    if begin and not hard:
+        low = _on_character(data, max(0, start - BEFORE))
+        text = data[low:start].decode("utf-8", "ignore")
+        sure = sure_starts(code_points(text))
+        if len(sure):
+            before = low + len(text[: int(sure[0])].encode())
+    return data[before:end], len(data[before:start].decode("utf-8", "replace")), kind, int(hard) + 2 * int(cut)
+
+
+_SECTION = "doc_id long, section int, before int, end_kind int, inside int, apart boolean, text string"
+
+
+def sections(docs: DataFrame, at_least: int, size: int, halo: int) -> DataFrame:
+    """``doc_id, section, before, end_kind, inside, apart, text``: texts of more than ``at_least`` bytes; those of more than
+    ``size`` bytes (``apart``) in sections of about that size.
+
+    ``before`` is the number of characters of ``text`` that belong to the section before. Rows without ``doc_id`` drop out.
+    """
+    rows = docs.select("doc_id", "text").where((F.octet_length("text") > at_least) & F.col("doc_id").isNotNull())
+    zero = F.lit(0)
+    short = rows.where(F.octet_length("text") <= size).select("doc_id", zero.alias("section"), zero.alias("before"), zero.alias("end_kind"), zero.alias("inside"), F.lit(False).alias("apart"), "text")
 
+    back = LOOK + BEFORE + 8
 
-def _cue_starts(text: str) -> list[int]:
-    if "-->" not in text and "}{" not in text:
-        return []
-    return [m.start() for m in _CUE.finditer(text.replace("\r", "\n"))]
+    def slices(raw):
+        piece = lambda k: F.struct(k.alias("section"), F.substring(raw, F.greatest(k * size - back, zero) + 1, F.least(k * size, F.lit(back)) + size + halo + 8).alias("data"))
+        return F.transform(F.sequence(zero, F.ceil(F.octet_length(raw) / size).cast("int") - 1), piece)
 
+    long = rows.where(F.octet_length("text") > size).select("doc_id", F.octet_length("text").alias("n"), F.explode(_let(F.col("text").cast("binary"), slices)).alias("s"))
+    long = long.select("doc_id", F.col("s.section").alias("section"), (F.ceil(F.col("n") / size) - 1 == F.col("s.section")).alias("last"), F.col("s.data").alias("data")).hint("rebalance")
 
-def ranges(docs: DataFrame, at_least: int, size: int = RANGE) -> DataFrame:
-    """``doc_id, range, ranges, start, cues, text`` of every text of more than ``at_least`` bytes.
+    def cut(batches):
+        for b in batches:
+            for doc, k, last, data in zip(*[b.column(c).to_pylist() for c in ("doc_id", "section", "last", "data")], strict=True):
+                if found := _section(data, min(k * size, back), last, size, halo):
+                    text, before, kind, inside = found
+                    own = [doc, k, before, kind, inside, True, text.decode("utf-8", "replace")]
+                    kinds = [pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(own, kinds, strict=True)], ["doc_id", "section", "before", "end_kind", "inside", "apart", "text"])
 
-    ``start`` counts characters; ``cues`` has the places in the range where cues begin. The ranges of texts longer than
-    ``size`` are spread over the cluster.
-    """
-    rows = docs.select("doc_id", "text").where((F.octet_length("text") > at_least) & F.col("doc_id").isNotNull())
+    return short.unionByName(long.mapInArrow(cut, _SECTION))
 
-    def cut(batches):
-        for b in (whole.slice(at, 128) for whole in batches for at in range(0, whole.num_rows, 128)):
-            out: list[tuple] = []
-            held = 0
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ends, at = [], 0
-                while len(text) - at > size:
-                    edge = _EDGE.search(text, at + size)
-                    at = edge.start() if edge else len(text)
-                    ends.append(at)
-                if not ends or ends[-1] < len(text):
-                    ends.append(len(text))
-                start = 0
-                for k, end in enumerate(ends):
-                    halo = max(0, start - HALO)
-                    cues = [c + halo - start for c in _cue_starts(text[halo : end + HALO]) if start <= c + halo < end]
-                    out.append((doc, k, len(ends), start, np.array(cues, "<i4").tobytes(), text[start:end]))
-                    held += end - start
-                    start = end
-                    if held > 1 << 22:
-                        yield _batch(out)
-                        out, held = [], 0
-            if out:
-                yield _batch(out)
-
-    def _batch(out):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "range", "ranges", "start", "cues", "text"])
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = F.char_length("text") > size
-    spread = rows.where(large).mapInArrow(cut, _RANGES).repartition(n, "doc_id", "range")
-    return rows.where(~large).mapInArrow(cut, _RANGES).unionByName(spread)
+
+# --- boundaries and pieces ---------------------------------------------------------------------------------------------
 
 
 def _inner(limit: int) -> int:
@@ -83,17 +134,25 @@ def _inner(limit: int) -> int:
     return limit // 8
 
 
-def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def _repeated(tokens: np.ndarray, kind: np.ndarray, cut: int, overlap: int, after: int) -> int:
+    """Where the piece after a ``cut`` begins: the first boundary of the best kind within ``overlap`` tokens before it."""
+    low = max(int(np.searchsorted(tokens, tokens[cut] - overlap, "left")), after)
+    near = kind[low:cut]
+    best = near.max() if len(near) else 0
+    return low + int(np.argmax(near == best)) if best >= WORD else cut
+
+
+def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, overlap: int, done: int = 0, end_kind: int = 0) -> list[tuple[int, int, int]]:
     """``(first, last, kind of the cut)`` of the pieces of a text, as indices into its boundaries.
 
     ``at[0]`` is the text's start and ``at[-1]`` its end; ``tokens`` counts the tokens before a boundary. A piece ends at
     the last cue it can reach, else line end, else word end, else between tokens; the next begins at the first boundary of the
-    best kind within ``overlap`` tokens before that end.
+    best kind within ``overlap`` tokens before that end. What comes before the boundary ``done`` may be repeated only.
     """
     n = len(at)
     index = np.arange(n)
     last = {k: np.maximum.accumulate(np.where(kind >= k, index, -1)) for k in (CUE, LINE, WORD, 0)}
-    out, first, done = [], 0, 0
+    out, first = [], _repeated(tokens, kind, done, overlap, 0) if done else 0
     while tokens[-1] - tokens[first] > limit:
         end = int(np.searchsorted(tokens, tokens[first] + limit, "right")) - 1
         cut = next((int(last[k][end]) for k in (CUE, LINE, WORD, 0) if last[k][end] > done), -1)
@@ -104,156 +163,151 @@ def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, ove
             end = int(np.searchsorted(tokens, tokens[first] + limit, "right")) - 1
             cut = next((int(last[k][end]) for k in (CUE, LINE, WORD, 0) if last[k][end] > done), done + 1)
         out.append((first, cut, int(kind[cut])))
-        low = int(np.searchsorted(tokens, tokens[cut] - overlap, "left"))
-        low = max(low, first + 1)
-        near = kind[low:cut]
-        best = near.max() if len(near) else 0
-        first = low + int(np.argmax(near == best)) if best >= WORD else cut
-        done = cut
+        first, done = _repeated(tokens, kind, cut, overlap, first + 1), cut
     if done < n - 1:
-        out.append((first, n - 1, 0))
+        out.append((first, n - 1, end_kind))
     return out
 
 
-def _boundaries(numbers, cues, chars, weights, wide, head, tail, breaks, limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, tokens before and kinds of the boundaries of one range, without its end."""
-    size, inner = chars[numbers], _inner(limit)
-    begin = np.cumsum(size) - size
-    weight = weights[numbers]
-    before = np.cumsum(weight) - weight
-    white_next, white_last = head[numbers], np.append(True, tail[numbers[:-1]] > 0)
-    ended = np.append(0, tail[numbers[:-1]])  # 2: the word before ends a line
-    kind = np.where(white_next > 0, WORD, np.where(white_last, WORD, 0))
-    line = (ended == 2) | ((ended == 3) & (head[numbers] != 2))  # a return ends a line unless a line feed follows
+def _cues(kind: np.ndarray, role: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """The words that begin a cue: those that begin the line of a time stamp with an arrow, or the number line before it, or
+    the line of a pair of frames."""
+    n, index = len(kind), np.arange(len(kind))
+    begins = kind >= LINE
+    line = np.maximum.accumulate(np.where(begins, index, 0))  # the first word of a word's line
+    arrow = np.flatnonzero(role == _ARROW)
+    start = line[arrow]
+    long = arrow - start
+    arrow, start = arrow[(long == 5) | (long == 7)], start[(long == 5) | (long == 7)]
+    ok = (role[start] == _NUMBER) & (role[start + 1] == _COLON) & (role[start + 2] == _NUMBER) & (role[arrow - 1] == _NUMBER)
+    ok &= (role[arrow - 2] == _POINT) | (role[arrow - 2] == _COLON)
+    start = start[ok]
+    before = np.append(0, np.maximum.accumulate(np.where(~blank, index, 0))[:-1])[start]  # the last word that is not blank
+    numbered = (start > 0) & (start - before <= 3) & (role[before] == _NUMBER) & begins[before]
+    braces = np.flatnonzero(role == _BRACES)
+    braces = braces[braces >= 2] - 2
+    braces = braces[begins[braces] & (role[braces] == _BRACE) & (role[np.minimum(braces + 1, n - 1)] == _NUMBER)]
+    return np.concatenate([np.where(numbered, before, start), braces])
+
+
+def _boundaries(numbers, facts, weights, wide, own: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, tokens before and kinds of the boundaries of one section, without its end; the place ``own`` is one."""
+    chars, head, tail, breaks = (facts[f][numbers] for f in ("chars", "head", "tail", "breaks"))
+    inner = _inner(limit)
+    begin = np.cumsum(chars) - chars
+    before = np.cumsum(weights) - weights
+    ended = np.append(0, tail[:-1])  # 2: the word before ends a line
+    kind = np.where((head > 0) | (ended > 0), WORD, 0)
+    kind[0] = LINE
+    line = (ended == 2) | ((ended == 3) & (head != 2))  # a return ends a line unless a line feed follows
     kind[line] = LINE
     # a blank line before a word: the break words just before hold two line ends
-    some = breaks[numbers]
-    two = np.append(0, some[:-1]) + np.append([0, 0], np.where(some[1:-1] > 0, some[:-2], 0))[: len(numbers)]
-    pair = (tail[numbers[:-2]] == 3) & (head[numbers[1:-1]] == 2)  # a return and its line feed are one line end
-    two -= np.append([0, 0], np.where((some[1:-1] > 0) & pair, 1, 0))[: len(numbers)]
-    kind[line & (some == 0) & (two >= 2)] = CUE
-    if len(cues):
-        spot = np.searchsorted(begin, cues)
-        ok = (spot < len(begin)) & (begin[np.minimum(spot, len(begin) - 1)] == cues)
-        kind[spot[ok]] = CUE
+    two = np.append(0, breaks[:-1]) + np.append([0, 0], np.where(breaks[1:-1] > 0, breaks[:-2], 0))[: len(numbers)]
+    pair = (tail[:-2] == 3) & (head[1:-1] == 2)  # a return and its line feed are one line end
+    two -= np.append([0, 0], np.where((breaks[1:-1] > 0) & pair, 1, 0))[: len(numbers)]
+    kind[line & (breaks == 0) & (two >= 2)] = CUE
+    kind[_cues(kind, facts["role"][numbers], facts["blank"][numbers] > 0)] = CUE
     keep = kind > 0
     keep[0] = True
+    keep[np.searchsorted(begin, own)] = True
     kept = np.append(np.flatnonzero(keep), len(numbers))
-    upto = np.append(before, before[-1] + weight[-1])
+    upto = np.append(before, before[-1] + weights[-1])
     for k in np.flatnonzero(np.diff(upto[kept]) > limit).tolist():  # no natural place within a piece's length: any word
         keep[kept[k] : kept[k + 1]] = True
-    if wide[numbers].any():  # words without an inner boundary
-        extra_at, extra_before = [], []
-        for w in np.flatnonzero(wide[numbers]).tolist():
-            steps = np.arange(inner, size[w], inner)
-            extra_at.append(begin[w] + steps)
-            extra_before.append(before[w] + steps * 4)
-        at = np.concatenate([begin[keep], *extra_at])
-        tok = np.concatenate([before[keep], *extra_before])
-        kinds = np.concatenate([kind[keep], np.zeros(len(at) - int(keep.sum()), kind.dtype)])
-        order = np.argsort(at, kind="stable")
-        return at[order], tok[order], kinds[order]
-    return begin[keep], before[keep], kind[keep]
-
-
-_PLAN = "doc_id long, piece int, pieces int, start long, `end` long, n_tokens int, cut int, range int, part int, rel int, len int, table binary"
-
-
-def plan_pieces(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64) -> DataFrame:
-    """``doc_id, piece, pieces, start, end, n_tokens, cut, range, part, rel, len``: where to cut the texts of more than
-    ``limit`` tokens; a row for each piece and range it touches (``part`` numbers them, ``rel`` and ``len`` lie in the
-    range). ``cut`` is the kind of place the piece ends at (3 between cues, 2 line end, 1 between words, 0 end or none).
-    """
-    if limit < 32 or not 0 <= overlap <= limit // 2:
-        raise ValueError("the limit is 32 at least, the overlap at most half of it")
-    # a token has a byte at least, so texts of no more bytes than the limit need no look
-    keys = ["doc_id", "range", "ranges", "start", "cues"]
-    index, words = index_words(ranges(docs, limit), keys)
-    w = F.col("word")
-    first, last = F.substring(w, 1, 1), F.substring(w, -1, 1)
-    word_facts = F.struct(
-        F.size("ids").alias("tokens"), F.char_length(w).alias("chars"),
-        F.when(first == "\n", 2).when(first.rlike(_WHITE), 1).otherwise(0).alias("head"),
-        F.when(last == "\n", 2).when(last == "\r", 3).when(last.rlike(_WHITE), 1).otherwise(0).alias("tail"),
-        F.when(w.rlike(r"^\s+$"), F.regexp_count(w, F.lit(r"\r\n|\r|\n"))).otherwise(0).cast("int").alias("breaks"),
-    )
+    if not wide.any():
+        return begin[keep], before[keep], kind[keep]
+    extra_at, extra_before = [], []  # words without an inner boundary
+    for w in np.flatnonzero(wide).tolist():
+        steps = np.arange(inner, chars[w], inner)
+        extra_at.append(begin[w] + steps)
+        extra_before.append(before[w] + steps * 4)
+    at = np.concatenate([begin[keep], *extra_at])
+    tok = np.concatenate([before[keep], *extra_before])
+    kinds = np.concatenate([kind[keep], np.zeros(len(at) - int(keep.sum()), kind.dtype)])
+    order = np.argsort(at, kind="stable")
+    return at[order], tok[order], kinds[order]
 
-    def tables(rows, parts):
-        facts = {f: parts.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("tokens", "chars", "head", "tail", "breaks")}
-        wide = facts["tokens"] > limit
-        weights = np.where(wide, -(-facts["chars"] // _inner(limit)) * _inner(limit) * 4, facts["tokens"])
-        numbers, offsets = _numbers(rows.column("idx"))
-        out: list[tuple] = []
-        for i, (doc, rng, of, start, cues) in enumerate(zip(*[rows.column(k).to_pylist() for k in keys], strict=True)):
-            own = numbers[offsets[i] : offsets[i + 1]]
-            if not len(own) or (of == 1 and weights[own].sum() <= limit):
-                continue
-            at, tok, kind = _boundaries(own, np.frombuffer(cues, "<i4"), facts["chars"], weights, wide, facts["head"], facts["tail"], facts["breaks"], limit)
-            size, total = int(facts["chars"][own].sum()), int(weights[own].sum())
-            if of == 1:
-                out += _rows(doc, np.append(at, size), np.append(tok, total), np.append(kind, LINE), np.array([0, size]), limit, overlap)
-            else:
-                table = np.concatenate([[size, total], at, tok, kind]).astype("<i8").tobytes()
-                out.append((doc, -1, 0, start, start + size, 0, 0, rng, 0, 0, 0, table))
-        return _table(out)
 
-    made = written(_resolve(index, words, path, word_facts, tables, _PLAN))
-
-    def stitch(t):
-        t = t.sort_by("range")
-        at, tok, kind, edges, before = [], [], [], [0], 0
-        for data in t.column("table").to_pylist():
-            x = np.frombuffer(data, "<i8")
-            a, b, k = x[2:].reshape(3, -1)
-            at.append(a + edges[-1])
-            tok.append(b + before)
-            kind.append(k)
-            edges.append(edges[-1] + int(x[0]))
-            before += int(x[1])
-        doc = t.column("doc_id")[0].as_py()
-        if before <= limit:
-            return _table([])
-        kinds = np.concatenate(kind)
-        for k in np.cumsum([len(x) for x in kind])[:-1]:
-            kinds[k] = max(kinds[k], WORD)  # a range begins with white space
-        return _table(_rows(doc, np.append(np.concatenate(at), edges[-1]), np.append(np.concatenate(tok), before), np.append(kinds, LINE), np.array(edges), limit, overlap))
-
-    stitched = made.where("piece < 0").groupBy("doc_id").applyInArrow(stitch, _PLAN)
-    return made.where("piece >= 0").unionByName(stitched).drop("table")
-
-
-def _rows(doc, at, tok, kind, edges, limit: int, overlap: int) -> list[tuple]:
-    out = []
-    pieces = choose(at, tok, kind, limit, overlap)
-    for p, (a, b, cut) in enumerate(pieces):
-        start, end = int(at[a]), int(at[b])
-        r = int(np.searchsorted(edges, start, "right")) - 1
-        part = 0
-        while edges[r] < end:
-            lo, hi = max(start, int(edges[r])), min(end, int(edges[r + 1]))
-            out.append((doc, p, len(pieces), start, end, int(tok[b] - tok[a]), cut, r, part, lo - int(edges[r]), hi - lo, None))
-            part, r = part + 1, r + 1
-    return out
+_PIECE = "doc_id long, section int, piece int, pieces int, start long, `end` long, n_tokens int, cut int, chars long, text string"
 
 
 def _table(out: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.binary()]
-    names = ["doc_id", "piece", "pieces", "start", "end", "n_tokens", "cut", "range", "part", "rel", "len", "table"]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 12, kinds, strict=True)], names=names)
+    kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), *[pa.int32()] * 2, pa.int64(), pa.string()]
+    names = ["doc_id", "section", "piece", "pieces", "start", "end", "n_tokens", "cut", "chars", "text"]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)], names=names)
+
+
+def _facts():
+    """What the choice of boundaries needs to know of a word, and the word."""
+    w = F.col("word")
+    first, last, bare = F.substring(w, 1, 1), F.substring(w, -1, 1), F.ltrim(w)
+    role = F.when(w.rlike(r"^ ?[0-9]+$"), _NUMBER).when(w == ":", _COLON).when(w.isin(",", "."), _POINT).when(bare == "-->", _ARROW).when(w == "}{", _BRACES).when(bare == "{", _BRACE)
+    blank = w.rlike(f"{_WHITE}+$")
+    return F.struct(
+        F.size("ids").alias("tokens"), F.char_length(w).alias("chars"),
+        F.when(first == "\n", 2).when(first.rlike(_WHITE), 1).otherwise(0).alias("head"),
+        F.when(last == "\n", 2).when(last == "\r", 3).when(last.rlike(_WHITE), 1).otherwise(0).alias("tail"),
+        F.when(blank, F.regexp_count(w, F.lit(r"\r\n|\r|\n"))).otherwise(0).cast("int").alias("breaks"),
+        blank.cast("int").alias("blank"), role.otherwise(0).alias("role"), w.alias("word"),
+    )
 
 
 def split(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64) -> DataFrame:
     """``doc_id, piece, pieces, start, end, n_tokens, cut, text``: the pieces of every text of more than ``limit`` tokens.
 
     Pieces are numbered from 0; ``text`` is the characters ``start`` to ``end`` of the document's text, and each piece
-    after the first begins at most ``overlap`` tokens before the end of the one before. Null, empty and short texts have
-    no row. ``n_tokens`` counts the tokens of the piece as they are in the whole text; encoded alone a piece has at most
-    as many, since white space at its end may join. ``doc_id`` is unique; rows without
-    one are left out. A word that alone exceeds the limit is cut inside.
+    after the first begins at most ``overlap`` tokens before the end of the one before. ``cut`` is the kind of place the piece
+    ends at (3 between cues, 2 line end, 1 between words, 0 end or none). Null, empty and short texts have no row.
+    ``n_tokens`` counts the tokens of the piece as they are in the whole text; encoded alone a piece has at most as many,
+    since white space at its end may join. ``doc_id`` is unique; rows without one are left out. A word that alone exceeds the
+    limit is cut inside. A text of more than ``SECTION`` bytes also has a cut at the end of each of its sections.
     """
-    parts = plan_pieces(docs, path, limit, overlap)
-    body = ranges(docs, limit).select("doc_id", "range", "text")
-    cut_out = parts.join(body, ["doc_id", "range"]).withColumn("text", F.substring(F.col("text"), F.col("rel") + 1, F.col("len")))
-    keys = ["doc_id", "piece", "pieces", "start", "end", "n_tokens", "cut"]
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
-    return cut_out.groupBy(*keys).agg(F.array_join(whole, "").alias("text"))
+    if limit < 32 or not 0 <= overlap <= limit // 2:
+        raise ValueError("the limit is 32 at least, the overlap at most half of it")
+    # a token has a byte at least, so texts of no more bytes than the limit need no look; and so many bytes at most, that a
+    # halo without a place to cut is within a word of more tokens than the limit
+    halo = limit * max(len(t) for t in vocabulary(path))
+    keys = ["doc_id", "section", "before", "end_kind", "inside"]
+    index = Words(sections(docs, limit, max(SECTION, 2 * halo), halo), keys)
+    numeric = ("tokens", "chars", "head", "tail", "breaks", "blank", "role")
+
+    def pieces(rows, parts):
+        facts = {f: parts.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in numeric}
+        words = parts.field("word").cast(pa.large_string())
+        wide_words = facts["tokens"] > limit
+        by_chars = -(-facts["chars"] // _inner(limit)) * _inner(limit) * 4
+        numbers, offsets = _numbers(rows.column("idx"))
+        out: list[tuple] = []
+        for i, (doc, section, before, end_kind, inside) in enumerate(zip(*[rows.column(k).to_pylist() for k in keys], strict=True)):
+            own = numbers[offsets[i] : offsets[i + 1]]
+            if not len(own):
+                continue
+            wide = wide_words[own]
+            wide[[0] * (inside & 1) + [-1] * (inside >> 1)] = True  # parts of a cut word count by their bytes
+            weights = np.where(wide, by_chars[own], facts["tokens"][own])
+            if not (section or end_kind or inside) and weights.sum() <= limit:
+                continue
+            at, tok, kind = _boundaries(own, facts, weights, wide, before, limit)
+            size = int(facts["chars"][own].sum())
+            at, tok, kind = np.append(at, size), np.append(tok, weights.sum()), np.append(kind, LINE)
+            made = choose(at, tok, kind, limit, overlap, int(np.searchsorted(at, before)), end_kind)
+            text = "".join(words.take(pa.array(own)).to_pylist())
+            for p, (a, b, cut) in enumerate(made):
+                start, end = int(at[a]), int(at[b])
+                out.append((doc, section, p, len(made), start - before, end - before, int(tok[b] - tok[a]), cut, size - before, text[start:end]))
+        return _table(out)
+
+    columns = ["doc_id", "piece", "pieces", "start", "end", "n_tokens", "cut", "text"]
+    short = resolve(index, False, path, _facts(), pieces, _PIECE).select(*columns)
+    if not index.blocks[True]:
+        return short
+    made = written(resolve(index, True, path, _facts(), pieces, _PIECE))
+    sums = made.groupBy("doc_id", "section").agg(F.max("pieces").alias("own"), F.max("chars").alias("chars"))
+    upto = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("doc_id")
+    sums = sums.select(
+        "doc_id", "section", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("p"), F.coalesce(F.sum("chars").over(upto), F.lit(0)).alias("c"), F.sum("own").over(whole).cast("int").alias("all")
+    )
+    long = made.join(sums, ["doc_id", "section"]).withColumn("pieces", F.col("all")).withColumn("piece", (F.col("piece") + F.col("p")).cast("int"))
+    long = long.withColumn("start", F.col("start") + F.col("c")).withColumn("end", F.col("end") + F.col("c"))
+    return short.unionByName(long.select(*columns))

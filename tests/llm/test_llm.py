@@ -450,15 +450,8 @@ def long_texts():
     return texts
 
 
-@tokenized
-@pytest.mark.parametrize("size", [splitting.RANGE, 700])
-def test_pieces(spark, monkeypatch, size):
-    enc, limit, overlap = reference_encoding(), 256, 32
-    texts = long_texts()
-    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts)], "doc_id long, text string, piece int, range string").repartition(4)
-    whole = splitting.ranges
-    monkeypatch.setattr(splitting, "ranges", lambda d, n, _=None: whole(d, n, size))
-    got = splitting.split(docs, vocabulary_path(), limit, overlap).toPandas().sort_values(["doc_id", "piece"])
+def check_pieces(enc, texts, got, limit, overlap):
+    """Cover, order, limits, repeats and numbers of all pieces."""
     assert set(got["doc_id"]) == {i for i, t in enumerate(texts) if t and len(enc.encode_ordinary(t)) > limit}
     for doc, x in got.groupby("doc_id"):
         text, end = texts[doc], 0
@@ -469,15 +462,73 @@ def test_pieces(spark, monkeypatch, size):
             assert len(enc.encode_ordinary(text[row.start : end])) <= overlap
             end = row.end
         assert end == len(text)
+
+
+@tokenized
+def test_pieces(spark):
+    enc, limit, overlap = reference_encoding(), 256, 32
+    texts = long_texts()
+    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts)], "doc_id long, text string, piece int, section string").repartition(4)
+    got = splitting.split(docs, vocabulary_path(), limit, overlap).toPandas().sort_values(["doc_id", "piece"])
+    check_pieces(enc, texts, got, limit, overlap)
     cues = got[got["doc_id"].isin([0, 1, 2, 3])]
     inner = cues[cues["piece"] < cues["pieces"] - 1]
     assert (inner["cut"] == splitting.CUE).all()
+    assert all(texts[row.doc_id][row.end] in "{0123456789" for row in inner.itertuples())
     lines = got[(got["doc_id"] == 5) & (got["piece"] < got["pieces"] - 1)]
     assert all(t.endswith("\n") for t in lines["text"])
     spaced = got[(got["doc_id"] == 4) & (got["piece"] < got["pieces"] - 1)]
     assert (spaced["cut"] == splitting.WORD).all()
 
 
+@tokenized
+def test_pieces_of_sections(spark, monkeypatch):
+    """Long texts in sections of the least size, 8,192 bytes; nothing shorter changes."""
+    monkeypatch.setattr(splitting, "SECTION", 1)
+    enc, limit, overlap, r = reference_encoding(), 32, 16, np.random.default_rng(4)
+    texts = [t and t * 6 for t in long_texts()] + ["漢字かな" * 20000, "w" * 70000, "-" * 9000 + " x" * 9000, "'s" * 30000, "".join(r.choice(list("ab1'.,  \n\té字　"), 40000)), "a\n" * 9000, " \n  \n" * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    cut = splitting.sections(docs, limit, 8192, 4096).toPandas().sort_values(["doc_id", "section"])
+    for doc, x in cut.groupby("doc_id"):
+        assert "".join(t[b:] for t, b in zip(x["text"], x["before"], strict=True)) == texts[doc]
+        assert x["text"].str.len().max() <= 8192 + 4096 + 2048
+    assert cut["apart"].sum() > 50 and (cut.loc[cut["doc_id"].isin([0, 1, 2, 3]) & (cut["end_kind"] > 0), "end_kind"] == splitting.CUE).all()
+    got = splitting.split(docs, vocabulary_path(), limit, overlap).toPandas().sort_values(["doc_id", "piece"])
+    check_pieces(enc, texts, got, limit, overlap)
+    monkeypatch.setattr(splitting, "SECTION", 1 << 20)
+    whole = splitting.split(docs, vocabulary_path(), limit, overlap).toPandas()
+    some = [i for i, t in enumerate(texts) if t and len(t.encode()) <= 8192]
+    key = lambda d: sorted(map(tuple, d[d["doc_id"].isin(some)].itertuples(index=False)))
+    assert key(got) == key(whole) and len(got) < 1.1 * len(whole)
+
+
+@tokenized
+def test_edges_do_not_depend_on_the_slice():
+    r, halo = np.random.default_rng(5), 600
+    for alphabet in ("ab1'.,  \n\r\té字　-", "1:2,0>- {}\n", "漢字", "a"):
+        text = "".join(r.choice(list(alphabet), 3000)).encode()
+        for at in range(1600, 2200, 7):
+            want = splitting._edge(text, at, halo)  # noqa: SLF001
+            again = splitting._edge(text[at - 1544 :], 1544, halo)  # noqa: SLF001
+            assert (want[0], *want[1:]) == (again[0] + at - 1544, *again[1:])
+            if want[1] or want[0] == len(text) or want[2]:
+                assert want[0] >= at
+            flat, starts = bytebpe.words_of(__import__("pyarrow").array([text.decode()]))
+            begins = np.cumsum([0, *[len(w.encode()) for w in flat.to_pylist()]])
+            assert want[2] or want[0] in begins
+
+
+@tokenized
+def test_long_texts_are_encoded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bytebpe, "BLOCK_BYTES", 2000)
+    enc = reference_encoding()
+    texts = [t and t * 2 for t in long_texts()] + TEXTS
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted((i // 2, enc.encode_ordinary(t) if t else []) for i, t in enumerate(texts))
+    assert sorted((r.doc_id, list(r.ids)) for r in bytebpe.encode(docs, vocabulary_path()).collect()) == want
+    assert sorted((r.doc_id, r.n_tokens) for r in bytebpe.token_counts(docs, vocabulary_path()).collect()) == [(i, len(x)) for i, x in sorted(want, key=lambda w: (w[0], len(w[1])))]
+
+
 def test_no_long_texts_no_pieces(spark):
     docs = spark.createDataFrame([(1, "short"), (2, None), (None, "x" * 5000)], "doc_id long, text string")
     if os.path.exists(vocabulary_path()):
