@@ -125,42 +125,50 @@ def leaf_entries(points: DataFrame, radius: float, reach: float, most: int = 204
 def ward(n: np.ndarray, centre: np.ndarray, k: int, block: np.ndarray | None = None) -> np.ndarray:
     """Labels 0..k-1 of entries agglomerated by Ward linkage down to ``k`` groups.
 
-    ``block``: entries of different blocks join only when nothing else is left. Ties go to the earlier entry.
+    ``block``: entries of different blocks join only when every block has become one group. Ties go to the earlier entry.
     Quadratic in the entries, whose number is bounded.
     """
+    n, centre = np.asarray(n, float), np.asarray(centre, float)
+    block = np.zeros(len(n), int) if block is None else np.asarray(block)
+    label = _joined(n, centre, k, block)
+    if len(np.unique(label)) > k:
+        total = np.bincount(label, n)
+        middle = np.zeros((len(total), centre.shape[1]))
+        np.add.at(middle, label, n[:, None] * centre)
+        label = _joined(total, middle / total[:, None], k, np.zeros(len(total), int))[label]
+    return label
+
+
+def _joined(n: np.ndarray, centre: np.ndarray, k: int, block: np.ndarray) -> np.ndarray:
+    """Labels after joining within blocks down to ``k`` groups, or one a block; the costs of a joint group follow from those
+    of its two parts."""
     m = len(n)
-    n, centre, label = n.astype(float).copy(), centre.astype(float).copy(), np.arange(m)
-    if m <= k:
-        return label
-    block = np.zeros(m, int) if block is None else np.asarray(block).copy()
-    alive = np.ones(m, bool)
-
-    def costs(i: int) -> np.ndarray:
-        c = n[i] * n / np.maximum(n[i] + n, 1e-300) * ((centre - centre[i]) ** 2).sum(1)
-        c[block != block[i]] += 1e30
-        c[~alive] = np.inf
-        c[i] = np.inf
-        return c
-
+    n, label, alive = n.copy(), np.arange(m), np.ones(m, bool)
     cost = np.empty((m, m), np.float32)
-    for i in range(m):
-        cost[i] = costs(i)
-    near = cost.argmin(1)
+    square = (centre**2).sum(1)
+    for at in range(0, m, 512):
+        rows = slice(at, at + 512)
+        d2 = np.maximum(square[rows, None] + square[None] - 2 * centre[rows] @ centre.T, 0)
+        cost[rows] = np.where(block[rows, None] == block[None], n[rows, None] * n[None] / np.maximum(n[rows, None] + n[None], 1e-300) * d2, np.inf)
+    np.fill_diagonal(cost, np.inf)
+    near = cost.argmin(1) if m else label
     best = cost[np.arange(m), near]
     for _ in range(m - k):
         i = int(best.argmin())
+        if not np.isfinite(best[i]):
+            break
         i, j = sorted((i, int(near[i])))
-        total = n[i] + n[j]
-        centre[i], n[i], alive[j] = (n[i] * centre[i] + n[j] * centre[j]) / total, total, False
+        total = n[i] + n[j] + n
+        both = ((n[i] + n) * cost[i].astype(float) + (n[j] + n) * cost[j].astype(float) - n * float(cost[i, j])) / total
+        both[~alive], both[i], both[j] = np.inf, np.inf, np.inf
+        n[i], alive[j] = n[i] + n[j], False
         label[label == j] = i
         cost[j, :] = cost[:, j] = np.inf
         best[j] = np.inf
-        cost[i, :] = cost[:, i] = costs(i)
+        cost[i, :] = cost[:, i] = both
         for r in np.flatnonzero(alive & ((near == i) | (near == j))):
             near[r] = cost[r].argmin()
             best[r] = cost[r, near[r]]
-        near[i] = cost[i].argmin()
-        best[i] = cost[i, near[i]]
         closer = alive & (cost[:, i] < best)
         near[closer], best[closer] = i, cost[closer, i]
     return np.unique(label, return_inverse=True)[1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bisection import cell_values, combine, from_summary, percentiles, summaries
 from .bytebpe import encode, token_counts
-from .common import table, written
+from .common import table
 from .mixture import clusters, linked
 from .packing import fill, pack
 from .profiles import cell_profiles
@@ -39,11 +39,11 @@ def vocabulary_path() -> str:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_points(cell_profiles(spark, sf_dir), NEAR, FEW)
+    return sparse_points(cell_profiles(spark, sf_dir), NEAR, FEW, SUBSET_SIZE)
 
 
 def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return varied_subset(written(cell_profiles(spark, sf_dir)), SUBSET_SIZE, kind=NEAR)
+    return varied_subset(cell_profiles(spark, sf_dir), SUBSET_SIZE, kind=NEAR)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

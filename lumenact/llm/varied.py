@@ -116,12 +116,19 @@ def _chosen(points: DataFrame, label: str, keys: np.ndarray, n: np.ndarray, ls:
     return rows.groupBy("grp").agg(best.alias("b"), F.count("*").alias("grp_size")).select("b.sample", f"b.{label}", "grp", "grp_size", "b.distance")
 
 
-def sparse_points(points: DataFrame, distance: float, most: int) -> DataFrame:
-    """``sample`` of every row of ``points(sample, vec)`` with at most ``most`` other rows within ``distance``.
+def sparse_points(points: DataFrame, distance: float, most: int, size: int = 200, label: str = "annotation") -> DataFrame:
+    """``sample`` of every row of ``points(sample, vec, label)`` with at most ``most`` other rows within ``distance``.
 
-    The leaf entries of the tree, built with half the distance as radius, are the pivots; a row well inside an entry of
-    enough rows is settled by the entry, and an exact check in blocks settles the rest (see ``balls``).
+    The rows of a varied subset of ``size``, each the nearest to the centre of a group of Ward's linkage, stand for their
+    groups; leaf entries, of half the distance, stand for what is far from all of them. A row well inside a group of enough
+    rows is settled by the group, and an exact check in blocks settles the rest (see ``balls``).
     """
-    tree = leaf_entries(points, distance / 2, 0.75 * distance, 2 * MAX_ENTRIES).select("n", "ls").toArrow()
-    pivots = vectors(tree.column("ls")) / tree.column("n").to_numpy()[:, None] if len(tree) else np.zeros((0, 1))
+    chosen = varied_subset(points, size, label, kind=distance).select("sample").distinct()
+    picks = points.join(chosen, "sample", "left_semi").select("vec").distinct().toArrow()
+    if not len(picks):
+        return points.select("sample").limit(0)
+    pivots = vectors(picks.column("vec"))
+    tree = leaf_entries(_far(points, label, pivots, 0.75 * distance), distance / 2, 0.75 * distance, 2 * MAX_ENTRIES).select("n", "ls").toArrow()
+    if len(tree):
+        pivots = np.vstack([pivots, vectors(tree.column("ls")) / tree.column("n").to_numpy()[:, None]])
     return lonely(points, pivots, distance, most)
