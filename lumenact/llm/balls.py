@@ -170,15 +170,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def chains(points: DataFrame, pivots: np.ndarray, t: float) -> DataFrame:
+def chains(points: DataFrame, pivots: np.ndarray, t: float, placed: DataFrame | None = None) -> DataFrame:
     """``sample, first``: the smallest sample of the component of each of ``points(sample, vec)``, rows at most ``t``
-    apart being linked; exact for any pivots.
+    apart being linked; exact for any pivots. ``placed(sample, vec, leaf, rho)`` gives the pivot of each row, and its
+    distance from it, by default the nearest pivot.
 
     A row near enough to the innermost member of its pivot is linked to it and belongs to the pivot's node. Other rows
     are nodes of their own. Only pairs of nodes not yet joined, and not kept apart by the bounds, are compared.
     """
     spark = points.sparkSession
-    assigned = written(assign(points.select("sample", "vec"), pivots))
+    assigned = written(assign(points.select("sample", "vec"), pivots) if placed is None else placed)
     k = len(pivots)
     rank = F.row_number().over(Window.partitionBy("leaf").orderBy("rho", "sample"))
     first = assigned.withColumn("k", rank).where("k = 1").select("leaf", "rho", "vec").collect()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .balls import chains
+from .balls import chains, distances
 from .cftree import leaf_entries, ward
 from .common import lists, summed, vectors, written
 from .topn import top_n
@@ -244,36 +244,43 @@ def linked(points: DataFrame, distance: float) -> DataFrame:
     """``sample, first``: each row of ``points(sample, vec)`` with the smallest sample of its chain of links, rows at
     most ``distance`` apart being linked.
 
-    The centres of the mixture's components, and leaf entries of the rows far from all of them, are the pivots of an
-    exact check (see ``balls``), which joins components that a chain connects and parts those that none does.
+    The mixture divides the rows: a row belongs to its likeliest component, which its member of highest density represents,
+    and members within ``distance`` of the representative are in one chain. Rows far from the representative belong to
+    leaf entries of their own. The exact check (see ``balls``) joins components that a chain connects, and parts the members
+    of one that none does.
     """
-    model = fit(points, rough=True)  # the check is exact for any pivots
+    model = fit(points, rough=True)  # the check is exact for any division
     if model is None:
         return points.sparkSession.createDataFrame([], "sample string, first string")
-    own = memberships(points.select("vec"), model).select("cluster", "vec")
+    own = memberships(points.select("sample", "vec"), model)
+    best = top_n(own, ["cluster"], [F.col("density").desc(), F.col("sample")], 1).select("cluster", "vec").collect()
+    number = np.full(len(model[1].weight), -1, np.int32)
+    number[[r["cluster"] for r in best]] = np.arange(len(best))
+    pivots = np.array([r["vec"] for r in best], float)
+    sent = points.sparkSession.sparkContext.broadcast((number, pivots))
+
+    def own_pivot(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number, pivots = sent.value
+        x, leaf = vectors(b.column("vec")), number[b.column("cluster").to_numpy()]
+        return x, leaf, np.sqrt(((x - pivots[leaf]) ** 2).sum(1)) if len(x) else np.zeros(0)
 
-    def centres(batches):
-        total: dict[int, np.ndarray] = {}
+    def far(batches):
         for b in batches:
-            x, c = vectors(b.column("vec")), b.column("cluster").to_numpy()
-            for k in np.unique(c):
-                s = np.append(x[c == k].sum(0), (c == k).sum())
-                total[int(k)] = total.get(int(k), 0) + s
-        for k, s in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)], ["k", "j", "value"])
+            yield pa.RecordBatch.from_arrays([b.column("vec").filter(pa.array(own_pivot(b)[2] > distance))], ["vec"])
 
-    sums = summed(own.mapInArrow(centres, "k int, j int, value double"), ["k", "j"]).toArrow().to_pandas().pivot(index="k", columns="j", values="value").to_numpy()
-    middle = sums[:, :-1] / sums[:, -1:]
-    sent = points.sparkSession.sparkContext.broadcast(middle)
+    rest = leaf_entries(own.select("vec", "cluster").mapInArrow(far, "vec array<double>"), distance / 2, 0.75 * distance).toArrow()
+    entries = vectors(rest.column("ls")) / rest.column("n").to_numpy()[:, None] if len(rest) else np.zeros((0, pivots.shape[1]))
+    more = points.sparkSession.sparkContext.broadcast(entries)
 
-    def far(batches):
+    def place(batches):
         for b in batches:
-            x = vectors(b.column("vec"))
-            if len(x):
-                d = (x**2).sum(1)[:, None] + (sent.value**2).sum(1)[None] - 2 * x @ sent.value.T
-                yield pa.RecordBatch.from_arrays([b.column("vec").filter(pa.array(d.min(1) > (0.75 * distance) ** 2))], ["vec"])
-
-    rest = leaf_entries(own.select("vec").mapInArrow(far, "vec array<double>"), distance / 2, 0.75 * distance).toArrow()
-    if len(rest):
-        middle = np.vstack([middle, vectors(rest.column("ls")) / rest.column("n").to_numpy()[:, None]])
-    return chains(points, middle, distance)
+            x, leaf, rho = own_pivot(b)
+            away = np.flatnonzero(rho > distance) if len(more.value) else []
+            for at in range(0, len(away), 1024):
+                rows = away[at : at + 1024]
+                to = distances(x[rows], more.value).argmin(1)
+                leaf[rows], rho[rows] = len(sent.value[1]) + to, np.sqrt(((x[rows] - more.value[to]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("sample"), b.column("vec"), pa.array(leaf.astype(np.int32)), pa.array(rho)], ["sample", "vec", "leaf", "rho"])
+
+    placed = own.select("sample", "vec", "cluster").mapInArrow(place, "sample string, vec array<double>, leaf int, rho double")
+    return chains(points, np.vstack([pivots, entries]), distance, placed)
