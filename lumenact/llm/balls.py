@@ -130,7 +130,9 @@ def lonely(points: DataFrame, pivots: np.ndarray, t: float, most: int) -> DataFr
         return pa.table([q.column("sample").combine_chunks(), pa.array(out)], names=["sample", "n"])
 
     found = compare(asks, assigned.select("sample", "vec", "leaf"), n, asked, count, "sample string, n long")
-    return found.groupBy("sample").agg(F.sum("n").alias("n")).where(F.col("n") <= need).select("sample")  # it is within t of itself
+    few = written(found.groupBy("sample").agg(F.sum("n").alias("n")).where(F.col("n") <= need).select("sample"))  # it is within t of itself
+    asks.unpersist()
+    return few
 
 
 def _roots(vec: np.ndarray, t: float) -> np.ndarray:
@@ -244,8 +246,9 @@ def chains(points: DataFrame, pivots: np.ndarray, t: float, placed: DataFrame |
     queries = asked.where("leaf >= 0").select("sample", "vec", "leaf", "node")
     found = compare(queries, placed.select("sample", "vec", "leaf", "node"), n, per_leaf, links, "a string, b string")
     edges = written(direct.unionByName(found).where("a <> b").distinct())
+    asked.unpersist()
     mine = placed.groupBy("node").agg(F.min("sample").alias("least"))
     if not edges.isEmpty():
         joined = mine.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mine = joined.select("node", F.min("least").over(Window.partitionBy("label")).alias("least"))
+        mine = joined.select("node", "label").join(joined.groupBy("label").agg(F.min("least").alias("least")), "label").select("node", "least")
     return placed.select("sample", "node").join(mine, "node").select("sample", F.col("least").alias("first"))

@@ -87,8 +87,9 @@ class Entries:
         return pa.table(own, names=["part", "n", "ls", "ss", "key"])
 
 
-def leaf_entries(points: DataFrame, radius: float, reach: float, most: int = 2048, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Leaf entries of all rows of ``points(vec, ...)``, at most ``most`` (of each combination of ``keys``) at the root.
+def leaf_entries(points: DataFrame, radius: float, reach: float, most: int = 2048, keys: tuple[str, ...] = ()) -> pa.Table:
+    """Leaf entries of all rows of ``points(vec, ...)``, at most ``most`` (of each combination of ``keys``) at the root, which
+    the driver gets: ``keys`` must have a bounded number of values.
 
     Two passes of Arrow batches; a task holds its entries only, never its rows.
     """
@@ -112,14 +113,15 @@ def leaf_entries(points: DataFrame, radius: float, reach: float, most: int = 204
         tree.insert(t.column("n").to_numpy()[order], ls[order], t.column("ss").to_numpy()[order])
         return tree.frame(key[0].as_py(), key[1].as_py())
 
-    level = points.select(*keys, "vec").mapInArrow(condense, _ENTRY)
-    level = kept(level)
+    first = level = kept(points.select(*keys, "vec").mapInArrow(condense, _ENTRY))
     parts = level.agg(F.max("part")).first()[0]
     while parts is not None:
         level = level.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "key").applyInArrow(merge, _ENTRY)
         if (parts := parts // FAN_IN) == 0:
             break
-    return level
+    root = level.toArrow()
+    first.unpersist()
+    return root
 
 
 def ward(n: np.ndarray, centre: np.ndarray, k: int, block: np.ndarray | None = None) -> np.ndarray:

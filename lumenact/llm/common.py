@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,18 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else what the context has, else (tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else what the context has, else, where driver and executors
+    are one process, a temporary one."""
     sc = spark.sparkContext
     set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_to:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="lumenact-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(set_to)
     return set_to.rstrip("/")
 
 
-def _drop_written() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Drop the tables written so far, once the results that read them are no longer needed; they go with the driver anyway."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -40,13 +46,13 @@ def _drop_written() -> None:
             return
 
 
-atexit.register(_drop_written)
+atexit.register(release)
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once and read it back.
 
-    The files survive the loss of any executor; they go when the driver ends.
+    The files survive the loss of any executor; they go with ``release`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenact-{uuid.uuid4().hex}"

@@ -172,7 +172,7 @@ def fit(points: DataFrame, candidates: tuple[int, ...] = (8, 16, 32, 64, 96, 128
     tried: dict[int, tuple[float, float, Mixture]] = {}  # criterion, log-likelihood and mixture of each candidate
     most = max(512, 4 * max(candidates))
     while True:
-        tree = leaf_entries(rows, 1e-3, 2e-3, most).toArrow()
+        tree = leaf_entries(rows, 1e-3, 2e-3, most)
         n, ls = tree.column("n").to_numpy(), vectors(tree.column("ls"))
         centre = ls / n[:, None]
         overall = np.maximum((n @ centre**2 - n.sum() * (n @ centre / n.sum()) ** 2) / n.sum() + 1e-6, 1e-6)
@@ -268,7 +268,7 @@ def linked(points: DataFrame, distance: float) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("vec").filter(pa.array(own_pivot(b)[2] > distance))], ["vec"])
 
-    rest = leaf_entries(own.select("vec", "cluster").mapInArrow(far, "vec array<double>"), distance / 2, 0.75 * distance).toArrow()
+    rest = leaf_entries(own.select("vec", "cluster").mapInArrow(far, "vec array<double>"), distance / 2, 0.75 * distance)
     entries = vectors(rest.column("ls")) / rest.column("n").to_numpy()[:, None] if len(rest) else np.zeros((0, pivots.shape[1]))
     more = points.sparkSession.sparkContext.broadcast(entries)
 

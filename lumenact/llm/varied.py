@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .balls import lonely
 from .cftree import leaf_entries, ward
-from .common import kept, vectors
+from .common import vectors
 
 #: Entries aimed at at the root of the tree; Ward's table of twice as many has 64 MB.
 MAX_ENTRIES = 2048
@@ -19,7 +20,7 @@ def varied_subset(points: DataFrame, size: int, label: str = "annotation", radiu
     """At most ``size`` rows of ``points(sample, vec, label)``: ``sample, label, grp, grp_size, distance``.
 
     The entries of every label agglomerate among themselves by Ward linkage until ``size`` groups are left in all
-    (labels join only when there are more labels than ``size``), and the row nearest each group's centre comes out,
+    (labels do not count when there are more labels than ``size``), and the row nearest each group's centre comes out,
     ties to the smaller sample. An entry counts once in the linkage, however many rows it stands for, so a crowded kind
     costs no more to merge than a sparse one and does not fill the subset. A null label is a label of its own. Rows no
     more than ``radius`` apart, by default equal ones, count as one kind; there are fewer rows than ``size`` only if there
@@ -32,19 +33,21 @@ def varied_subset(points: DataFrame, size: int, label: str = "annotation", radiu
     if size < 1:
         raise ValueError("size must be positive")
     labels = points.select(label).distinct().count()
+    by = (label,) if labels <= size else ()  # more labels than rows to choose: a label gives no place of its own
+    labels = labels if by else 1
     most = max(16, 2 * max(MAX_ENTRIES, 2 * size) // max(labels, 1))  # of a label; Ward's table grows with all of them
-    tree = leaf_entries(points, radius, 1.5 * radius, most, (label,)).select("key", "n", "ls").toPandas().sort_values(["key", "n"], ascending=[True, False])
+    tree = _entries(points, radius, 1.5 * radius, most, by).sort_values(["key", "n"], ascending=[True, False])
     if not len(tree):
         return spark.createDataFrame([], f"sample string, {label} string, grp int, grp_size long, distance double")
     n, ls = tree["n"].to_numpy(), np.stack(tree["ls"].to_numpy())
     keys, owner, given = tree["key"].to_numpy(), np.full(len(n), -1), 0
     while True:
-        chosen = _chosen(points, label, keys, n, ls, _grouped(keys, n, ls, owner, size - given))
+        chosen = _chosen(points, label, by, keys, n, ls, _grouped(keys, n, ls, owner, size - given))
         if kind is None or given >= size - labels:
             return chosen
-        chosen = kept(chosen)
+        chosen = spark.createDataFrame(chosen.toArrow(), chosen.schema)  # at most ``size`` rows
         picks = points.join(chosen.select("sample").distinct(), "sample", "left_semi").select("vec").toArrow()
-        far = leaf_entries(_far(points, label, vectors(picks.column("vec")), kind), kind / 4, kind / 2, most, (label,)).select("key", "n", "ls").toPandas().sort_values(["n", "key"], ascending=[False, True])
+        far = _entries(_far(points, label, vectors(picks.column("vec")), kind), kind / 4, kind / 2, most, by).sort_values(["n", "key"], ascending=[False, True])
         taken: list[np.ndarray] = []
         for key, m, total in far.itertuples(index=False):
             at = np.asarray(total) / m
@@ -59,6 +62,10 @@ def varied_subset(points: DataFrame, size: int, label: str = "annotation", radiu
             return chosen
 
 
+def _entries(points: DataFrame, radius: float, reach: float, most: int, by: tuple[str, ...]) -> pd.DataFrame:
+    return leaf_entries(points, radius, reach, most, by).select(["key", "n", "ls"]).to_pandas()
+
+
 def _grouped(keys: np.ndarray, n: np.ndarray, ls: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     """The group of each entry: ``size`` groups by Ward linkage of those without an owner, and one for each owner."""
     free = owner < 0
@@ -83,7 +90,7 @@ def _far(points: DataFrame, label: str, picks: np.ndarray, distance: float) -> D
     return points.select(label, "vec").mapInArrow(run, f"{label} string, vec array<double>")
 
 
-def _chosen(points: DataFrame, label: str, keys: np.ndarray, n: np.ndarray, ls: np.ndarray, group: np.ndarray) -> DataFrame:
+def _chosen(points: DataFrame, label: str, by: tuple[str, ...], keys: np.ndarray, n: np.ndarray, ls: np.ndarray, group: np.ndarray) -> DataFrame:
     """The row nearest the centre of each group of entries; a row is in the group of the nearest entry of its label."""
     spark, centre = points.sparkSession, ls / n[:, None]
     k = group.max() + 1
@@ -98,7 +105,7 @@ def _chosen(points: DataFrame, label: str, keys: np.ndarray, n: np.ndarray, ls:
         keys, centre, group, middle = sent.value
         own = {key: np.flatnonzero(keys == key) for key in np.unique(keys)}
         for b in batches:
-            x, label_of = vectors(b.column("vec")), np.array([v or "" for v in b.column(label).to_pylist()], object)
+            x, label_of = vectors(b.column("vec")), np.array([v or "" if by else "" for v in b.column(label).to_pylist()], object)
             grp, dist = np.zeros(len(x), np.int32), np.zeros(len(x))
             for key in set(label_of):
                 rows = np.flatnonzero(label_of == key)
@@ -128,7 +135,7 @@ def sparse_points(points: DataFrame, distance: float, most: int, size: int = 200
     if not len(picks):
         return points.select("sample").limit(0)
     pivots = vectors(picks.column("vec"))
-    tree = leaf_entries(_far(points, label, pivots, 0.75 * distance), distance / 2, 0.75 * distance, 2 * MAX_ENTRIES).select("n", "ls").toArrow()
+    tree = leaf_entries(_far(points, label, pivots, 0.75 * distance), distance / 2, 0.75 * distance, 2 * MAX_ENTRIES)
     if len(tree):
         pivots = np.vstack([pivots, vectors(tree.column("ls")) / tree.column("n").to_numpy()[:, None]])
     return lonely(points, pivots, distance, most)

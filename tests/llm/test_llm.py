@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenact.llm import balls, bisection, bytebpe, mixture, packing, similar, splitting, topn, varied
+from lumenact.llm import balls, bisection, bytebpe, common, mixture, packing, similar, splitting, topn, varied
 from lumenact.llm.cftree import leaf_entries, ward
 from lumenact.llm.profiles import cells, profiles
 from lumenact.llm.queries import vocabulary_path
@@ -51,7 +51,7 @@ def test_profiles_and_labels(spark):
 
 def test_entries_add_up(spark):
     x = cloud(0)
-    tree = leaf_entries(points(spark, x), 0.5, 1.0, 20).toPandas()
+    tree = leaf_entries(points(spark, x), 0.5, 1.0, 20).to_pandas()
     assert len(tree) <= 20 and tree["n"].sum() == len(x)
     assert np.allclose(np.stack(tree["ls"]).sum(0), x.sum(0)) and np.isclose(tree["ss"].sum(), (x**2).sum())
 
@@ -92,6 +92,21 @@ def test_varied_subset_covers_labels_and_kinds(spark):
         varied.varied_subset(points(spark, x), 0)
 
 
+def test_more_labels_than_places(spark):
+    x = np.vstack([np.zeros((30, 3)), np.ones((30, 3)) * 50])
+    got = varied.varied_subset(points(spark, x, labels=[f"l{i}" for i in range(60)]), 4, radius=1.0, kind=5.0).collect()
+    assert len(got) == 2 and sum(g.grp_size for g in got) == 60
+
+
+def test_shared_folder_and_release(spark, tmp_path):
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    out = common.written(spark.range(5).toDF("x"))
+    path = out.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert out.count() == 5 and os.path.isdir(path)
+    common.release()
+    assert not os.path.isdir(path)
+
+
 def test_varied_subset_gives_every_kind_a_place(spark):
     r = np.random.default_rng(2)
     kinds = np.vstack([np.arange(6)[:, None] * np.full((1, 4), 3.0), r.normal(size=(15, 4)) * 1000])  # 6 near each other
