@@ -14,13 +14,14 @@ stamp with its arrow, or at the number before it. Pieces are written from the wo
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import Words, _let, _numbers, code_points, resolve, sure_starts, vocabulary
+from .bytebpe import Words, _gather, _let, _numbers, code_points, resolve, sure_starts, vocabulary
 from .common import written
 
 SECTION = 1 << 20
@@ -134,44 +135,48 @@ def _inner(limit: int) -> int:
     return limit // 8
 
 
-def _repeated(tokens: np.ndarray, kind: np.ndarray, cut: int, overlap: int, after: int) -> int:
-    """Where the piece after a ``cut`` begins: the first boundary of the best kind within ``overlap`` tokens before it."""
-    low = max(int(np.searchsorted(tokens, tokens[cut] - overlap, "left")), after)
-    near = kind[low:cut]
-    best = near.max() if len(near) else 0
-    return low + int(np.argmax(near == best)) if best >= WORD else cut
-
-
-def choose(at: np.ndarray, tokens: np.ndarray, kind: np.ndarray, limit: int, overlap: int, done: int = 0, end_kind: int = 0) -> list[tuple[int, int, int]]:
+def choose(tokens: np.ndarray, kind: np.ndarray, limit: int, overlap: int, done: int = 0, end_kind: int = 0) -> list[tuple[int, int, int]]:
     """``(first, last, kind of the cut)`` of the pieces of a text, as indices into its boundaries.
 
-    ``at[0]`` is the text's start and ``at[-1]`` its end; ``tokens`` counts the tokens before a boundary. A piece ends at
-    the last cue it can reach, else line end, else word end, else between tokens; the next begins at the first boundary of the
-    best kind within ``overlap`` tokens before that end. What comes before the boundary ``done`` may be repeated only.
+    The first boundary is the text's start and the last its end; ``tokens`` counts the tokens before a boundary. A piece ends
+    at the last cue it can reach, else line end, else word end, else between tokens; the next begins at the first boundary of
+    the best kind within ``overlap`` tokens before that end. What comes before the boundary ``done`` may be repeated only.
     """
-    n = len(at)
-    index = np.arange(n)
-    last = {k: np.maximum.accumulate(np.where(kind >= k, index, -1)) for k in (CUE, LINE, WORD, 0)}
-    out, first = [], _repeated(tokens, kind, done, overlap, 0) if done else 0
+    n = len(tokens)
+    places = [np.flatnonzero(kind >= k).tolist() for k in (CUE, LINE, WORD)]
+    tokens, kind = tokens.tolist(), kind.tolist()
+
+    def best(end: int) -> int:
+        for own in places:
+            i = bisect_right(own, end) - 1
+            if i >= 0 and own[i] > done:
+                return own[i]
+        return end if end > done else -1
+
+    def repeated(cut: int, after: int) -> int:
+        low = max(bisect_left(tokens, tokens[cut] - overlap, 0, cut), after)
+        near = kind[low:cut]
+        return low + near.index(most) if near and (most := max(near)) >= WORD else cut
+
+    out, first = [], repeated(done, 0) if done else 0
     while tokens[-1] - tokens[first] > limit:
-        end = int(np.searchsorted(tokens, tokens[first] + limit, "right")) - 1
-        cut = next((int(last[k][end]) for k in (CUE, LINE, WORD, 0) if last[k][end] > done), -1)
+        cut = best(bisect_right(tokens, tokens[first] + limit, first) - 1)
         if cut < 0:  # with the repeated part the next unit does not fit: begin without it
             first = done
             if tokens[-1] - tokens[first] <= limit:
                 break
-            end = int(np.searchsorted(tokens, tokens[first] + limit, "right")) - 1
-            cut = next((int(last[k][end]) for k in (CUE, LINE, WORD, 0) if last[k][end] > done), done + 1)
-        out.append((first, cut, int(kind[cut])))
-        first, done = _repeated(tokens, kind, cut, overlap, first + 1), cut
+            cut = best(bisect_right(tokens, tokens[first] + limit, first) - 1)
+            cut = cut if cut >= 0 else done + 1
+        out.append((first, cut, kind[cut]))
+        first, done = repeated(cut, first + 1), cut
     if done < n - 1:
         out.append((first, n - 1, end_kind))
     return out
 
 
-def _cues(kind: np.ndarray, role: np.ndarray, blank: np.ndarray) -> np.ndarray:
+def _cues(kind: np.ndarray, role: np.ndarray, blank: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The words that begin a cue: those that begin the line of a time stamp with an arrow, or the number line before it, or
-    the line of a pair of frames."""
+    the line of a pair of frames. ``text`` is the text of each word."""
     n, index = len(kind), np.arange(len(kind))
     begins = kind >= LINE
     line = np.maximum.accumulate(np.where(begins, index, 0))  # the first word of a word's line
@@ -183,49 +188,65 @@ def _cues(kind: np.ndarray, role: np.ndarray, blank: np.ndarray) -> np.ndarray:
     ok &= (role[arrow - 2] == _POINT) | (role[arrow - 2] == _COLON)
     start = start[ok]
     before = np.append(0, np.maximum.accumulate(np.where(~blank, index, 0))[:-1])[start]  # the last word that is not blank
-    numbered = (start > 0) & (start - before <= 3) & (role[before] == _NUMBER) & begins[before]
+    numbered = (start - before <= 3) & (role[before] == _NUMBER) & begins[before] & (text[before] == text[start]) & (before < start)
     braces = np.flatnonzero(role == _BRACES)
     braces = braces[braces >= 2] - 2
-    braces = braces[begins[braces] & (role[braces] == _BRACE) & (role[np.minimum(braces + 1, n - 1)] == _NUMBER)]
+    braces = braces[begins[braces] & (role[braces] == _BRACE) & (role[braces + 1] == _NUMBER) & (text[braces] == text[braces + 2])]
     return np.concatenate([np.where(numbered, before, start), braces])
 
 
-def _boundaries(numbers, facts, weights, wide, own: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, tokens before and kinds of the boundaries of one section, without its end; the place ``own`` is one."""
-    chars, head, tail, breaks = (facts[f][numbers] for f in ("chars", "head", "tail", "breaks"))
-    inner = _inner(limit)
-    begin = np.cumsum(chars) - chars
-    before = np.cumsum(weights) - weights
-    ended = np.append(0, tail[:-1])  # 2: the word before ends a line
-    kind = np.where((head > 0) | (ended > 0), WORD, 0)
-    kind[0] = LINE
-    line = (ended == 2) | ((ended == 3) & (head != 2))  # a return ends a line unless a line feed follows
-    kind[line] = LINE
-    # a blank line before a word: the break words just before hold two line ends
-    two = np.append(0, breaks[:-1]) + np.append([0, 0], np.where(breaks[1:-1] > 0, breaks[:-2], 0))[: len(numbers)]
-    pair = (tail[:-2] == 3) & (head[1:-1] == 2)  # a return and its line feed are one line end
-    two -= np.append([0, 0], np.where((breaks[1:-1] > 0) & pair, 1, 0))[: len(numbers)]
-    kind[line & (breaks == 0) & (two >= 2)] = CUE
-    kind[_cues(kind, facts["role"][numbers], facts["blank"][numbers] > 0)] = CUE
-    keep = kind > 0
-    keep[0] = True
-    keep[np.searchsorted(begin, own)] = True
-    kept = np.append(np.flatnonzero(keep), len(numbers))
-    upto = np.append(before, before[-1] + weights[-1])
-    for k in np.flatnonzero(np.diff(upto[kept]) > limit).tolist():  # no natural place within a piece's length: any word
-        keep[kept[k] : kept[k + 1]] = True
-    if not wide.any():
-        return begin[keep], before[keep], kind[keep]
-    extra_at, extra_before = [], []  # words without an inner boundary
-    for w in np.flatnonzero(wide).tolist():
-        steps = np.arange(inner, chars[w], inner)
-        extra_at.append(begin[w] + steps)
-        extra_before.append(before[w] + steps * 4)
-    at = np.concatenate([begin[keep], *extra_at])
-    tok = np.concatenate([before[keep], *extra_before])
-    kinds = np.concatenate([kind[keep], np.zeros(len(at) - int(keep.sum()), kind.dtype)])
-    order = np.argsort(at, kind="stable")
-    return at[order], tok[order], kinds[order]
+class _Boundaries:
+    """The boundaries of the texts of a block, whose words lie one after the other from ``offsets`` on: of all words at once,
+    as texts are many and short."""
+
+    def __init__(self, facts: dict[str, np.ndarray], numbers: np.ndarray, offsets: np.ndarray, weights: np.ndarray, before: np.ndarray, limit: int):
+        n, starts = len(numbers), offsets[:-1]
+        head, tail, breaks = facts["head"][numbers], facts["tail"][numbers], facts["breaks"][numbers]
+        self.limit, self.offsets = limit, offsets
+        self.chars, self.weights = facts["chars"][numbers], weights
+        self.begin, self.upto = (np.append(0, np.cumsum(x)) for x in (self.chars, weights))
+        first = np.zeros(n, bool)
+        first[starts] = True
+        ended = np.append(0, tail[:-1])  # 2: the word before ends a line
+        ended[first] = 0
+        kind = np.where((head > 0) | (ended > 0), WORD, 0).astype(np.int8)
+        line = (ended == 2) | ((ended == 3) & (head != 2))  # a return ends a line unless a line feed follows
+        kind[line | first] = LINE
+        # a blank line before a word: the break words just before hold two line ends
+        one = np.append(0, breaks[:-1])
+        one[first] = 0
+        other = np.append(0, one[:-1])
+        other[first | (one == 0)] = 0
+        pair = (np.append([0, 0], tail[:-2])[:n] == 3) & (np.append(0, head[:-1]) == 2) & (one > 0) & (other > 0)  # one line end
+        kind[line & (breaks == 0) & (one + other - pair >= 2)] = CUE
+        kind[_cues(kind, facts["role"][numbers], facts["blank"][numbers] > 0, np.cumsum(first))] = CUE
+        keep = (kind > 0) | first
+        for i in np.flatnonzero(before):  # a section begins at a boundary
+            keep[offsets[i] + np.searchsorted(self.begin[offsets[i] : offsets[i + 1]] - self.begin[offsets[i]], before[i])] = True
+        kept = np.append(np.flatnonzero(keep), n)
+        for k in np.flatnonzero(np.diff(self.upto[kept]) > limit).tolist():  # no natural place within a piece's length: any word
+            keep[kept[k] : kept[k + 1]] = True
+        self.kind, self.kept = kind, np.flatnonzero(keep)
+        self.cuts = np.searchsorted(self.kept, offsets)
+
+    def of(self, i: int, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in characters, tokens before and kinds of the boundaries of a text, its end included; ``wide`` marks the
+        words without an inner boundary, which are cut by characters."""
+        a, b = self.offsets[i], self.offsets[i + 1]
+        kept = self.kept[self.cuts[i] : self.cuts[i + 1]]
+        ends = np.append(kept, b)
+        at, tokens = self.begin[ends] - self.begin[a], self.upto[ends] - self.upto[a]
+        kind = np.append(self.kind[kept], LINE)
+        words = np.flatnonzero(wide[a:b]) + a
+        if not len(words):
+            return at, tokens, kind
+        inner = _inner(self.limit)
+        steps = [np.arange(inner, self.chars[w], inner) for w in words]
+        more = [self.begin[w] - self.begin[a] + s for w, s in zip(words, steps, strict=True)]
+        before = [self.upto[w] - self.upto[a] + s * 4 for w, s in zip(words, steps, strict=True)]
+        at, tokens, kind = np.concatenate([at, *more]), np.concatenate([tokens, *before]), np.append(kind, np.zeros(sum(map(len, steps)), kind.dtype))
+        order = np.argsort(at, kind="stable")
+        return at[order], tokens[order], kind[order]
 
 
 _PIECE = "doc_id long, section int, piece int, pieces int, start long, `end` long, n_tokens int, cut int, chars long, text string"
@@ -252,6 +273,42 @@ def _facts():
     )
 
 
+def _pieces(rows: pa.Table, parts: pa.StructArray, keys: list[str], limit: int, overlap: int) -> list[tuple]:
+    """The pieces of the texts of a block, from the numbers of their words and the facts of these."""
+    numeric = ("tokens", "chars", "head", "tail", "breaks", "blank", "role")
+    facts = {f: parts.field(f).to_numpy(zero_copy_only=False).astype(np.int32 if f in ("tokens", "chars") else np.int8) for f in numeric}
+    numbers, offsets = _numbers(rows.column("idx"))
+    columns = [rows.column(k).to_numpy() for k in keys]
+    # texts of more tokens than the limit, and sections of long texts; tokens of cut words count by their bytes
+    sums = np.append(0, np.cumsum(facts["tokens"][numbers], dtype=np.int64))
+    wanted = (sums[offsets[1:]] - sums[offsets[:-1]] > limit) | ((columns[1] > 0) | (columns[3] > 0) | (columns[4] > 0)) & (np.diff(offsets) > 0)
+    if not wanted.any():
+        return []
+    lens = np.diff(offsets)[wanted]
+    numbers = _gather(numbers, offsets[:-1][wanted], lens)
+    offsets = np.append(0, np.cumsum(lens))
+    doc, section, before, end_kind, inside = (c[wanted] for c in columns)
+    wide = (facts["tokens"] > limit)[numbers]
+    wide[offsets[:-1][inside & 1 > 0]] = True
+    wide[offsets[1:][inside & 2 > 0] - 1] = True
+    by_chars = -(-facts["chars"].astype(np.int64) // _inner(limit)) * _inner(limit) * 4
+    found = _Boundaries(facts, numbers, offsets, np.where(wide, by_chars[numbers], facts["tokens"][numbers]), before, limit)
+    words = parts.field("word").cast(pa.large_string()).take(pa.array(numbers))
+    place = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+    data = words.buffers()[2]
+    out: list[tuple] = []
+    for i in range(len(doc)):
+        at, tokens, kind = found.of(i, wide)
+        skipped = int(before[i])
+        made = choose(tokens, kind, limit, overlap, int(np.searchsorted(at, skipped)) if skipped else 0, int(end_kind[i]))
+        text = str(data[place[offsets[i]] : place[offsets[i + 1]]], "utf-8")
+        own = len(text) - skipped
+        at, tokens = at.tolist(), tokens.tolist()
+        for p, (a, b, cut) in enumerate(made):
+            out.append((doc[i], section[i], p, len(made), at[a] - skipped, at[b] - skipped, tokens[b] - tokens[a], cut, own, text[at[a] : at[b]]))
+    return out
+
+
 def split(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64) -> DataFrame:
     """``doc_id, piece, pieces, start, end, n_tokens, cut, text``: the pieces of every text of more than ``limit`` tokens.
 
@@ -269,33 +326,9 @@ def split(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64) -> D
     halo = limit * max(len(t) for t in vocabulary(path))
     keys = ["doc_id", "section", "before", "end_kind", "inside"]
     index = Words(sections(docs, limit, max(SECTION, 2 * halo), halo), keys)
-    numeric = ("tokens", "chars", "head", "tail", "breaks", "blank", "role")
 
     def pieces(rows, parts):
-        facts = {f: parts.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in numeric}
-        words = parts.field("word").cast(pa.large_string())
-        wide_words = facts["tokens"] > limit
-        by_chars = -(-facts["chars"] // _inner(limit)) * _inner(limit) * 4
-        numbers, offsets = _numbers(rows.column("idx"))
-        out: list[tuple] = []
-        for i, (doc, section, before, end_kind, inside) in enumerate(zip(*[rows.column(k).to_pylist() for k in keys], strict=True)):
-            own = numbers[offsets[i] : offsets[i + 1]]
-            if not len(own):
-                continue
-            wide = wide_words[own]
-            wide[[0] * (inside & 1) + [-1] * (inside >> 1)] = True  # parts of a cut word count by their bytes
-            weights = np.where(wide, by_chars[own], facts["tokens"][own])
-            if not (section or end_kind or inside) and weights.sum() <= limit:
-                continue
-            at, tok, kind = _boundaries(own, facts, weights, wide, before, limit)
-            size = int(facts["chars"][own].sum())
-            at, tok, kind = np.append(at, size), np.append(tok, weights.sum()), np.append(kind, LINE)
-            made = choose(at, tok, kind, limit, overlap, int(np.searchsorted(at, before)), end_kind)
-            text = "".join(words.take(pa.array(own)).to_pylist())
-            for p, (a, b, cut) in enumerate(made):
-                start, end = int(at[a]), int(at[b])
-                out.append((doc, section, p, len(made), start - before, end - before, int(tok[b] - tok[a]), cut, size - before, text[start:end]))
-        return _table(out)
+        return _table(_pieces(rows, parts, keys, limit, overlap))
 
     columns = ["doc_id", "piece", "pieces", "start", "end", "n_tokens", "cut", "text"]
     short = resolve(index, False, path, _facts(), pieces, _PIECE).select(*columns)

@@ -30,7 +30,7 @@ def test_pieces_cover_a_text_in_order(units, overlap):
     limit = 32
     tokens = np.append(0, np.cumsum([t for t, _ in units]))
     kind = np.append([k for _, k in units], 2)
-    pieces = choose(np.arange(len(tokens)), tokens, kind, limit, overlap)
+    pieces = choose(tokens, kind, limit, overlap)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(tokens) - 1
     for (a, b, _), (c, d, _) in zip(pieces, pieces[1:], strict=False):
         assert a < c <= b < d
