@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("beta", "se", "zscore", "pvalue")
@@ -38,8 +38,33 @@ def transpose(wide: DataFrame, row: str, column: str = "name", value: str = "val
 
 
 def wide(results: DataFrame, metric: str, samples: list[str] | None = None) -> DataFrame:
-    """Features by samples of one metric."""
-    return results.groupBy("feature").pivot("sample", samples).agg(F.first(metric))
+    """Features, in order, by samples of one metric; samples in order whatever their case unless given."""
+    if samples is None:
+        samples = [r["sample"] for r in results.select("sample").distinct().orderBy(F.lower("sample"), "sample").collect()]
+    return results.groupBy("feature").pivot("sample", samples).agg(F.first(metric)).orderBy("feature")
+
+
+def by_sample(results: DataFrame, metric: str) -> DataFrame:
+    """Samples by features, in order, of one metric: for many samples, as only the features become columns."""
+    features = [r["feature"] for r in results.select("feature").distinct().orderBy("feature").collect()]
+    return results.groupBy("sample").pivot("feature", features).agg(F.first(metric))
+
+
+def positional(a: DataFrame, b: DataFrame, metric: str = "zscore", tolerance: float = 1e-10) -> DataFrame:
+    """``compare`` with the samples of both tables paired by their place instead of their name: ``pos`` where there is one, else
+    the order of the names. Features go by name. Raises if the tables differ in shape.
+    """
+
+    def placed(t: DataFrame) -> DataFrame:
+        order = [F.col("pos"), F.col("sample")] if "pos" in t.columns else [F.col("sample")]
+        names = t.groupBy("sample").agg(*([F.min("pos").alias("pos")] if "pos" in t.columns else [F.count("*").alias("_c")]))
+        place = names.withColumn("_i", F.row_number().over(Window.orderBy(*order))).select("sample", "_i")  # one row a sample
+        return t.join(place, "sample").select("feature", F.col("_i").cast("string").alias("sample"), metric)
+
+    shape = lambda t: tuple(t.agg(F.countDistinct("feature"), F.countDistinct("sample")).first())
+    if (x := shape(a)) != (y := shape(b)):
+        raise ValueError(f"the tables have {x[0]} x {x[1]} and {y[0]} x {y[1]} values")
+    return compare(placed(a), placed(b), metric, tolerance)
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -51,10 +76,15 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def attach(obs: DataFrame, results: DataFrame, metric: str = "zscore") -> DataFrame:
-    """``obs`` with a map from feature to the metric; samples without results have null. Duplicates of ``obs`` stay."""
-    m = results.groupBy("sample").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", F.col(metric).alias("v"))))).alias(f"activity_{metric}"))
-    return obs.join(m, "sample", "left")
+def attach(obs: DataFrame, results: DataFrame, metric: str | tuple[str, ...] = METRICS, strict: bool = False) -> DataFrame:
+    """``obs`` with a map from feature to each metric (``activity_<metric>``); samples without results have null. Duplicates of
+    ``obs`` stay. ``strict`` raises when samples of one side are missing on the other."""
+    if strict:
+        for x, y, side in ((obs, results, "results"), (results, obs, "obs")):
+            if lost := missing(x, y, "sample").count():
+                raise ValueError(f"{lost} samples are not in the {side}")
+    maps = [F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", F.col(m).alias("v"))))).alias(f"activity_{m}") for m in ([metric] if isinstance(metric, str) else metric)]
+    return obs.join(results.groupBy("sample").agg(*maps), "sample", "left")
 
 
 def significant(results: DataFrame, p: float | None = None, z: float | None = None) -> DataFrame:

@@ -84,10 +84,33 @@ def expand_features(rows: DataFrame) -> DataFrame:
 
 
 def correlation_pairs(sig: DataFrame) -> DataFrame:
-    """``feature_a, feature_b, r``: Pearson's correlation of each pair of features over the genes both have."""
-    a = sig.select("gene", F.col("feature").alias("feature_a"), sane("weight").alias("wa"))
-    b = sig.select("gene", F.col("feature").alias("feature_b"), sane("weight").alias("wb"))
-    return a.join(b, "gene").where("feature_a < feature_b").groupBy("feature_a", "feature_b").agg(F.corr("wa", "wb").alias("r"))
+    """``feature_a, feature_b, r``: Pearson's correlation of each pair of features over the genes both have.
+
+    Sums over common genes are products of the signature's matrix, which fits the driver, and of the mask of its rows; null
+    where a feature has no spread over them, and no row for features without a common gene.
+    """
+    rows = sig.where("gene is not null and feature is not null").groupBy("gene", "feature").agg(F.max(sane("weight")).alias("w")).toArrow()
+    kind = "feature_a string, feature_b string, r double"
+    if not len(rows):
+        return sig.sparkSession.createDataFrame([], kind)
+    named, gene = (rows.column(c).combine_chunks().dictionary_encode() for c in ("feature", "gene"))
+    order = np.argsort(np.array(named.dictionary.to_pylist(), object), kind="stable")
+    place = np.empty(len(order), int)
+    place[order] = np.arange(len(order))
+    features = np.array(named.dictionary.to_pylist(), object)[order]
+    x, has = np.zeros((len(gene.dictionary), len(features))), np.zeros((len(gene.dictionary), len(features)))
+    at = gene.indices.to_numpy(), place[named.indices.to_numpy()]
+    x[at], has[at] = rows.column("w").to_numpy(), 1.0
+    x -= x.sum(0) / np.maximum(has.sum(0), 1) * has  # near 0, so that the sums of squares cancel little
+    n, sum_a, square_a, both = has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x
+    top = n * both - sum_a * sum_a.T
+    a, b = n * square_a - sum_a**2, (n * square_a - sum_a**2).T
+    low = np.sqrt(np.maximum(a, 0) * np.maximum(b, 0))
+    ok = low > 1e-12 * n * np.sqrt(np.maximum(square_a * square_a.T, 1e-300))
+    r = np.divide(top, low, out=np.full_like(top, np.nan), where=ok)
+    i, j = np.nonzero(np.triu(n, 1))
+    value = pa.array(np.clip(r[i, j], -1, 1), from_pandas=True)
+    return sig.sparkSession.createDataFrame(pa.table([pa.array(features[i], pa.string()), pa.array(features[j], pa.string()), value], names=["feature_a", "feature_b", "r"]), kind)
 
 
 def mean_signatures(sig: DataFrame, groups: DataFrame) -> DataFrame:

@@ -58,6 +58,18 @@ def deduplicate_genes(counts: DataFrame, var: DataFrame, by: str = "mean") -> Da
     return counts.join(kept, "pos").select("gene", "sample", "value")
 
 
+def symbol_counts(counts: DataFrame) -> DataFrame:
+    """``gene, sample, value[, pos]`` under standard symbols; of the genes of one symbol the one with the highest total stays,
+    ties to the first ``pos``, or, without one, to the smaller name.
+
+    Genes are told apart by their name and, where there is one, their ``pos``. The choice is one row a gene, a genome at most.
+    """
+    own = ["gene", *(["pos"] if "pos" in counts.columns else [])]
+    total = counts.where("gene is not null").groupBy(*own).agg(F.sum(sane()).alias("_total")).withColumn("_symbol", standard_symbol("gene"))
+    kept = keep_first(total, "_symbol", [F.col("_total").desc(), *[F.col(c) for c in reversed(own)]]).select(*own, "_symbol")
+    return counts.join(kept, own).select(F.col("_symbol").alias("gene"), "sample", "value", *own[1:])
+
+
 def drop_zero_genes(expr: DataFrame) -> DataFrame:
     kept = expr.groupBy("gene").agg(F.sum(sane()).alias("_s")).where("_s > 0").select("gene")
     return expr.join(kept, "gene", "left_semi")
@@ -101,6 +113,19 @@ def gene_means(expr: DataFrame, n_samples: int | Column) -> DataFrame:
     return expr.groupBy("gene").agg((F.sum(sane()) / n).alias("row_mean"))
 
 
+def centred_grid(expr: DataFrame) -> DataFrame:
+    """A row for every gene of every sample, minus the gene's mean over all samples: ``centre_rows`` of ``densify``.
+
+    The means come from the rows that exist and travel with the genes, so the grid is made once and joined once.
+    """
+    n = expr.agg(F.count_distinct("sample").alias("_n"))
+    every = expr.groupBy("gene").agg(F.sum(sane()).alias("s")).agg(F.collect_list(F.struct("gene", "s")).alias("_genes"))
+    grid = expr.select("sample").distinct().join(F.broadcast(every.join(n))).select("sample", "_n", F.explode("_genes").alias("g"))
+    values = expr.select(*KEYS, sane().alias("_v"))
+    mean = F.when(F.col("_n") > 1, F.col("_s") / F.col("_n")).otherwise(0.0)
+    return grid.select("sample", "_n", "g.gene", F.col("g.s").alias("_s")).join(values, KEYS, "left").select(*KEYS, (F.coalesce("_v", F.lit(0.0)) - mean).alias("value"))
+
+
 def centre_rows(dense: DataFrame) -> DataFrame:
     """Every gene minus its mean over samples (of a dense table). A single sample is left as it is.
 
@@ -181,27 +206,31 @@ def pseudobulk_mean(expr: DataFrame, obs: DataFrame) -> DataFrame:
     return total.join(size, "cell_type").select("gene", F.col("cell_type").alias("sample"), (F.col("_s") / F.col("_n")).alias("value"))
 
 
-def column_stats(expr: DataFrame, n_genes: int, eps: float = 1e-12) -> DataFrame:
-    """``sample, mu, sigma`` over all genes from the rows that exist; sigma below ``eps`` is 1."""
-    g = float(n_genes)
-    agg = expr.groupBy("sample").agg(F.sum(sane()).alias("s1"), F.sum(sane() * sane()).alias("s2"))
+def column_stats(expr: DataFrame, n_genes: int | None = None, eps: float = 1e-12) -> DataFrame:
+    """``sample, mu, sigma`` over all genes (those that have rows unless their number is given) from the rows that exist;
+    sigma below ``eps`` is 1."""
+    total = expr.agg((F.lit(n_genes) if n_genes else F.count_distinct("gene")).cast("double").alias("_g"))
+    g = F.col("_g")
+    agg = expr.groupBy("sample").agg(F.sum(sane()).alias("s1"), F.sum(sane() * sane()).alias("s2")).join(F.broadcast(total))
     mu = F.col("s1") / g
     sigma = F.sqrt(F.greatest((F.col("s2") - g * mu * mu) / (g - 1), F.lit(0.0)))
     return agg.select("sample", mu.alias("mu"), F.when(sigma < eps, 1.0).otherwise(sigma).alias("sigma"))
 
 
-def population_stats(expr: DataFrame, n_genes: int, n_samples: int, eps: float = 1e-12) -> DataFrame:
-    """``sample, mu, sigma`` of row-centred columns, without centring any row.
+def population_stats(expr: DataFrame, n_genes: int | None = None, n_samples: int | None = None, eps: float = 1e-12) -> DataFrame:
+    """``sample, mu, sigma`` of row-centred columns, without centring any row; the numbers of genes and samples are those
+    that have rows unless given.
 
     With row means r: mu' = mu - mean(r), var' = (sum y^2 - 2 sum y r + sum r^2 - n mu'^2) / (n - 1).
     """
-    g = float(n_genes)
-    r = gene_means(expr, n_samples)
-    totals = r.agg((F.sum("row_mean") / g).alias("_grand"), F.sum(F.col("row_mean") * F.col("row_mean")).alias("_r2"))
-    agg = expr.join(r, "gene").groupBy("sample").agg(F.sum(sane()).alias("s1"), F.sum(sane() * sane()).alias("s2"), F.sum(sane() * F.col("row_mean")).alias("sr"))
-    both = agg.join(F.broadcast(totals))
-    mu = F.col("s1") / g - F.col("_grand")
-    var = F.greatest((F.col("s2") - 2 * F.col("sr") + F.col("_r2") - g * mu * mu) / (g - 1), F.lit(0.0))
+    sums = expr.groupBy("gene").agg(F.sum(sane()).alias("_s"))
+    totals = sums.agg((F.lit(n_genes) if n_genes else F.count("*")).cast("double").alias("_g"), F.sum("_s").alias("_t"), F.sum(F.col("_s") * F.col("_s")).alias("_t2"))
+    n = expr.agg((F.lit(n_samples) if n_samples else F.count_distinct("sample")).cast("double").alias("_n"))
+    agg = expr.join(sums, "gene").groupBy("sample").agg(F.sum(sane()).alias("s1"), F.sum(sane() * sane()).alias("s2"), F.sum(sane() * F.col("_s")).alias("st"))
+    both = agg.join(F.broadcast(totals.join(n)))
+    g, n = F.col("_g"), F.col("_n")
+    mu = F.col("s1") / g - F.col("_t") / n / g
+    var = F.greatest((F.col("s2") - 2 * F.col("st") / n + F.col("_t2") / n / n - g * mu * mu) / (g - 1), F.lit(0.0))
     sigma = F.sqrt(var)
     return both.select("sample", mu.alias("mu"), F.when(sigma < eps, 1.0).otherwise(sigma).alias("sigma"))
 

@@ -36,11 +36,7 @@ class Kernel:
 
     def block(self, part: pa.RecordBatch) -> np.ndarray:
         """Genes by samples of some rows ``idx, val``."""
-        idx, val = part.column("idx"), part.column("val")
-        rows, column = idx.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(idx.offsets.to_numpy()))
-        y = np.zeros((self.t.shape[1], part.num_rows))
-        y[rows if self.places is None else self.places[rows], column] = val.flatten().to_numpy(zero_copy_only=False)
-        return y
+        return dense_block(part, self.t.shape[1], self.places)[0]
 
     def normalised(self, y: np.ndarray) -> np.ndarray:
         """The block with row means taken off and columns normalised."""
@@ -99,6 +95,19 @@ class Kernel:
         return beta, se, z, (beyond + 1) / (n_rand + 1)
 
 
+def dense_block(part: pa.RecordBatch, n_genes: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Genes by samples of some rows ``idx, val``, and which of them have a row. Of repeated rows of a gene and a sample the
+    largest value counts, in whatever order they come."""
+    idx, val = part.column("idx"), part.column("val").flatten().to_numpy(zero_copy_only=False)
+    rows, column = idx.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(idx.offsets.to_numpy()))
+    rows = rows if places is None else places[rows]
+    y, seen = np.zeros((n_genes, part.num_rows)), np.zeros((n_genes, part.num_rows), bool)
+    y[rows, column], seen[rows, column] = val, True
+    again = np.flatnonzero(y[rows, column] != val)
+    np.maximum.at(y, (rows[again], column[again]), val[again])
+    return y, seen
+
+
 def sample_rows(expr: DataFrame, genes: DataFrame) -> DataFrame:
     """``sample, idx, val``: the values of each sample by the number of their genes in ``genes(gene, idx)``; samples
     without any of the genes have empty lists.
@@ -117,9 +126,10 @@ def gene_sums(samples: DataFrame, n_genes: int) -> tuple[np.ndarray, np.ndarray,
     def run(batches):
         rows, total, n = np.zeros(n_genes), np.zeros(n_genes), 0
         for b in batches:
-            idx, val = b.column("idx").flatten().to_numpy(), b.column("val").flatten().to_numpy(zero_copy_only=False)
-            rows += np.bincount(idx, minlength=n_genes)
-            total += np.bincount(idx, val, minlength=n_genes)
+            for at in range(0, b.num_rows, 256):
+                y, seen = dense_block(b.slice(at, 256), n_genes)
+                rows += seen.sum(1)
+                total += y.sum(1)
             n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_genes, dtype=np.int32)), pa.array(np.append(n, rows)), pa.array(np.append(0.0, total))], ["idx", "n", "s"])
 
@@ -129,20 +139,23 @@ def gene_sums(samples: DataFrame, n_genes: int) -> tuple[np.ndarray, np.ndarray,
     return rows[1:], total[1:], int(rows[0])
 
 
+def _long(features: list[str], samples: pa.Array, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Matrices of features by samples as rows ``feature, sample, ...``."""
+    names = pa.array(np.tile(np.array(features, object), len(samples)), pa.string())
+    columns = [names, samples.take(pa.array(np.repeat(np.arange(len(samples)), len(features))))]
+    return pa.RecordBatch.from_arrays([*columns, *[pa.array(x.T.ravel()) for x in values.values()]], ["feature", "sample", *values])
+
+
 def run_kernel(samples: DataFrame, kernel: Kernel, features: list[str], batch_size: int = 512) -> DataFrame:
     """``feature, sample, beta, se, zscore, pvalue`` for ``samples(sample, idx, val)``."""
     sent = samples.sparkSession.sparkContext.broadcast((kernel, features))
 
     def run(batches):
         kernel, features = sent.value
-        p, names = len(features), np.array(features, object)
         for b in batches:
             for at in range(0, b.num_rows, batch_size):
                 part = b.slice(at, batch_size)
-                four = kernel(kernel.block(part))
-                columns = [pa.array(np.tile(names, part.num_rows), pa.string()), part.column("sample").take(pa.array(np.repeat(np.arange(part.num_rows), p)))]
-                columns += [pa.array(x.T.ravel()) for x in four]
-                yield pa.RecordBatch.from_arrays(columns, ["feature", "sample", "beta", "se", "zscore", "pvalue"])
+                yield _long(features, part.column("sample"), dict(zip(("beta", "se", "zscore", "pvalue"), kernel(kernel.block(part)), strict=True)))
 
     return samples.mapInArrow(run, RESULT)
 
@@ -160,20 +173,18 @@ def run_by_permutations(samples: DataFrame, kernel: Kernel, features: list[str],
         cuts = np.linspace(0, n_rand, parts + 1).astype(int)
         for b in batches:
             part = b.column("part").to_numpy()
-            for k in range(b.num_rows):
-                y = kernel.block(b.slice(k, 1))
-                own = Kernel(kernel.t, kernel.perms[cuts[part[k]] : cuts[part[k] + 1]], kernel.row_means, kernel.centre, kernel.scale)
+            for k in np.unique(part):
+                mine = b.take(pa.array(np.flatnonzero(part == k)))
+                own = Kernel(kernel.t, kernel.perms[cuts[k] : cuts[k + 1]], kernel.row_means, kernel.centre, kernel.scale)
                 n = len(own.perms)
-                beta, se, z, p = (x[:, 0] for x in own(y))
-                # the sums again from the statistics of this range
-                mean = beta - z * se if n else np.zeros_like(beta)
-                s1, s2 = mean * n, (se**2 + mean**2) * n
-                beyond = p * (n + 1) - 1 if n else np.zeros_like(beta)
-                f = len(features)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(features, pa.string()), pa.array([b.column("sample")[k].as_py()] * f, pa.string()), pa.array(beta), *[pa.array(np.nan_to_num(x)) for x in (s1, s2, np.round(beyond))]],
-                    ["feature", "sample", "beta", "s1", "s2", "beyond"],
-                )
+                for at in range(0, mine.num_rows, WIDTH):
+                    some = mine.slice(at, WIDTH)
+                    beta, se, z, p = own(kernel.block(some))
+                    # the sums again from the statistics of this range
+                    mean = beta - z * se if n else np.zeros_like(beta)
+                    s1, s2 = mean * n, (se**2 + mean**2) * n
+                    beyond = p * (n + 1) - 1 if n else np.zeros_like(beta)
+                    yield _long(features, some.column("sample"), {"beta": beta, "s1": np.nan_to_num(s1), "s2": np.nan_to_num(s2), "beyond": np.nan_to_num(np.round(beyond))})
 
     sums = spread.mapInArrow(run, "feature string, sample string, beta double, s1 double, s2 double, beyond double")
     sums = sums.groupBy("feature", "sample").agg(F.max("beta").alias("beta"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("beyond").alias("beyond"))
@@ -194,28 +205,27 @@ def ttest(samples: DataFrame, x: np.ndarray, features: list[str], lam: float, ke
     def run(batches):
         kernel, x, inv, features = sent.value
         for b in batches:
-            for k in range(b.num_rows):
-                y = kernel.normalised(kernel.block(b.slice(k, 1)))
-                beta = (kernel.t @ y)[:, 0]
-                s2 = float(((y[:, 0] - x @ beta) ** 2).sum()) / df
-                se = np.sqrt(np.maximum(inv * s2, 0))
+            for at in range(0, b.num_rows, WIDTH):
+                some = b.slice(at, WIDTH)
+                y = kernel.normalised(kernel.block(some))
+                beta = kernel.t @ y
+                s2 = ((y - x @ beta) ** 2).sum(0) / df
+                se = np.sqrt(np.maximum(inv[:, None] * s2, 0))
                 t = np.divide(beta, se, out=np.zeros_like(beta), where=se > EPS)
-                f = len(features)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(features, pa.string()), pa.array([b.column("sample")[k].as_py()] * f, pa.string()), pa.array(beta), pa.array(se), pa.array(t), pa.array(t_two_sided(t, df))],
-                    ["feature", "sample", "beta", "se", "zscore", "pvalue"],
-                )
+                yield _long(features, some.column("sample"), {"beta": beta, "se": se, "zscore": t, "pvalue": t_two_sided(t, df)})
 
     return samples.mapInArrow(run, RESULT)
 
 
 def estimate_memory(n_genes: int, n_features: int, n_samples: int, n_rand: int = 1000, batch: int | None = None) -> dict[str, float]:
-    """Gigabytes of the projection, the permutations, a block and its results."""
+    """Gigabytes of the projection, the permutations, a block and its results; ``working_gb`` is a block's sums beside
+    them, ``per_batch_gb`` what a block needs in all."""
     width = batch or n_samples
     gb = 1024.0**3
     parts = {"projection_gb": 8.0 * n_features * n_genes, "permutations_gb": 4.0 * n_rand * n_genes, "block_gb": 8.0 * n_genes * width, "results_gb": 32.0 * n_features * width}
     out = {k: v / gb for k, v in parts.items()}
-    return out | {"total_gb": sum(out.values())}
+    working = 32.0 * n_features * width / gb
+    return out | {"total_gb": sum(out.values()), "working_gb": working, "per_batch_gb": out["block_gb"] + out["results_gb"] + working}
 
 
 def estimate_batch_size(n_genes: int, n_features: int, available_gb: float, n_rand: int = 1000) -> int:

@@ -37,13 +37,9 @@ def sparse_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("gene"), sample_name("l_suppkey").alias("sample")).agg(F.sum("l_quantity").alias("value"))
 
 
-def signature(spark: SparkSession, sf_dir: str, features: int = 2, whole: bool = False) -> DataFrame:
-    """``gene, feature, weight`` from the first ``features`` components of the embeddings.
-
-    Only of the genes that the expression can have, as in ``SQL``; ``whole``: of all rows."""
+def signature(spark: SparkSession, sf_dir: str, features: int = 2) -> DataFrame:
+    """``gene, feature, weight`` from the first ``features`` components of all embeddings."""
     rows = table(spark, sf_dir, "embeddings")
-    if not whole:
-        rows = rows.where(F.col("vec_id") < N_GENES)
     number = F.col("vec_id").cast("string")
     gene = F.concat(F.lit("G"), F.lpad(number, 3, "0"), F.substring(number, 4, 20))  # lpad cuts longer numbers
     long = rows.select(gene.alias("gene"), F.posexplode(F.slice("embedding", 1, features)).alias("pos", "w"))
@@ -88,8 +84,8 @@ SQL = {
   sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2)""",
     "sexpr": """sexpr AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS gene, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS sample,
   sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)""",
-    "sig": """sig AS (SELECT 'G' || lpad(CAST(vec_id AS VARCHAR), 3, '0') AS gene, 'F' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, CAST(embedding[i] AS DOUBLE) AS weight
-  FROM embeddings, (VALUES (1), (2)) t(i) WHERE vec_id < 200)""",
+    "sig": """sig AS (SELECT 'G' || CASE WHEN vec_id < 1000 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END AS gene,
+  'F' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS feature, CAST(embedding[i] AS DOUBLE) AS weight FROM embeddings, (VALUES (1), (2)) t(i))""",
     "labels": """labels AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS sample, r_name AS cell_type
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "symbols": """symbols AS (SELECT CAST(p_partkey AS INTEGER) AS pos, p_name || '.' || CAST(p_partkey % 3 AS VARCHAR) AS gene_raw FROM part)""",

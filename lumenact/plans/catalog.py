@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import compare, linalg, prep, ridge, rng, spatial, stats
 from . import adapter, frames, pipelines
 from .adapter import sql
+from .tables_sql import TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,7 +64,7 @@ def cpm_log2(spark, d):
 
 @query(sql("expr", "dense", "cpm", "diff") + "SELECT gene, sample, round(value, 6) + 0.0 AS value FROM diff")
 def row_center(spark, d):
-    return rounded(prep.centre_rows(logged(spark, d)), "value")
+    return rounded(prep.centred_grid(logged_rows(spark, d)), "value")
 
 
 _Z = """, z AS (SELECT gene, sample, (value - avg(value) OVER (PARTITION BY sample)) / stddev_samp(value) OVER (PARTITION BY sample) AS value FROM diff)"""
@@ -71,12 +72,12 @@ _Z = """, z AS (SELECT gene, sample, (value - avg(value) OVER (PARTITION BY samp
 
 @query(sql("expr", "dense", "cpm", "diff") + _Z + " SELECT gene, sample, round(value, 6) + 0.0 AS value FROM z")
 def zscore_cols(spark, d):
-    return rounded(prep.zscore_columns(prep.centre_rows(logged(spark, d))), "value")
+    return rounded(prep.zscore_columns(prep.centred_grid(logged_rows(spark, d))), "value")
 
 
 @query(sql("expr", "dense", "cpm", "diff") + "SELECT gene, sample, round((value - avg(value) OVER (PARTITION BY sample)) / (stddev_samp(value) OVER (PARTITION BY sample) + 1e-12), 6) + 0.0 AS value FROM diff")
 def scale_columns_eps(spark, d):
-    return rounded(prep.zscore_columns(prep.centre_rows(logged(spark, d)), eps=1e-12), "value")
+    return rounded(prep.zscore_columns(prep.centred_grid(logged_rows(spark, d)), eps=1e-12), "value")
 
 
 @query(sql("expr", "dense", "cpm") + "SELECT gene, sample, round(value - avg(value) OVER (PARTITION BY sample), 6) + 0.0 AS value FROM cpm")
@@ -129,9 +130,31 @@ def normalized_check(spark, d):
 # --- joins, differences, pseudo-bulk ----------------------------------------------------------------------------------
 
 
-@query(sql("expr", "sig") + "SELECT gene, CAST(row_number() OVER (ORDER BY gene) - 1 AS INTEGER) AS gene_idx FROM (SELECT DISTINCT gene FROM sig WHERE gene IN (SELECT gene FROM expr))")
+_COMMON = "(SELECT DISTINCT gene FROM sig WHERE gene IN (SELECT gene FROM expr))"
+_PLACE = "CAST(substr(gene, 2) AS INTEGER) * 37 % 211"
+
+
+def _placed(rows):
+    """Rows with a place of their gene in its table, in an order of its own."""
+    return rows.withColumn("pos", F.substring("gene", 2, 20).cast("int") * 37 % 211)
+
+
+@query(sql("expr", "sig") + f"SELECT gene, CAST(row_number() OVER (ORDER BY gene) - 1 AS INTEGER) AS gene_idx FROM {_COMMON}")
+def gene_join_sorted(spark, d):
+    return _numbered(spark, pipelines.common_genes(adapter.expression(spark, d), adapter.signature(spark, d)))
+
+
+@query(sql("expr", "sig") + f"SELECT gene, CAST(row_number() OVER (ORDER BY {_PLACE}, gene) - 1 AS INTEGER) AS gene_idx FROM {_COMMON}")
 def gene_join_sigorder(spark, d):
-    genes = pipelines.common_genes(adapter.expression(spark, d), adapter.signature(spark, d))
+    return _numbered(spark, pipelines.common_genes(adapter.expression(spark, d), _placed(adapter.signature(spark, d)), "signature"))
+
+
+@query(sql("expr", "sig") + f"SELECT gene, CAST(row_number() OVER (ORDER BY {_PLACE}, gene) - 1 AS INTEGER) AS gene_idx FROM {_COMMON}")
+def gene_join_exprorder(spark, d):
+    return _numbered(spark, pipelines.common_genes(_placed(adapter.expression(spark, d)), adapter.signature(spark, d), "expression"))
+
+
+def _numbered(spark, genes):
     return spark.createDataFrame(list(enumerate(genes)), "gene_idx int, gene string")
 
 
@@ -173,8 +196,8 @@ def _self_named(spark, d):
 
 @query(
     sql("expr")
-    + """SELECT 'G' || lpad(CAST(vec_id AS VARCHAR), 3, '0') AS gene, 'G' || lpad(CAST((i - 1) * 50 AS VARCHAR), 3, '0') AS feature, CAST(embedding[i] AS DOUBLE) AS weight
-FROM embeddings, (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) t(i) WHERE vec_id < 200 AND 'G' || lpad(CAST((i - 1) * 50 AS VARCHAR), 3, '0') IN (SELECT gene FROM expr)"""
+    + """SELECT 'G' || CASE WHEN vec_id < 1000 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END AS gene, 'G' || lpad(CAST((i - 1) * 50 AS VARCHAR), 3, '0') AS feature, CAST(embedding[i] AS DOUBLE) AS weight
+FROM embeddings, (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) t(i) WHERE 'G' || lpad(CAST((i - 1) * 50 AS VARCHAR), 3, '0') IN (SELECT gene FROM expr)"""
 )
 def sig_filter_semi(spark, d):
     return prep.measured_features(_self_named(spark, d), adapter.expression(spark, d)).select("gene", "feature", "weight")
@@ -194,8 +217,7 @@ def genes_without_signature(spark, d):
 @query(sql("labels") + "SELECT cell_type FROM labels JOIN (SELECT DISTINCT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS sample FROM lineitem WHERE l_returnflag = 'R') USING (sample) INTERSECT SELECT cell_type FROM labels JOIN (SELECT DISTINCT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS sample FROM lineitem WHERE l_returnflag = 'N') USING (sample)")
 def shared_cell_types(spark, d):
     labels = adapter.labels(spark, d)
-    sides = [labels.join(adapter.expression(spark, d, f).select("sample").distinct(), "sample", "left_semi").select("cell_type") for f in "RN"]
-    return sides[0].intersect(sides[1])
+    return pipelines.shared_types(*[labels.join(adapter.expression(spark, d, f).select("sample").distinct(), "sample", "left_semi") for f in "RN"])
 
 
 # --- statistics of sparse columns -------------------------------------------------------------------------------------
@@ -210,7 +232,7 @@ FROM (SELECT sample, sum(value) AS s1, sum(value * value) AS s2, CAST(any_value(
 )
 def col_stats_sparse(spark, d):
     e = adapter.sparse_expression(spark, d)
-    return rounded(prep.column_stats(e, e.select("gene").distinct().count()), "mu", "sigma")
+    return rounded(prep.column_stats(e), "mu", "sigma")
 
 
 @query(
@@ -222,7 +244,7 @@ SELECT sample, round(avg(value), 6) + 0.0 AS mu, round(stddev_samp(value), 6) AS
 )
 def pop_stats_rowcenter(spark, d):
     e = adapter.sparse_expression(spark, d)
-    return rounded(prep.population_stats(e, e.select("gene").distinct().count(), e.select("sample").distinct().count()), "mu", "sigma")
+    return rounded(prep.population_stats(e), "mu", "sigma")
 
 
 # --- ridge --------------------------------------------------------------------------------------------------------------
@@ -243,18 +265,23 @@ _ZNORM = "(v - avg(v) OVER (PARTITION BY sample)) / stddev_samp(v) OVER (PARTITI
 _DENSE_RIDGE = sql("expr", "dense", "cpm", "diff", "sig") + _RIDGE.format(y="d.value", src="diff", norm=_ZNORM)
 
 
-def _perm_sql(method: str) -> str:
-    """The permutations as a literal table, and the statistics over them."""
+def _null_sql(method: str = "srand") -> str:
+    """The statistics over the permutations, which are a literal table (``perm_table_*`` check how it is made)."""
     table = rng.permutations(method, adapter.N_GENES, PERMS, 0)
     rows = ", ".join(f"({k}, {i}, {p})" for k, perm in enumerate(table.tolist()) for i, p in enumerate(perm))
-    return (
-        _DENSE_RIDGE
-        + f""", p(k, pos, src) AS (VALUES {rows}),
+    return f""", p(k, pos, src) AS (VALUES {rows}),
 q AS (SELECT p.k, t.feature, y.sample, sum(t.t * y.v) AS q FROM p JOIN t ON t.pos = p.pos JOIN y ON y.pos = p.src GROUP BY 1, 2, 3),
 s AS (SELECT feature, sample, any_value(beta) AS beta, avg(q) AS m, sqrt(greatest(avg(q * q) - avg(q) * avg(q), 0)) AS se,
   (count(*) FILTER (abs(q) >= abs(beta)) + 1) / ({PERMS} + 1) AS pvalue FROM q JOIN beta USING (feature, sample) GROUP BY feature, sample)
 SELECT feature, sample, round(beta, 6) + 0.0 AS beta, round(se, 6) AS se, round((beta - m) / se, 6) + 0.0 AS zscore, round(pvalue, 6) AS pvalue FROM s"""
-    )
+
+
+def _perm_sql(method: str) -> str:
+    return _DENSE_RIDGE + _null_sql(method)
+
+
+def _four(out):
+    return rounded(out, "beta", "se", "zscore", "pvalue")
 
 
 def _ridge(spark, d, **options):
@@ -292,9 +319,32 @@ def ridge_split_permutations_2f(spark, d):
     return _ridge(spark, d, permutation_parts=4)
 
 
-@query("SELECT perm_id, pos, src FROM (VALUES " + ", ".join(f"({k}, {i}, {p})" for k, perm in enumerate(rng.permutations("srand", 25, 4, 0).tolist()) for i, p in enumerate(perm)) + ") t(perm_id, pos, src)")
+def _perm_table(spark, method: str):
+    table = rng.permutations(method, 25, 4, 0)
+    return spark.createDataFrame([(k, i, p) for k, perm in enumerate(table.tolist()) for i, p in enumerate(perm)], "perm_id int, pos int, src int")
+
+
+@query(TABLES["srand"])
 def perm_table_srand(spark, d):
-    table = rng.permutations("srand", 25, 4, 0)
+    return _perm_table(spark, "srand")
+
+
+@query(TABLES["gsl"])
+def perm_table_gsl(spark, d):
+    return _perm_table(spark, "gsl")
+
+
+@query(TABLES["numpy"])
+def perm_table_numpy(spark, d):
+    return _perm_table(spark, "numpy")
+
+
+@query(
+    """WITH RECURSIVE """ + TABLES["srand"].removeprefix("WITH RECURSIVE ").replace("SELECT CAST(t // 24 - 1", ", made AS (SELECT CAST(t // 24 - 1", 1).replace("t > 0 AND t % 24 = 0", "t > 0 AND t % 24 = 0)", 1)
+    + " SELECT perm_id, src AS pos, pos AS src FROM made"
+)
+def perm_table_inverse(spark, d):
+    table = rng.inverse(rng.permutations("srand", 25, 4, 0))
     return spark.createDataFrame([(k, i, p) for k, perm in enumerate(table.tolist()) for i, p in enumerate(perm)], "perm_id int, pos int, src int")
 
 
@@ -309,7 +359,15 @@ def ridge_ttest_2f(spark, d):
     return _ridge(spark, d, n_rand=0).select("feature", "sample", "beta", "se", "zscore")
 
 
-@query()
+_T_P = """, coef(k, c) AS (SELECT 0, CAST(1.0 AS DOUBLE) UNION ALL SELECT k + 1, c * (2 * k + 1) / (2 * k + 2) FROM coef WHERE k < {most}),
+tt AS (SELECT feature, sample, beta, sqrt(i * s2) AS se, beta / sqrt(i * s2) AS z FROM beta JOIN rss USING (sample) JOIN inv USING (feature)),
+cdf AS (SELECT feature, sample, sum(c * pow({df} / ({df} + z * z), k)) * abs(any_value(z)) / sqrt({df} + any_value(z) * any_value(z)) AS a FROM tt, coef GROUP BY feature, sample)
+SELECT feature, sample, round(beta, 6) + 0.0 AS beta, round(se, 6) AS se, round(z, 6) + 0.0 AS zscore, round(1 - a, 6) + 0.0 AS pvalue FROM tt JOIN cdf USING (feature, sample)"""
+_TTEST = ORACLES["ridge_ttest_2f"].rpartition("\nSELECT feature, sample")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# Student's distribution as a finite series, for the even number of degrees of freedom that 200 genes and 2 features leave
+@query(_TTEST + _T_P.format(df=adapter.N_GENES - 2, most=(adapter.N_GENES - 2) // 2 - 1))
 def ridge_ttest_pvalues(spark, d):
     return _ridge(spark, d, n_rand=0)
 
@@ -375,7 +433,7 @@ def expand_rows(spark, d):
 
 @query()
 def group_signatures(spark, d):
-    s = adapter.signature(spark, d, 64, whole=True)
+    s = adapter.signature(spark, d, 64)
     genes = sorted(r["gene"] for r in s.select("gene").distinct().collect())
     _, names = linalg.group_features(*linalg.signature_matrix(s, genes), 0.5)
     return spark.createDataFrame([(n, n.count("|") + 1) for n in names], "feature string, members int")
@@ -397,10 +455,10 @@ def validate_signature(spark, d):
 
 
 @query(sql("treated", "control", "sig") + """, expr AS (SELECT t.gene, 'Change' AS sample, avg(t.value - m.m) AS value FROM treated t JOIN (SELECT gene, avg(value) AS m FROM control GROUP BY gene) m ON m.gene = t.gene GROUP BY t.gene)"""
-       + _RIDGE.format(y="d.value", src="expr", norm=_ZNORM) + "SELECT feature, sample, round(beta, 6) + 0.0 AS beta FROM beta")
+       + _RIDGE.format(y="d.value", src="expr", norm=_ZNORM) + _null_sql())
 def bulk_activity(spark, d):
     out = pipelines.bulk(adapter.expression(spark, d, "R"), adapter.signature(spark, d), adapter.expression(spark, d, "N"), lam=LAM, n_rand=PERMS)
-    return rounded(out, "beta").select("feature", "sample", "beta")
+    return _four(out)
 
 
 _TYPES = """, pb AS (SELECT gene, cell_type AS sample, sum(value) AS value FROM expr JOIN labels USING (sample) GROUP BY gene, cell_type),
@@ -409,26 +467,26 @@ pl AS (SELECT gene, sample, log2(value / sum(value) OVER (PARTITION BY sample) *
 pd AS (SELECT gene, sample, value - avg(value) OVER (PARTITION BY gene) AS value FROM pl)"""
 
 
-@query(sql("expr", "labels", "sig") + _TYPES + _RIDGE.format(y="d.value", src="pd", norm=_ZNORM) + "SELECT feature, sample, round(beta, 6) + 0.0 AS beta FROM beta")
+@query(sql("expr", "labels", "sig") + _TYPES + _RIDGE.format(y="d.value", src="pd", norm=_ZNORM) + _null_sql())
 def sc_activity_pseudobulk(spark, d):
     out = pipelines.single_cell(adapter.expression(spark, d), adapter.signature(spark, d), adapter.labels(spark, d), lam=LAM, n_rand=PERMS)
-    return rounded(out, "beta").select("feature", "sample", "beta")
+    return _four(out)
 
 
 _CELLS = """, cl AS (SELECT gene, sample, log2(value / sum(value) OVER (PARTITION BY sample) * 1e5 + 1) AS value FROM dense),
 cd AS (SELECT gene, sample, value - avg(value) OVER (PARTITION BY gene) AS value FROM cl)"""
 
 
-@query(sql("expr", "dense", "sig") + _CELLS + _RIDGE.format(y="d.value", src="cd", norm=_ZNORM) + "SELECT feature, sample, round(beta, 6) + 0.0 AS beta FROM beta")
+@query(sql("expr", "dense", "sig") + _CELLS + _RIDGE.format(y="d.value", src="cd", norm=_ZNORM) + _null_sql())
 def sc_activity_cell(spark, d):
     out = pipelines.single_cell(adapter.expression(spark, d), adapter.signature(spark, d), per_cell=True, lam=LAM, n_rand=PERMS)
-    return rounded(out, "beta").select("feature", "sample", "beta")
+    return _four(out)
 
 
 @query(ORACLES["sc_activity_cell"])
 def st_activity_spot(spark, d):
     out = pipelines.spatial(adapter.expression(spark, d), adapter.signature(spark, d), lam=LAM, n_rand=PERMS)
-    return rounded(out, "beta").select("feature", "sample", "beta")
+    return _four(out)
 
 
 @query(
@@ -437,17 +495,24 @@ def st_activity_spot(spark, d):
 ct AS (SELECT gene, cell_type AS sample, avg(value) AS value FROM cl JOIN labels USING (sample) GROUP BY 1, 2),
 cd AS (SELECT gene, sample, value - avg(value) OVER (PARTITION BY gene) AS value FROM ct)"""
     + _RIDGE.format(y="d.value", src="cd", norm=_ZNORM)
-    + "SELECT feature, sample, round(beta, 6) + 0.0 AS beta FROM beta"
+    + _null_sql()
 )
 def st_activity_type(spark, d):
     out = pipelines.spatial(adapter.expression(spark, d), adapter.signature(spark, d), adapter.labels(spark, d), by_type=True, lam=LAM, n_rand=PERMS)
-    return rounded(out, "beta").select("feature", "sample", "beta")
+    return _four(out)
 
 
-@query()
+_SLIDE = """, tg AS (SELECT DISTINCT gene FROM treated), ts AS (SELECT DISTINCT sample FROM treated),
+td AS (SELECT tg.gene, ts.sample, coalesce(e.value, 0.0) AS value FROM tg CROSS JOIN ts LEFT JOIN treated e ON e.gene = tg.gene AND e.sample = ts.sample),
+tl AS (SELECT gene, sample, log2(value / sum(value) OVER (PARTITION BY sample) * 1e5 + 1) AS value FROM td),
+cl AS (SELECT gene, sample, log2(value / sum(value) OVER (PARTITION BY sample) * 1e5 + 1) AS value FROM control),
+cm AS (SELECT gene, sum(value) / (SELECT count(DISTINCT sample) FROM control) AS m FROM cl GROUP BY gene),
+sd AS (SELECT gene, sample, value - m AS value FROM tl JOIN cm USING (gene)), expr AS (SELECT DISTINCT gene FROM sd)"""
+
+
+@query(sql("treated", "control", "sig") + _SLIDE + _RIDGE.format(y="d.value", src="sd", norm=_ZNORM) + _null_sql())
 def st_activity_control(spark, d):
-    out = pipelines.spatial(adapter.expression(spark, d, "R"), adapter.signature(spark, d), control=adapter.expression(spark, d, "N"), lam=LAM, n_rand=PERMS)
-    return rounded(out, "beta", "se", "zscore", "pvalue")
+    return _four(pipelines.spatial(adapter.expression(spark, d, "R"), adapter.signature(spark, d), control=adapter.expression(spark, d, "N"), lam=LAM, n_rand=PERMS))
 
 
 # --- downstream ---------------------------------------------------------------------------------------------------------
@@ -555,11 +620,15 @@ def logit_firth(spark, d):
     return stats.logit(o, "event", ["one", "years"])
 
 
-@query("SELECT feature, pattern, weight FROM (SELECT 'G' || CAST(l_partkey AS VARCHAR) AS feature, l_returnflag AS pattern, sum(l_quantity) AS weight, row_number() OVER (PARTITION BY l_partkey ORDER BY sum(l_quantity) DESC, l_returnflag DESC) AS k FROM lineitem GROUP BY l_partkey, l_returnflag) WHERE k = 1")
+_FLAGS = "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END"
+
+
+@query(f"""WITH w AS (SELECT 'G' || CAST(l_partkey AS VARCHAR) AS feature, {_FLAGS} AS pattern, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2)
+SELECT feature, pattern, weight FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY weight DESC, pattern) AS k FROM w) WHERE k = 1""")
 def pattern_gene_argmax(spark, d):
-    w = adapter.table(spark, d, "lineitem").groupBy(F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("feature"), F.col("l_returnflag").alias("pattern")).agg(F.sum("l_quantity").alias("weight"))
-    top = w.groupBy("feature").agg(F.max(F.struct("weight", "pattern")).alias("m"))
-    return top.select("feature", "m.pattern", "m.weight")
+    w = adapter.table(spark, d, "lineitem").groupBy(F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("feature"), F.expr(_FLAGS).alias("pattern")).agg(F.sum("l_quantity").alias("weight"))
+    first, second, third = (spatial.pattern_genes(w, p) for p in "123")
+    return first.unionByName(second).unionByName(third)
 
 
 @query()
@@ -571,7 +640,7 @@ def ccc_pairs(spark, d):
 @query(sql("labels") + "SELECT a.t AS sender, b.t AS receiver FROM (SELECT DISTINCT cell_type AS t FROM labels) a JOIN (SELECT DISTINCT cell_type AS t FROM labels) b ON a.t <> b.t")
 def sender_receiver(spark, d):
     t = adapter.labels(spark, d).select("cell_type").distinct()
-    return t.select(F.col("cell_type").alias("sender")).join(t.select(F.col("cell_type").alias("receiver")), F.col("sender") != F.col("receiver"))
+    return pipelines.senders(t, t.select(F.col("cell_type").alias("receiver"))).select("sender", "receiver")
 
 
 # --- frames, comparisons, results ---------------------------------------------------------------------------------------
@@ -594,8 +663,7 @@ def viz_celltype_box(spark, d):
 
 @query(sql("expr", "dense") + "SELECT gene, round(avg(value), 6) AS mean, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END), 6) AS detected FROM dense GROUP BY gene")
 def viz_gene_stats(spark, d):
-    e = adapter.expression(spark, d)
-    return rounded(frames.gene_stats(e, e.select("sample").distinct().count()), "mean", "detected")
+    return rounded(frames.gene_stats(adapter.expression(spark, d)), "mean", "detected")
 
 
 @query(sql("labels") + "SELECT cell_type, count(*) AS n FROM labels GROUP BY 1")

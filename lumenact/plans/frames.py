@@ -26,9 +26,12 @@ def boxes(values: DataFrame, labels: DataFrame) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.col("median").desc(), "cell_type")))
 
 
-def gene_stats(expr: DataFrame, n_samples: int) -> DataFrame:
-    """``gene, mean, detected``: mean over all samples and the share of samples above 0."""
-    return expr.groupBy("gene").agg((F.sum("value") / n_samples).alias("mean"), (F.count_if(F.col("value") > 0) / n_samples).alias("detected"))
+def gene_stats(expr: DataFrame, n_samples: int | None = None) -> DataFrame:
+    """``gene, mean, detected``: mean over all samples (those that have rows unless their number is given) and the share of
+    samples above 0."""
+    n = expr.agg((F.lit(n_samples) if n_samples else F.count_distinct("sample")).alias("_n"))
+    sums = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("c"))
+    return sums.join(F.broadcast(n)).select("gene", (F.col("s") / F.col("_n")).alias("mean"), (F.col("c") / F.col("_n")).alias("detected"))
 
 
 def type_counts(labels: DataFrame) -> DataFrame:

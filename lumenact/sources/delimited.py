@@ -65,7 +65,7 @@ def read_matrix(spark: SparkSession, path: str, sep: str | None = None, gene_col
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("sample"), F.get("p", F.lit(i)).try_cast("double").alias("value")) for i, n in samples]))
     long = rows.select("gene", "pos", cells.alias("c")).select("gene", "c.sample", "c.value", "pos")
     numeric = long.groupBy("sample").agg(F.count("value").alias("_n")).where("_n > 0").select("sample")
-    return long.join(F.broadcast(numeric), "sample", "left_semi").select("gene", "sample", "value", "pos")
+    return long.join(numeric, "sample", "left_semi").select("gene", "sample", "value", "pos")
 
 
 def read_signature(spark: SparkSession, path: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.compare import METRICS, wide
+from ..operators.compare import METRICS, by_sample, wide
 
 FORMATS = ("parquet", "csv", "json", "orc")
+#: Samples that become columns at most.
+MANY = 2000
 
 
 def format_of(path: str, format: str = "auto") -> str:  # noqa: A002
@@ -30,10 +32,11 @@ def save(results: DataFrame, path: str, format: str = "auto", compression: str =
 
 
 def save_matrices(results: DataFrame, path: str, format: str = "csv", mode: str = "errorifexists") -> None:  # noqa: A002
-    """A features-by-samples directory for each metric, ``<path>_<metric>``."""
-    samples = [r["sample"] for r in results.select("sample").distinct().orderBy("sample").collect()]
+    """A features-by-samples directory for each metric, ``<path>_<metric>``; with more than ``MANY`` samples one of samples by
+    features, since samples grow with the data and features do not."""
+    many = results.select("sample").distinct().limit(MANY + 1).count() > MANY
     for metric in METRICS:
-        save(wide(results, metric, samples), f"{path}_{metric}", format, "snappy", mode)
+        save(by_sample(results, metric) if many else wide(results, metric), f"{path}_{metric}", format, "snappy", mode)
 
 
 def load(spark: SparkSession, path: str, format: str = "auto") -> DataFrame:  # noqa: A002

@@ -43,7 +43,7 @@ def read_folder(spark: SparkSession, path: str, min_genes: int = 0, positions: s
         )
     else:
         spots = codes.withColumn("sample", F.col("barcode"))
-    counts = cells.join(F.broadcast(genes), "row").join(F.broadcast(spots.select("col", "sample")), "col").select("gene", "sample", "value")
+    counts = cells.join(genes, "row").join(spots.select("col", "sample"), "col").select("gene", "sample", "value")
     if min_genes:
         counts = prep.min_genes(counts, min_genes)
         spots = spots.join(counts.select("sample").distinct(), "sample", "left_semi")

@@ -406,17 +406,100 @@ def test_command_line(spark, data, tmp_path):
     from lumenact.cli import main
 
     _, _, _, _, _, expr, sig = data
-    expr.write.parquet(str(tmp_path / "e.parquet"))
+    expr, sig = (t.withColumn("gene", F.upper("gene")) for t in (expr, sig))  # counts go by standard symbols
+    path = lambda name: str(tmp_path / name)
+    expr.write.parquet(path("e.parquet"))
     wide = sig.groupBy("gene").pivot("feature").agg(F.first("weight")).toPandas()
-    wide.to_csv(tmp_path / "s.tsv", sep="\t", index=False)
-    base = ["-i", str(tmp_path / "e.parquet"), "-s", str(tmp_path / "s.tsv"), "-n", "5", "--lambda", "1"]
-    assert main(["bulk", *base, "-o", str(tmp_path / "a.parquet")]) == 0
-    assert main(["bulk", *base, "--batch-size", "3", "-o", str(tmp_path / "b.parquet")]) == 0
-    assert main(["compare", str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet"), "--tolerance", "1e-9"]) == 0
-    assert main(["cosmx", *base, "--no-sig-filter", "--min-genes", "1", "-o", str(tmp_path / "c.parquet")]) == 0
-    assert main(["compare", str(tmp_path / "a.parquet"), str(tmp_path / "c.parquet")]) == 1
-    assert main(["convert", str(tmp_path / "a.parquet"), str(tmp_path / "a.csv")]) == 0
-    assert main(["inspect", str(tmp_path / "a.parquet")]) == 0
+    wide.to_csv(path("s.tsv"), sep="\t", index=False)
+    rest = ["-s", path("s.tsv"), "-n", "5", "--lambda", "1"]
+    base = ["-i", path("e.parquet"), *rest]
+    assert main(["bulk", *base, "-o", path("a.parquet"), "--sort-genes", "--use-cache", "-v"]) == 0
+    assert main(["bulk", *base, "--batch-size", "3", "-o", path("b.parquet"), "-q", "--backend", "numpy"]) == 0
+    assert main(["compare", path("a.parquet"), path("b.parquet"), "-t", "1e-9"]) == 0
+    assert main(["cosmx", *base, "--no-sig-filter", "--min-genes", "1", "-o", path("c.parquet")]) == 0
+    assert main(["compare", path("a.parquet"), path("c.parquet")]) == 1
+    assert main(["convert", "-i", path("a.parquet"), "-o", path("a.csv")]) == 0
+    assert main(["inspect", "-i", path("a.parquet"), "-v"]) == 0
+    # the same table with samples and genes changed over
+    expr.select(F.col("sample").alias("gene"), F.col("gene").alias("sample"), "value").write.parquet(path("t.parquet"))
+    assert main(["bulk", "-i", path("t.parquet"), *rest, "--transpose", "-o", path("d.parquet")]) == 0
+    assert main(["compare", path("a.parquet"), path("d.parquet"), "-t", "1e-9"]) == 0
+    # other names of the samples: only their places agree
+    renamed = spark.read.parquet(path("a.parquet")).withColumn("sample", F.concat(F.lit("x"), "sample"))
+    renamed.write.parquet(path("f.parquet"))
+    assert main(["compare", path("a.parquet"), path("f.parquet")]) == 1
+    assert main(["compare", path("a.parquet"), path("f.parquet"), "--by-position"]) == 0
+    renamed.where("feature <> 'f1'").write.parquet(path("g.parquet"))
+    assert main(["compare", path("a.parquet"), path("g.parquet"), "--by-position"]) == 1
+    # only what both have, if asked
+    spark.read.parquet(path("a.parquet")).where("feature <> 'f1'").write.parquet(path("h.parquet"))
+    assert main(["compare", path("a.parquet"), path("h.parquet")]) == 1
+    assert main(["compare", path("a.parquet"), path("h.parquet"), "--sort"]) == 0
+    # a bundle with cell types
+    counts = expr.withColumn("value", F.abs(F.round("value") * 3))
+    obs = expr.select("sample").distinct().withColumn("CellType", F.when(F.col("sample") < "s05", "b").otherwise("A"))
+    results.save_bundle(path("bundle"), counts=counts, obs=obs)
+    assert main(["scrnaseq", "-i", path("bundle"), *rest, "-o", path("i.parquet")]) == 0
+    assert main(["visium", "-i", path("bundle"), *rest, "--min-genes", "1", "-c", "CellType", "--no-spot-level", "-o", path("j.parquet")]) == 0
+    for name in ("i.parquet", "j.parquet"):
+        assert {r.sample for r in spark.read.parquet(path(name)).select("sample").distinct().collect()} == {"A", "b"}
+    wide = compare.wide(spark.read.parquet(path("i.parquet")), "zscore")
+    assert wide.columns == ["feature", "A", "b"] and [r.feature for r in wide.collect()] == sorted({r.feature for r in sig.collect()})
+    with pytest.raises(SystemExit):
+        main(["scrnaseq", "-i", path("bundle"), *rest, "-c", "none", "-o", path("k.parquet")])
+
+
+def test_pipelines_go_by_standard_symbols(spark, data):
+    """Copies of a symbol: the gene with the highest total stays, whatever the order of the rows."""
+    _, _, _, _, _, expr, sig = data
+    counts = expr.withColumn("value", F.abs(F.round("value") * 3) + 1)
+    low = counts.withColumn("gene", F.concat("gene", F.lit(".2"))).withColumn("value", F.col("value") * 0.25)
+    sig = sig.withColumn("gene", F.upper("gene"))
+    labels = counts.select("sample").distinct().withColumn("cell_type", F.substring("sample", 3, 1))
+    options = {"lam": 1.0, "n_rand": 5}
+    want = matrices(pipelines.single_cell(counts.withColumn("gene", F.upper("gene")), sig, per_cell=True, symbols=False, **options))
+    assert np.allclose(matrices(pipelines.single_cell(low.unionByName(counts), sig, per_cell=True, **options)), want)
+    assert np.allclose(matrices(pipelines.spatial(counts.unionByName(low).withColumn("value", F.col("value")), sig, **options)), want)
+    # normalised values are averaged, counts are summed
+    fine = counts.withColumn("value", F.col("value") / 7)
+    both = [matrices(pipelines.single_cell(t, sig, labels, **options)) for t in (fine, counts)]
+    by_hand = [matrices(pipelines.single_cell(t, sig, labels, normalised=n, **options)) for t, n in ((fine, True), (counts, False))]
+    assert np.allclose(both, by_hand) and not np.allclose(by_hand[0], by_hand[1])
+
+
+def test_the_order_of_genes_moves_the_null(spark, data):
+    _, _, _, _, _, expr, sig = data
+    placed = expr.withColumn("pos", F.xxhash64("gene"))
+    a, b, c = (pipelines.bulk(t, sig, lam=1.0, n_rand=7, order=o) for t, o in ((placed, "expression"), (placed, "sorted"), (expr, "expression")))
+    a, b, c = (matrices(t) for t in (a, b, c))
+    assert np.allclose(a[0], b[0]) and not np.allclose(a[1], b[1]) and np.allclose(b, c)
+
+
+def test_repeated_rows_of_a_gene_and_a_sample(spark, data):
+    _, _, _, _, _, expr, sig = data
+    lower = expr.withColumn("value", F.col("value") - 5)
+    want = matrices(pipelines.activity(expr, sig, lam=1.0, n_rand=5, centre_rows=True))
+    for t in (lower.unionByName(expr), expr.unionByName(lower)):
+        assert np.allclose(matrices(pipelines.activity(t, sig, lam=1.0, n_rand=5, centre_rows=True)), want)
+
+
+def test_a_given_projection_and_described_runs(spark, data):
+    genes, _, features, y, x, expr, sig = data
+    t = linalg.projection(z(x), 1.0)
+    want = matrices(pipelines.activity(expr, sig, lam=1.0, n_rand=6, centre=False, scale=False))
+    assert np.allclose(matrices(pipelines.with_projection(expr, t, genes, features, n_rand=6)), want)
+    with pytest.raises(NotImplementedError):
+        pipelines.with_projection(expr, t, genes, features, n_rand=0)
+    with pytest.raises(ValueError):
+        pipelines.with_projection(expr, t[:, :3], genes, features)
+    with pytest.raises(ValueError):
+        pipelines.activity(expr, sig, backend="cupy")
+    out, about = pipelines.described(expr, sig, lam=1.0, n_rand=6)
+    assert about["n_genes"] == len(genes) and about["n_features"] == len(features) and about["method"] == "permutation" and out.count() == len(features) * y.shape[1]
+    rows, order = pipelines.prepare(expr, sig)
+    assert sorted(order) == sorted(genes) and np.isclose(rows.where("sample = 's01'").agg(F.stddev_samp("value")).first()[0], 1)
+    with pytest.raises(ValueError):
+        pipelines.prepare(expr.where(F.col("gene").isin(genes[:3])), sig)
 
 
 def test_streams(spark, data, tmp_path):
