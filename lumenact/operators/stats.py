@@ -27,20 +27,40 @@ def spearman(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return r.withColumn("p", t_p_value(t, df))
 
 
+#: Ranges of a group's times, each ordered by a task of its own.
+TIME_RANGES = 64
+
+
 def kaplan_meier(subjects: DataFrame, group: str, time: str = "time", event: str = "event", label: str = "sample") -> DataFrame:
     """``group, label, time, at_risk, survival``: the curve after every subject, in order of time and, at ties, label.
 
-    The running product is a sum of logarithms; the last subject at risk with an event takes it to 0.
+    The running product is a sum of logarithms; the last subject at risk with an event takes it to 0. A group is cut at
+    quantiles of its times into ranges that are ordered apart; sums over the ranges before one give where it begins.
     """
-    w = Window.partitionBy(group).orderBy(time, label)
-    n = F.count("*").over(Window.partitionBy(group))
-    at_risk = n - F.row_number().over(w) + 1
-    rows = subjects.select(group, label, time, event, at_risk.alias("at_risk"))
-    died = F.col(event) == 1
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.max(F.when(died & (F.col("at_risk") == 1), 1).otherwise(0)).over(run)
-    logs = F.sum(F.when(died & (F.col("at_risk") > 1), F.ln((F.col("at_risk") - 1) / F.col("at_risk"))).otherwise(0.0)).over(run)
-    return rows.select(group, label, time, "at_risk", F.when(zero == 1, 0.0).otherwise(F.exp(logs)).alias("survival"))
+    rows = subjects.select(group, label, time, event)
+    inner = [i / TIME_RANGES for i in range(1, TIME_RANGES)]
+    cuts = rows.groupBy(group).agg(F.percentile_approx(F.col(time).cast("double"), inner).alias("_cuts"), F.count("*").alias("_n"))
+    same = F.col(f"s.{group}").eqNullSafe(F.col(f"c.{group}"))
+    part = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(time)))
+    rows = rows.alias("s").join(cuts.alias("c"), same).select("s.*", "_n", part.alias("_part"))
+    by, here = Window.partitionBy(group), Window.partitionBy(group, "_part")
+    order = here.orderBy(time, label)
+    size = rows.groupBy(group, "_part").agg(F.count("*").alias("_size"))
+    upto = by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = size.select(group, "_part", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_start"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = F.col(f"l.{group}").eqNullSafe(F.col(f"r.{group}")) & (F.col("l._part") == F.col("r._part"))
+        return left.alias("l").join(right.alias("r"), on).select("l.*", *[f"r.{c}" for c in right.columns if c not in (group, "_part")])
+
+    rows = met(rows, start).withColumn("at_risk", F.col("_n") - F.col("_start") - F.row_number().over(order) + 1)
+    died = F.coalesce(F.col(event) == 1, F.lit(False))
+    rows = rows.withColumn("_log", F.when(died & (F.col("at_risk") > 1), F.ln((F.col("at_risk") - 1) / F.col("at_risk"))).otherwise(0.0))
+    logs = rows.groupBy(group, "_part").agg(F.sum("_log").alias("_sum"))
+    before = logs.select(group, "_part", F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_before"))
+    run = F.col("_before") + F.sum("_log").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = died & (F.col("at_risk") == 1)  # no subject comes after it
+    return met(rows, before).select(group, label, time, "at_risk", F.when(last, 0.0).otherwise(F.exp(run)).alias("survival"))
 
 
 def median_split(rows: DataFrame, value: str, by: list[str], name: str = "grp") -> DataFrame:
@@ -134,13 +154,17 @@ def cox(rows: DataFrame, by: str, time: str, event: str, xs: list[str], min_rows
     return clean.join(spread, by, "left_semi").groupBy(by).applyInPandas(one, f"{by} {kind}, risk_score_z double, p_value double, n long")
 
 
+#: Newton's steps of a proportional-hazards fit; one that has a maximum needs fewer than ten.
+COX_STEPS = 20
+
+
 def _cox_fit(time: np.ndarray, event: np.ndarray, x: np.ndarray) -> tuple[float, float] | None:
     order = np.argsort(-time, kind="stable")
     time, event, x = time[order], event[order], x[order]
     x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
     b = np.zeros(x.shape[1])
     ends = np.flatnonzero(np.append(np.diff(time) != 0, True)) + 1
-    for _ in range(50):
+    for _ in range(COX_STEPS):
         w = np.exp(np.clip(x @ b, -50, 50))
         s0, s1 = np.cumsum(w), np.cumsum(w[:, None] * x, 0)
         s2 = np.cumsum(w[:, None, None] * x[:, :, None] * x[:, None, :], 0)
@@ -164,6 +188,8 @@ def _cox_fit(time: np.ndarray, event: np.ndarray, x: np.ndarray) -> tuple[float,
         b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
+    else:  # the likelihood has no maximum, as where values part the events from the others
+        return None
     try:
         var = np.linalg.inv(info)[0, 0]
     except np.linalg.LinAlgError:

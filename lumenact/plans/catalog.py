@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, linalg, prep, ridge, rng, spatial, stats
-from . import adapter, frames, pipelines
+from . import adapter, fits_sql, frames, pipelines
 from .adapter import sql
 from .tables_sql import TABLES
 
@@ -265,7 +265,10 @@ _ZNORM = "(v - avg(v) OVER (PARTITION BY sample)) / stddev_samp(v) OVER (PARTITI
 _DENSE_RIDGE = sql("expr", "dense", "cpm", "diff", "sig") + _RIDGE.format(y="d.value", src="diff", norm=_ZNORM)
 
 
-def _null_sql(method: str = "srand") -> str:
+_FOUR = "feature, sample, round(beta, 6) + 0.0 AS beta, round(se, 6) AS se, round((beta - m) / se, 6) + 0.0 AS zscore, round(pvalue, 6) AS pvalue FROM s"
+
+
+def _null_sql(method: str = "srand", select: str = f"SELECT {_FOUR}") -> str:
     """The statistics over the permutations, which are a literal table (``perm_table_*`` check how it is made)."""
     table = rng.permutations(method, adapter.N_GENES, PERMS, 0)
     rows = ", ".join(f"({k}, {i}, {p})" for k, perm in enumerate(table.tolist()) for i, p in enumerate(perm))
@@ -273,7 +276,7 @@ def _null_sql(method: str = "srand") -> str:
 q AS (SELECT p.k, t.feature, y.sample, sum(t.t * y.v) AS q FROM p JOIN t ON t.pos = p.pos JOIN y ON y.pos = p.src GROUP BY 1, 2, 3),
 s AS (SELECT feature, sample, any_value(beta) AS beta, avg(q) AS m, sqrt(greatest(avg(q * q) - avg(q) * avg(q), 0)) AS se,
   (count(*) FILTER (abs(q) >= abs(beta)) + 1) / ({PERMS} + 1) AS pvalue FROM q JOIN beta USING (feature, sample) GROUP BY feature, sample)
-SELECT feature, sample, round(beta, 6) + 0.0 AS beta, round(se, 6) AS se, round((beta - m) / se, 6) + 0.0 AS zscore, round(pvalue, 6) AS pvalue FROM s"""
+{select}"""
 
 
 def _perm_sql(method: str) -> str:
@@ -601,23 +604,23 @@ def risk_spearman(spark, d):
     return rounded(stats.risk_by_rank(_donor_means(spark, d), _donors(spark, d)), "r").select("feature", "r", "n")
 
 
-@query()
+@query(fits_sql.cox(sql("survival") + f", {_DONORS}, cx AS (SELECT feature, r.t AS t, r.e AS e, round(value, 9) AS v FROM dm JOIN survival USING (sample))"))
 def cox_ph(spark, d):
     """Hazards by the mean z-score of each feature over a donor's cells."""
     mean = _donor_means(spark, d).withColumnRenamed("value", "act")
-    return stats.cox(mean.join(_donors(spark, d), "sample"), "feature", "time", "event", ["act"])
+    return rounded(stats.cox(mean.join(_donors(spark, d), "sample"), "feature", "time", "event", ["act"]), "risk_score_z", "p_value", digits=5)
 
 
-@query()
+@query(fits_sql.logit("SELECT CAST(1.0 AS DOUBLE) AS x0, ln(o_totalprice) AS x1, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders", ("one", "big"), False))
 def logit_fit(spark, d):
     o = adapter.table(spark, d, "orders").withColumn("one", F.lit(1.0)).withColumn("big", F.ln("o_totalprice")).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
-    return stats.logit(o, "y", ["one", "big"], firth=False)
+    return rounded(stats.logit(o, "y", ["one", "big"], firth=False), "beta", "se", "z", "p")
 
 
-@query()
+@query(fits_sql.logit("SELECT CAST(1.0 AS DOUBLE) AS x0, time / 365 AS x1, CAST(event AS DOUBLE) AS y FROM clinical WHERE time IS NOT NULL AND event IS NOT NULL", ("one", "years"), True))
 def logit_firth(spark, d):
     o = adapter.table(spark, d, "clinical").where("time is not null and event is not null").withColumn("one", F.lit(1.0)).withColumn("years", F.col("time") / 365)
-    return stats.logit(o, "event", ["one", "years"])
+    return rounded(stats.logit(o, "event", ["one", "years"]), "beta", "se", "z", "p")
 
 
 _FLAGS = "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END"
@@ -631,6 +634,23 @@ def pattern_gene_argmax(spark, d):
     return first.unionByName(second).unionByName(third)
 
 
+_CHANGE = """, sz AS (SELECT cell_type, count(*) AS nc FROM labels GROUP BY 1), tot AS (SELECT sum(nc) AS t FROM sz),
+own AS (SELECT gene, cell_type, sum(value) AS sc, count(*) FILTER (value > 0) AS pc FROM expr JOIN labels USING (sample) GROUP BY 1, 2),
+gs AS (SELECT gene, sum(sc) AS g FROM own GROUP BY gene),
+mn AS (SELECT sz.cell_type, gs.gene, coalesce(sc, 0) / nc AS ca, (g - coalesce(sc, 0)) / (t - nc) AS co, coalesce(pc, 0) / nc AS fr
+  FROM sz CROSS JOIN gs CROSS JOIN tot LEFT JOIN own ON own.gene = gs.gene AND own.cell_type = sz.cell_type WHERE nc >= 3 AND t - nc >= 3),
+chg AS (SELECT gene, cell_type AS sample, ca - co AS value FROM mn)"""
+_HITS = """, z AS (SELECT sample AS receiver, CASE feature WHEN 'F00' THEN 'G000' ELSE 'G050' END AS gene, (beta - m) / se AS z FROM s)
+SELECT sz.cell_type AS sender, receiver, gene AS secretedProtein, round(z, 6) + 0.0 AS activity_z FROM z JOIN mn ON mn.cell_type = receiver AND mn.gene = z.gene
+JOIN sz ON sz.cell_type <> receiver WHERE abs(z) > 0.1 AND abs(log2(ca + 1) - log2(co + 1)) > 0.001 AND fr > 0.1 AND sz.nc >= 3 AND (SELECT t FROM tot) - sz.nc >= 3"""
+
+
+@query(sql("expr", "labels", "sig") + _CHANGE + _RIDGE.format(y="d.value", src="chg", norm=_ZNORM) + _null_sql(select="").rstrip() + _HITS.replace("gene AS secretedProtein", "z.gene AS secretedProtein"))
+def ccc_pairs_2f(spark, d):
+    sig = adapter.signature(spark, d).withColumn("feature", F.when(F.col("feature") == "F00", "G000").otherwise("G050"))
+    return rounded(pipelines.communication(adapter.expression(spark, d), adapter.labels(spark, d), sig, z_cutoff=0.1, logfc_cutoff=0.001, lam=LAM, n_rand=PERMS), "activity_z")
+
+
 @query()
 def ccc_pairs(spark, d):
     sig = _self_named(spark, d)
