@@ -43,7 +43,7 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 def _classes() -> np.ndarray:
     """The class of every code point: letter, number, white space or other."""
     kinds = {"L": _L, "N": _N}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], _O) for c in range(0x110000)], np.uint8)
+    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _O) for c in range(0x110000)), np.uint8, 0x110000)
     out[_SPACE] = _S
     return out
 

@@ -18,6 +18,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ SECTION = 1 << 20
 #: Bytes before a section that may hold the repeated part of its first piece, and those looked at for a cue's number.
 BEFORE, LOOK = 1024, 512
 WORD, LINE, CUE = 1, 2, 3
+#: Numbers of words, in bytes, that are cut at a time.
+WORDS_BYTES = 1 << 20
 #: A cue of a long text: its number, if it has one, and its times, or a frame pair; returns are line feeds here.
 _CUE = re.compile(rb"^(?:\d{1,18}[ \t]{0,32}\n\n?[ \t]{0,32}(?:\d{1,6}:)?|(?:\d{1,6}:)?)\d{1,2}:\d{2}[,.:]\d{1,3}[ \t]{0,32}-->|^\{\d{1,18}\}\{\d{1,18}\}", re.MULTILINE)
 _LINE = re.compile(rb"[\r\n](?=[\x21-\xff])")
@@ -328,7 +331,13 @@ def split(docs: DataFrame, path: str, limit: int = 1024, overlap: int = 64) -> D
     index = Words(sections(docs, limit, max(SECTION, 2 * halo), halo), keys)
 
     def pieces(rows, parts):
-        return _table(_pieces(rows, parts, keys, limit, overlap))
+        # some texts at a time, so that the arrays over their words stay small
+        upto, at, out = np.cumsum(pc.binary_length(rows.column("idx")).to_numpy()), 0, []
+        while at < len(upto):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS_BYTES, "right")))
+            out.append(_table(_pieces(rows.slice(at, end - at), parts, keys, limit, overlap)))
+            at = end
+        return pa.concat_tables(out)
 
     columns = ["doc_id", "piece", "pieces", "start", "end", "n_tokens", "cut", "text"]
     short = resolve(index, False, path, _facts(), pieces, _PIECE).select(*columns)
