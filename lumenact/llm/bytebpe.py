@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 BLOCK_BYTES = 4 << 20
 #: Longer words would make the fold quadratic; they take the same merges from a heap.
@@ -179,7 +179,8 @@ class Words:
 
         own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         both = docs.select(*keys, text, *["apart"][: int(marked)])
-        self.rows = written(both.mapInArrow(run, f"block long, apart boolean, whole long, part int, {own}, idx binary, words array<string>"))
+        with small_batches(docs.sparkSession):
+            self.rows = written(both.mapInArrow(run, f"block long, apart boolean, whole long, part int, {own}, idx binary, words array<string>"))
         blocks = {r["apart"]: r["n"] for r in self.rows.groupBy("apart").agg(F.count_distinct("block").alias("n")).collect()}
         self.blocks = {apart: blocks.get(apart, 0) for apart in (False, True)}
 

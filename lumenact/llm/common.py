@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -61,6 +62,18 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most so many bytes for what is computed inside: long texts make large batches of few rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Small intermediate rows of a short lineage, kept on the executors' disks; what is lost with one is made again."""
     return df.persist(StorageLevel.DISK_ONLY)
