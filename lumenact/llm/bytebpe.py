@@ -353,8 +353,8 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])]
 
 
-#: Blocks of one task, about 8 MB of text.
-TASK_BLOCKS = 2
+#: Blocks of one task on average, about 4 MB of text; where blocks fall by their hash some tasks get several.
+TASK_BLOCKS = 1
 
 
 def resolve(index: Words, apart: bool, path: str, what: Column, fn, schema: str) -> DataFrame:
@@ -366,7 +366,7 @@ def resolve(index: Words, apart: bool, path: str, what: Column, fn, schema: str)
     docs, words = index.of(apart)
     blocks = index.blocks[apart]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(least, blocks), -(-blocks // TASK_BLOCKS))
+    tasks = max(1, min(least, 2 * blocks), -(-blocks // TASK_BLOCKS))
     spread = words.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
     known = encode_words(spread.select("word").distinct(), path, max(least, tasks)).select("word", what.alias("what"))
     spread = spread.join(known, "word").select("of", "at", "what")
