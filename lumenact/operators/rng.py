@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,44 @@ def permutations(method: str, n: int, n_perm: int, seed: int) -> np.ndarray:
     return _shuffled(words, most, n, n_perm)
 
 
+class Generator:
+    """A stream of words of one generator: 31 bits of ``srand``, 32 of ``gsl``; ``numpy`` draws whole permutations."""
+
+    def __init__(self, method: str = "srand", seed: int = 0):
+        if method not in METHODS:
+            raise ValueError(f"unknown generator {method!r}; one of {', '.join(METHODS)}")
+        self.method, self.most = method, 2**31 - 1 if method == "srand" else 2**32 - 1
+        self._state = np.random.RandomState(seed) if method == "numpy" else None
+        self._words = glibc_words(seed) if method == "srand" else mt_words(seed) if method == "gsl" else None
+
+    def word(self) -> int:
+        return int(self._state.randint(0, 2**32, dtype=np.uint32)) if self._words is None else next(self._words)
+
+    def below(self, n: int) -> int:
+        """A number from 0 to ``n - 1``."""
+        return int(self._state.randint(n)) if self._words is None else self.word() // (self.most // n + 1)
+
+    def permutations(self, n: int, n_perm: int) -> np.ndarray:
+        """The next ``n_perm`` permutations; those of ``srand`` and ``gsl`` begin from the identity and go on from each other."""
+        if self._words is None:
+            return np.stack([self._state.permutation(n) for _ in range(n_perm)]).astype(np.int32) if n_perm else np.empty((0, n), np.int32)
+        return _shuffled(self._words, self.most, n, n_perm)
+
+
+def stored(folder: str, method: str, n: int, n_perm: int, seed: int, inverted: bool = False) -> np.ndarray:
+    """A table from a file of ``folder``, which is made if it is not there; its name has all that decides it."""
+    path = os.path.join(folder, f"{method}_{n}_{n_perm}_{seed}{'_inverse' if inverted else ''}.npy")
+    if os.path.exists(path):
+        return np.load(path)
+    table = permutations(method, n, n_perm, seed)
+    table = inverse(table) if inverted else table
+    os.makedirs(folder, exist_ok=True)
+    part = f"{path}.{os.getpid()}.npy"
+    np.save(part, table)
+    os.replace(part, path)  # a reader sees a whole file or none
+    return table
+
+
 def inverse(table: np.ndarray) -> np.ndarray:
     out = np.empty_like(table)
     np.put_along_axis(out, table, np.broadcast_to(np.arange(table.shape[1], dtype=table.dtype), table.shape), 1)

@@ -170,11 +170,21 @@ def structure(path: str) -> list[str]:
     return out
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """A result table of driver size as one file: features by samples for each metric, with the names. Larger ones are for
-    ``sources.results``."""
+def write_results(results: DataFrame, path: str, annotated: bool = False) -> None:
+    """A result table of driver size as one file: features by samples for each metric, with the names; or, ``annotated``, samples
+    by features with beta as X and the others beside the observations. Larger ones are for ``sources.results``."""
     h5py = _h5py()
     rows = results.toArrow().to_pandas()
+    if annotated:
+        by = {m: rows.pivot(index="sample", columns="feature", values=m).sort_index().sort_index(axis=1) for m in ("beta", "se", "zscore", "pvalue")}
+        with h5py.File(path, "w") as f:
+            for frame, names in (("obs", by["beta"].index), ("var", by["beta"].columns)):
+                f.create_group(frame).attrs["_index"] = "_index"
+                f.create_dataset(f"{frame}/_index", data=np.array([str(v) for v in names], "S"))
+            f.create_dataset("X", data=by["beta"].to_numpy())
+            for m in ("se", "zscore", "pvalue"):
+                f.create_dataset(f"obsm/{m}", data=by[m].to_numpy())
+        return
     with h5py.File(path, "w") as f:
         for metric in ("beta", "se", "zscore", "pvalue"):
             wide = rows.pivot(index="feature", columns="sample", values=metric).sort_index()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,21 @@ class Catalogue:
     def register(self, name: str, source: str | DataFrame) -> None:
         self.entries[name.lower()] = source
 
+    def register_folder(self, path: str) -> list[str]:
+        """The tab-separated files of a folder under their names without suffix; each also becomes ``load_<name>``."""
+        found = []
+        for file in sorted(os.listdir(path)):
+            name = file.removesuffix(".gz")
+            if name.endswith((".tsv", ".txt")):
+                found.append(name[:-4].lower())
+                self.register(name[:-4], os.path.join(path, file))
+        return found
+
+    def __getattr__(self, name: str):
+        if name.startswith("load_") and name[5:] in self.__dict__.get("entries", {}):
+            return lambda **selection: self.load(name[5:], **selection)
+        raise AttributeError(name)
+
     def names(self) -> list[str]:
         return sorted(self.entries)
 

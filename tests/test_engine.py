@@ -502,6 +502,46 @@ def test_a_given_projection_and_described_runs(spark, data):
         pipelines.prepare(expr.where(F.col("gene").isin(genes[:3])), sig)
 
 
+def test_factors_in_blocks_are_as_good_as_those_of_the_driver(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    truth = r.gamma(1.0, size=(12, 2)) @ r.gamma(1.0, size=(2, 80)) + r.random((12, 80)) * 0.05
+    act = long(spark, truth, [f"g{i:02d}" for i in range(12)], [f"s{i:02d}" for i in range(80)]).withColumnRenamed("gene", "feature")
+    found = spark.createDataFrame([(f"g{i:02d}", 0.0) for i in range(12)], "feature string, p double")
+    errors = []
+    for limit in (spatial.DRIVER_VALUES, 0):
+        monkeypatch.setattr(spatial, "DRIVER_VALUES", limit)
+        w, h, k = spatial.patterns(act, found, [2])
+        w = w.toPandas().pivot(index="feature", columns="pattern", values="weight").to_numpy()
+        h = h.toPandas().pivot(index="pattern", columns="sample", values="weight").to_numpy()
+        assert k == 2 and w.min() >= 0 and h.min() >= 0 and h.shape == (2, 80)
+        errors.append(np.linalg.norm(truth - w @ h))
+    assert errors[1] < 1.05 * errors[0] < 0.05 * np.linalg.norm(truth)
+
+
+def test_generators_and_stored_tables(tmp_path):
+    for method in rng.METHODS:
+        g = rng.Generator(method, 3)
+        assert (g.permutations(9, 4) == rng.permutations(method, 9, 4, 3)).all() and 0 <= g.below(5) < 5 and 0 <= g.word() <= g.most
+        for inverted in (False, True):
+            want = rng.permutations(method, 9, 4, 3)
+            want = rng.inverse(want) if inverted else want
+            for _ in range(2):
+                assert (rng.stored(str(tmp_path), method, 9, 4, 3, inverted) == want).all()
+    assert len(list(tmp_path.iterdir())) == 6
+    with pytest.raises(ValueError):
+        rng.Generator("dice")
+
+
+def test_signatures_of_a_folder(spark, tmp_path):
+    (tmp_path / "First.tsv").write_text("gene\tf\nA\t1\nB\t2\n")
+    (tmp_path / "notes.md").write_text("none")
+    c = Catalogue(spark)
+    assert c.register_folder(str(tmp_path)) == ["first"]
+    assert {(r.gene, r.weight) for r in c.load_first(genes=["B"]).collect()} == {("B", 2.0)}
+    with pytest.raises(AttributeError):
+        c.load_second()
+
+
 def test_streams(spark, data, tmp_path):
     from lumenact.streaming import incremental
 

@@ -96,6 +96,11 @@ def test_results_and_command_line(spark, h5, file, tmp_path):
     h5ad.write_results(spark.createDataFrame(rows, "feature string, sample string, beta double, se double, zscore double, pvalue double"), str(tmp_path / "r.h5"))
     with h5.File(str(tmp_path / "r.h5"), "r") as f:
         assert list(f.attrs["feature_names"]) == ["a", "b"] and list(f.attrs["sample_names"]) == ["S1", "s2"] and f["beta"][:].tolist() == [[1, 1], [0, 0]]
+    act = spark.createDataFrame(rows, "feature string, sample string, beta double, se double, zscore double, pvalue double")
+    h5ad.write_results(act, str(tmp_path / "r.h5ad"), annotated=True)
+    back = {(r["sample"], r.gene): r.value for r in h5ad.read_counts(spark, str(tmp_path / "r.h5ad")).collect()}
+    assert back == {("S1", "a"): 1.0, ("s2", "a"): 1.0}  # zeros have no rows
+    assert {tuple(r.vec) for r in h5ad.read_embedding(spark, str(tmp_path / "r.h5ad"), "zscore").collect()} == {(3.0, 3.0)}
     assert main(["inspect", "-i", path]) == 0
     (tmp_path / "s.tsv").write_text("gene\tf1\tf2\n" + "".join(f"ENSG{i:03d}\t{i % 3}\t{(i * 5) % 7}\n" for i in range(7)))
     out = str(tmp_path / "o.parquet")
