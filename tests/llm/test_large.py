@@ -14,19 +14,20 @@ pytestmark = pytest.mark.skipif(os.environ.get("LUMENACT_LARGE") != "1", reason=
 ROWS, DIM, KINDS, K, ASKED = 500_000, 32, 2_000, 10, 500
 
 
-def rows(numbers: np.ndarray) -> np.ndarray:
-    """Rows around kinds of very different sizes, in all scales."""
-    centres = np.random.default_rng(1).normal(size=(KINDS, DIM)) * 2
-    out = []
-    for block in np.unique(numbers // 1000):
-        r = np.random.default_rng(int(block) + 7)
-        kind = (KINDS * r.random(1000) ** 2).astype(int)
-        x = (centres[kind] + r.normal(size=(1000, DIM))) * r.lognormal(size=(1000, 1))
-        out.append(x[numbers[numbers // 1000 == block] % 1000])
-    return np.vstack(out)
-
-
 def test_recall_of_half_a_million(spark, tmp_path):
+    kinds, dim = KINDS, DIM  # the workers do not know this module
+
+    def rows(numbers: np.ndarray) -> np.ndarray:
+        """Rows around kinds of very different sizes, in all scales."""
+        centres = np.random.default_rng(1).normal(size=(kinds, dim)) * 2
+        out = []
+        for block in np.unique(numbers // 1000):
+            r = np.random.default_rng(int(block) + 7)
+            kind = (kinds * r.random(1000) ** 2).astype(int)
+            x = (centres[kind] + r.normal(size=(1000, dim))) * r.lognormal(size=(1000, 1))
+            out.append(x[numbers[numbers // 1000 == block] % 1000])
+        return np.vstack(out)
+
     def made(batches):
         for b in batches:
             n = b.column("id").to_numpy()
