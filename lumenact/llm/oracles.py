@@ -48,3 +48,12 @@ near AS (SELECT x, min(y) AS y FROM e GROUP BY x),
 hop AS (SELECT x, y FROM near UNION SELECT e.x, h.y FROM hop h JOIN e ON e.y = h.x AND h.y < e.x)
 SELECT sample_a, sample_b FROM (SELECT min(y) AS sample_a, x AS sample_b FROM hop GROUP BY x) WHERE sample_a <> sample_b""",
 }
+
+ORACLES |= {
+    "p1_kinds": ORACLES["p3_found"].rpartition("\n")[0] + "\nSELECT count(DISTINCT y) AS kinds FROM (SELECT x, min(y) AS y FROM hop GROUP BY x)",
+    "p2_bound": _GROUPS % "'core', 'ext'" + "SELECT count(*) AS percentiles, CAST(0 AS BIGINT) AS off FROM q",
+    "p3_cells": "SELECT count(DISTINCT sample) AS cells FROM obs WHERE sample IN (SELECT sample FROM activity)",
+    "p6_texts": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p7_limits": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS split FROM documents",
+    "p8_texts": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+}
