@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,23 @@ def test_chains_equal_brute_force(spark, seed, t):
         assert {(r.sample, r.first) for r in balls.chains(points(spark, x), pivots, t).collect()} == want
 
 
+def test_links_of_a_dense_group_are_fewer_than_its_rows(spark, monkeypatch):
+    x = np.vstack([np.random.default_rng(5).normal(size=(300, 4)) * 0.1, [[90.0, 0, 0, 0], [90.2, 0, 0, 0]]])
+    seen, whole = [], balls.components
+    monkeypatch.setattr(balls, "components", lambda edges: seen.append(edges.count()) or whole(edges))
+    got = balls.chains(points(spark, x), np.full((1, 4), 30.0), 2.0).collect()  # no row is near its pivot: all are nodes of their own
+    assert {(r.sample, r.first) for r in got} == {(f"c{i:05d}", "c00000" if i < 300 else "c00300") for i in range(302)}
+    assert seen[0] < len(x)
+
+
+def test_reach_bounds_what_a_task_holds(spark):
+    def sizes(batch, d):
+        yield pa.RecordBatch.from_arrays([pa.array([d.size]), pa.array([len(d)])], ["size", "rows"])
+
+    got = balls.reach(points(spark, np.ones((3000, 2))), np.zeros((4000, 2)), sizes, "size long, rows long").toPandas()
+    assert got["rows"].sum() == 3000 and got["size"].max() <= balls.PAIRS
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60) if i != 30], "a string, b string")
     got = {r.node: r.label for r in balls.components(edges).collect()}
